@@ -23,17 +23,22 @@ def _pairs(hashes, gap: int):
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + gap), n), lambda a, b: F.xxhash64(a, b))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, base measures, base_failed, and the arrays of word hashes (h1) and word-pair hashes (h2).
 
+    carry: with row, a struct of the input's columns as they were.
+
     Null text has no words. A window of eight words counts as repeated if it occurs twice or more in the text; n_repeat_words
     is the number of words that such windows cover.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("words"), lines.alias("lines"))
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    keep = ["row"] if carry else []
+    split = docs.select("doc_id", text.alias("text"), *row).select("doc_id", "text", *keep, words(F.col("text")).alias("words"), lines.alias("lines"))
     hashed = split.select(
         "doc_id",
+        *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -55,7 +60,7 @@ def features(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("n_repeat_words", repeat).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-        "h1", "h2",
+        "h1", "h2", *keep,
     )
 
 
@@ -78,7 +83,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
     return counts.crossJoin(F.broadcast(total)).select("bucket", smooth.alias("ratio"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted: int = TRUSTED, carry: bool = False) -> DataFrame:
     """One row per input row: the base measures, llr (mean log ratio of its words and word pairs, 0 without words), kept.
 
     Needs doc_id and text of `docs`, doc_id, quality and toxic of `labels`; other columns are not read. A repeated row gives a
@@ -89,4 +94,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     table = F.from_json(F.lit(json.dumps([round(ratios.get(b, 0.0), 4) for b in range(buckets)])), "array<double>")
     total = F.aggregate(F.concat("h1", "h2"), F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets))))
     llr = F.coalesce(F.try_divide(total, F.size("h1") + F.size("h2")), F.lit(0.0))
-    return features(docs).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("h1", "h2")
+    return features(docs, carry).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("h1", "h2")
