@@ -8,15 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_classes
 from .mixing import KEEP, LANG, ROUNDS, SOURCE, TOPIC, TOPICS, mix
 from .packing import best_fit_packing
 from .quality import quality_rules
+from .rlz import substring_dedup
+from .suffix import suffix_dedup
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,6 +40,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mix(table(spark, sf_dir, "documents")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def rounded(mixed: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -36,7 +51,10 @@ def rounded(mixed: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op6_quality_rules, op9_mixing)}
+    listed = (
+        op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op6_quality_rules, op9_mixing, op10_jaccard_join,
+    )
+    return {f.__name__: f for f in listed}
 
 
 OP4_SQL = """
