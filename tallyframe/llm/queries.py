@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
+from .licenses import DICE, TEMPLATES, license_scan, template_bigrams
 from .mixing import KEEP, LANG, ROUNDS, SOURCE, TOPIC, TOPICS, mix
 from .packing import best_fit_packing
+from .ppm import lm_scores
 from .quality import quality_rules
 from .rlz import substring_dedup
 from .suffix import suffix_dedup
+from .urls import URL, derived_captures, derived_entries, listed
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +35,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` has neither fetch times nor lists: both are derived from it by rule."""
+    pages = table(spark, sf_dir, "pages")
+    return listed(derived_captures(pages), derived_entries(pages)).withColumnRenamed("id", "page_id")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mix(table(spark, sf_dir, "documents")))
 
@@ -52,7 +69,8 @@ def rounded(mixed: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
-        op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op6_quality_rules, op9_mixing, op10_jaccard_join,
+        op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op5_ppm,
+        op6_quality_rules, op7_url_filter, op8_license_scan, op9_mixing, op10_jaccard_join,
     )
     return {f.__name__: f for f in listed}
 
@@ -91,5 +109,42 @@ def mixing_sql(documents: str = "documents", keep: float = KEEP, rounds: int = R
         FROM rows_ r JOIN w{n} USING (source, lang, topic)"""
 
 
+def url_sql() -> str:
+    """op7's rows."""
+    url = URL.replace("'", "''")
+    host = f"nullif(rtrim(lower(regexp_extract(url, '{url}', 1)), '.'), '')"
+    return f"""WITH p AS (SELECT page_id, url, {host} AS host, nullif(regexp_extract(url, '{url}', 2), '') AS part,
+            DATE '2024-01-01' + ((page_id * 7919 % 366 + 366) % 366)::INTEGER AS fetched FROM pages),
+        x AS (SELECT host, h // 4 AS h FROM (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS h FROM p WHERE host IS NOT NULL) WHERE h % 4 = 0),
+        e AS (SELECT host AS pattern, 'add' AS action, DATE '2024-01-01' + (h % 200)::INTEGER AS dated FROM x
+            UNION ALL SELECT host, 'remove', DATE '2024-01-01' + (h % 200 + 30)::INTEGER FROM x WHERE h % 2 = 0
+            UNION ALL SELECT host, 'add', DATE '2024-01-01' + (h % 200 + 90)::INTEGER FROM x WHERE h % 6 = 0
+            UNION ALL SELECT '.cheap-pills.example.com', 'add', DATE '2024-01-01'),
+        i AS (SELECT pattern, action, dated AS valid_from, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS valid_to
+            FROM (SELECT pattern, dated, max(action) AS action FROM e GROUP BY ALL)),
+        k AS (SELECT page_id, url, fetched, host, host AS key FROM p
+            UNION ALL SELECT page_id, url, fetched, host, '.' || array_to_string(string_split(host, '.')[j:], '.')
+                FROM p, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(j) WHERE host IS NOT NULL
+            UNION ALL SELECT page_id, url, fetched, host, host || '/' || part FROM p WHERE part IS NOT NULL)
+        SELECT page_id, url, fetched, host, count(DISTINCT pattern) > 0 AS listed, count(DISTINCT pattern) AS n_entries, min(pattern) AS pattern
+        FROM k LEFT JOIN i ON key = pattern AND action = 'add' AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
+        GROUP BY page_id, url, fetched, host"""
+
+
+def license_sql(dice: float = DICE) -> str:
+    """op8's rows, without the bounds."""
+    rows = ", ".join(f"('{k}', [{', '.join(repr(g) for g in v)}])" for k, v in sorted(template_bigrams(TEMPLATES).items()))
+    return f"""WITH t(name, grams) AS (VALUES {rows}),
+        u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text])) AS unit
+            FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+        w AS (SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS words FROM u),
+        g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
+        d AS (SELECT doc_id, name, max(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)))::DOUBLE AS dice FROM g, t GROUP BY ALL),
+        b AS (SELECT * FROM d WHERE dice >= {dice})
+        SELECT doc_id, (SELECT name FROM b WHERE b.doc_id = a.doc_id ORDER BY dice DESC, name LIMIT 1) AS license,
+            round((SELECT max(dice) FROM b WHERE b.doc_id = a.doc_id), 6) AS dice, (SELECT count(*) FROM b WHERE b.doc_id = a.doc_id) AS n_licenses
+        FROM (SELECT DISTINCT doc_id FROM documents) a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_mixing": mixing_sql()}
+    return {"op4_exact_dedup": OP4_SQL, "op7_url_filter": url_sql(), "op8_license_scan": license_sql(), "op9_mixing": mixing_sql()}
