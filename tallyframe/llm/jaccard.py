@@ -9,7 +9,9 @@ most a / 0.9 (both for the default of 0.9).
 * Heavy sets fall into blocks by hash range of their elements, more blocks than a link has differences, so two linked sets
   have blocks in common. The inverted lists are of whole blocks and not of single elements: a line that a third of all documents
   share makes no long list unless the rest of the block is shared too. Members of a list are verified against its pivot, the
-  most central member; what then still isn't in one component is verified pair by pair.
+  most central member, which joins most families of near copies at once. What the pivot leaves apart is compared by how it differs
+  from the pivot: two sets that differ from it by hx and hy elements, m of them the same, differ by hx + hy - 2m from one another,
+  so a link needs common differences, and these are few and rare where the sets themselves have hundreds in common.
 * A set is light if its subsets cost less than its blocks and their verification.
 
 Equal sets are one node throughout, so thousands of copies cost as much as one.
@@ -22,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, splitmix, text_chunks, word_hashes, word_spans
@@ -33,8 +35,6 @@ WORDS = 3
 BROADCAST_ROWS = 2_000_000
 #: Ratio of size classes within which sets have the same number of blocks.
 CLASS = Fraction(3, 2)
-#: Rounds that test lists against one pivot before what is left is tested pair by pair.
-PIVOTS = 3
 
 
 class Scheme:
@@ -70,9 +70,9 @@ class Scheme:
         return common * self.t.denominator >= self.t.numerator * (a + b - common)
 
     def keys(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of a set; for each the size of the shared subset, or 0 for a block."""
+        """Keys of a set's blocks; keys of its subsets and their sizes."""
         n = len(elements)
-        keys, common = [], []
+        keys, subsets, common = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         mixed = splitmix(elements)
         if n < self.heavy:
             from itertools import combinations
@@ -80,7 +80,7 @@ class Scheme:
             whole = mixed.sum(dtype=np.uint64)
             for c in range(self.least(n), n + 1):
                 gone = np.array([mixed[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), n - c)], np.uint64)
-                keys.append(splitmix(whole - gone + np.uint64(c)))
+                subsets.append(splitmix(whole - gone + np.uint64(c)))
                 common.append(np.full(len(gone), c))
         if n >= self.both:
             at = int(np.searchsorted(self.starts, n, "right")) - 1
@@ -99,8 +99,7 @@ class Scheme:
                 if tiny.sum() <= spare:
                     here = here[~tiny]
                 keys.append(splitmix(sums[here] + splitmix((here + (k << 32)).astype(np.uint64)) * np.uint64(2 * k + 3) + size[here].astype(np.uint64)))
-                common.append(np.zeros(len(here), np.int64))
-        return np.concatenate(keys), np.concatenate(common)
+        return np.concatenate(keys), np.concatenate(subsets), np.concatenate(common)
 
 
 def shingle_sets(batch, text: int, words: int = WORDS):
@@ -126,7 +125,7 @@ def shingle_sets(batch, text: int, words: int = WORDS):
 
 
 def signatures(docs: DataFrame, scheme: Scheme, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set), keys and common (see Scheme.keys)."""
+    """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set), blocks, subsets and common (see Scheme.keys)."""
     import pyarrow as pa
 
     def run(batches):
@@ -136,15 +135,15 @@ def signatures(docs: DataFrame, scheme: Scheme, words: int = WORDS) -> DataFrame
                 n = len(elements)
                 d1 = splitmix(splitmix(elements ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64([n]))[0] if n else 0
                 d2 = splitmix(splitmix(elements * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64) + np.uint64([n]))[0] if n else 0
-                keys, common = scheme.keys(elements) if n else (np.zeros(0, np.uint64), np.zeros(0))
-                rows.append((n, np.uint64(d1).astype(np.int64), np.uint64(d2).astype(np.int64), keys.view(np.int64), common.astype(np.int32)))
+                blocks, subsets, common = scheme.keys(elements) if n else (elements, elements, elements)
+                rows.append((n, np.uint64(d1).astype(np.int64), np.uint64(d2).astype(np.int64), blocks.view(np.int64), subsets.view(np.int64), common.astype(np.int32)))
             if rows:
-                n, d1, d2, keys, common = map(list, zip(*rows))
+                n, d1, d2, blocks, subsets, common = map(list, zip(*rows))
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "keys", "common"])
+                columns += [pa.array(blocks, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "blocks", "subsets", "common"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, common array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, blocks array<long>, subsets array<long>, common array<int>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -180,49 +179,86 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of `pairs` (u, v) those that link."""
+def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of `pairs` (p, x): np, nx (sizes), h (elements in one of the two only), linked, and those elements."""
 
     def run(frames):
         for pdf in frames:
-            keep = [scheme.linked(len(np.intersect1d(a := np.frombuffer(x, np.uint64), b := np.frombuffer(y, np.uint64), True)), len(a), len(b)) for x, y in zip(pdf["x"], pdf["y"])]
+            out = []
+            for p, x, a, b in zip(pdf["p"], pdf["x"], pdf["a"], pdf["b"]):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                apart = np.setxor1d(a, b, assume_unique=True)
+                linked = scheme.linked((len(a) + len(b) - len(apart)) // 2, len(a), len(b))
+                out.append((p, x, len(a), len(b), len(apart), bool(linked), apart.view(np.int64)))
+            yield pd.DataFrame(out, columns=["p", "x", "np", "nx", "h", "linked", "apart"])
+
+    pivots = only(sets.withColumnRenamed("id", "p"), cut(pairs.select("p").distinct()), "p").withColumnRenamed("elements", "a")
+    others = only(sets.withColumnRenamed("id", "x"), cut(pairs.select("x").distinct()), "x").withColumnRenamed("elements", "b")
+    joined = pairs.join(others, "x").join(pivots, "p")
+    return joined.select("p", "x", "a", "b").mapInPandas(run, "p long, x long, np long, nx long, h long, linked boolean, apart array<long>")
+
+
+def kin(homes: DataFrame, label: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (u, v) among sets with one home, of which none or one links with it: by their common differences from it.
+
+    Let r be the share of the sizes' sum by which linked sets differ at most. For x and a y that doesn't link with the home p,
+    hy > r (|y| + |p|), and a link of the two needs more than (hx + r (|p| - |x|)) / 2 common differences. So they have one of the
+    rarest hx - that + 1 differences of x in common.
+    """
+    r = (1 - scheme.t) / (1 + scheme.t)
+    rows = homes.select("p", "x", "np", "nx", "h", "linked", F.explode("apart").alias("e"))
+    often = rows.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
+    rows = rows.join(often.filter("often > 1"), ["p", "e"], "left")
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.coalesce("often", F.lit(1)), "e"))
+    least = F.greatest(F.lit(1), F.ceil((r.denominator * F.col("h") + r.numerator * (F.col("np") - F.col("nx"))) / (2 * r.denominator)))
+    probe = rows.withColumn("place", place).filter((F.col("place") <= F.col("h") - least + 1) & F.col("often").isNotNull()).select("p", "e", F.col("x").alias("v"))
+    index = rows.filter("NOT linked AND often IS NOT NULL").select("p", "e", "x")
+    found = probe.join(index, ["p", "e"]).filter("v <> x").select(F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
+    found = apart_still(found, label)
+
+    def run(frames):
+        for pdf in frames:
+            keep = []
+            for a, b, na, nb in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"]):
+                h = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(scheme.linked((na + nb - h) // 2, na, nb))
             yield pdf.loc[np.array(keep, bool), ["u", "v"]]
 
-    x, y = sets.select(F.col("id").alias("u"), F.col("elements").alias("x")), sets.select(F.col("id").alias("v"), F.col("elements").alias("y"))
-    return pairs.join(x, "u").join(y, "v").mapInPandas(run, "u long, v long")
+    a, b = (homes.select(F.col("x").alias(k), F.col("nx").alias(f"n{c}"), F.col("apart").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return found.join(a, "u").join(b, "v").mapInPandas(run, "u long, v long")
+
+
+def apart_still(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (u, v) in different components."""
+    u, v = label.select(F.col("id").alias("u"), F.col("component").alias("cu")), label.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+    joined = pairs.join(u, "u", "left").join(v, "v", "left")
+    return joined.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
 def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Scheme, words: int) -> DataFrame:
     """Links enough to connect what blocks' lists (key, id) connect, besides the links in `known` (u, v)."""
     lists = cut(lists)
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    central = lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central"))
-    live = cut(central)
-    members = cut(lists.join(live, "id"))
-    sets = cut(sets_of(only(docs, live.select(F.col("id").alias("doc_id")), "doc_id"), words).dropDuplicates(["id"]))
-    edges = known
-    for turn in range(PIVOTS + 1):
-        if turn:
-            label = components(edges)
-            members = members.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-            members = cut(members.join(open_, "key", "left_semi"))
-            if members.isEmpty():
-                break
-        else:
-            members = members.withColumn("component", F.col("id"))
-        if turn == PIVOTS:
-            other = members.select("key", F.col("id").alias("v"), F.col("component").alias("other"))
-            pairs = members.join(other, "key").filter("component < other").select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v"))
-        else:
-            pivot = members.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("central", -F.col("id"))).alias("p"))
-            with_pivot = members.join(pivot, "key")
-            pairs = with_pivot.filter("component <> p.component").select(F.least("id", "p.id").alias("u"), F.greatest("id", "p.id").alias("v"))
-        edges = cut(edges.union(verified(pairs.distinct(), sets, scheme)).distinct())
-        if turn < PIVOTS:
-            # A pivot has met every member of its list, so it is done there.
-            members = with_pivot.filter("id <> p.id").select("key", "id", "central")
-    return edges
+    central = cut(lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central")))
+    sets = cut(sets_of(only(docs, central.select(F.col("id").alias("doc_id")), "doc_id"), words).dropDuplicates(["id"]))
+    pivots = cut(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
+    pairs = lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct()
+    tested = cut(compared(pairs, sets, scheme))
+    edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
+    label = components(edges)
+    # Each set's home is the nearest pivot that it was compared to; sets with one home are compared through it.
+    best = tested.groupBy("x").agg(F.min_by("p", F.struct("h", "p")).alias("p"))
+    homes = cut(tested.join(best, ["x", "p"]))
+    links = kin(homes, label, scheme)
+    # Members of one list with different homes are compared as they are. Each home counts once a list against each other set.
+    at = lists.join(pivots, "key").filter("id <> p").select("key", "id").join(best.select(F.col("x").alias("id"), F.col("p").alias("home")), "id")
+    mixed = at.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("key")
+    at = cut(at.join(mixed, "key", "left_semi"))
+    left, right = at.select("key", F.col("id").alias("u"), F.col("home").alias("hu")), at.select("key", F.col("id").alias("v"), F.col("home").alias("hv"))
+    cross = left.join(right, "key").filter("hu < hv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    cross = cut(apart_still(cross, label).select(F.col("u").alias("p"), F.col("v").alias("x")))
+    more = compared(cross, sets, scheme).filter("linked").select("p", "x")
+    return edges.union(links).union(more)
 
 
 def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = WORDS, light_below: int | None = None) -> DataFrame:
@@ -235,15 +271,16 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     scheme = Scheme(similarity, light_below)
     rows = cut(signatures(docs, scheme, words))
     nodes = cut(rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
-    listed = rows.select("doc_id", "n_shingles", F.explode(F.arrays_zip("keys", "common")).alias("k")).join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    listed = listed.select(F.col("k.keys").alias("key"), F.col("k.common").alias("common"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    listed = listed.withColumn("heavy", F.col("common") == 0)
-    shared = cut(listed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "id")).alias("least")).filter("m > 1"))
-    light = listed.filter("NOT heavy").join(shared, "key").filter("id <> least.id")
+    apart = only(rows, nodes.select(F.col("id").alias("doc_id")), "doc_id")
+    subsets = apart.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("subsets", "common")).alias("k"))
+    subsets = subsets.select("id", "n", F.col("k.subsets").alias("key"), F.col("k.common").alias("common"))
+    smallest = subsets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "id")).alias("least")).filter("m > 1")
+    light = subsets.join(smallest, "key").filter("id <> least.id")
     p, q = scheme.t.numerator, scheme.t.denominator
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
-    lists = only(listed.filter("heavy").select("key", "id"), shared.select("key"), "key")
+    blocks = apart.select(F.col("doc_id").alias("id"), F.explode("blocks").alias("key"))
+    lists = only(blocks, cut(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")), "key").distinct()
     edges = block_edges(lists, docs, cut(light.distinct()), scheme, words)
     label = components(edges)
-    found = rows.drop("keys", "common").join(nodes, ["d1", "d2"], "left").join(label, "id", "left")
+    found = rows.drop("blocks", "subsets", "common").join(nodes, ["d1", "d2"], "left").join(label, "id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
