@@ -65,7 +65,7 @@ def re2_to_java(pattern: str) -> str:
 
     $ is the very end, \\s is without the vertical tab, (?i) folds Unicode, and \\b knows ASCII letters only.
     """
-    if _UNSUPPORTED.search(re.sub(r"\\[^1-9]", "", pattern)):
+    if _UNSUPPORTED.search(re.sub(r"\\[^1-9]", "x", pattern)):
         raise ValueError(f"not an RE2 pattern: {pattern}")
     out, in_class, i = [], False, 0
     word = "[0-9A-Za-z_]"
@@ -107,7 +107,7 @@ def name_tokens(account_name: Column) -> Column:
 def names(description: Column, tokens: Column) -> Column:
     """Whether a description has one of an account's tokens as a word; false without tokens or description."""
     w = "[0-9A-Za-z_]"
-    return F.coalesce(F.upper(description).rlike(F.concat(F.lit(f"(?<!{w})("), tokens, F.lit(f")(?!{w})"))), F.lit(False))
+    return F.coalesce(F.rlike(F.upper(description), F.concat(F.lit(f"(?<!{w})("), tokens, F.lit(f")(?!{w})"))), F.lit(False))
 
 
 def cosine(a: Column, b: Column) -> Column:

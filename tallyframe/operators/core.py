@@ -40,7 +40,7 @@ def first_match(df: DataFrame, rules: DataFrame, key: str, text: Column, keep: S
 
     rules: id, pattern, priority and more; a table of configuration, so it is the side that is repeated.
     """
-    matched = df.join(small(rules), text.rlike(F.col("pattern")))
+    matched = df.join(small(rules), F.rlike(text, F.col("pattern")))
     return first_per(matched, [key], [F.col("priority").asc(), F.col("id").asc()]).select(key, *keep)
 
 
