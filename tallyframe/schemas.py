@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructType, TimestampType
 
-BRONZE = StructType.fromDDL(
+_TYPES = {"string": StringType(), "timestamp": TimestampType(), "date": DateType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
+
+
+def columns(text: str) -> StructType:
+    """name type, ... as a schema; unlike Spark's own parser this needs no session."""
+
+    def kind(t: str) -> DataType:
+        if t.startswith("array<"):
+            return ArrayType(kind(t[6:-1]))
+        if t.startswith("decimal("):
+            return DecimalType(*map(int, t[8:-1].split(",")))
+        return _TYPES[t]
+
+    out = StructType()
+    for part in text.split(", "):
+        name, _, t = part.partition(" ")
+        out.add(name, kind(t))
+    return out
+
+
+BRONZE = columns(
     "source string, account_name string, account_type string, currency string, source_file string, ingested_at timestamp, "
     "posted_on date, amount decimal(18,2), description_raw string, external_id string, row_hash string"
 )
-BRONZE_ORDERS = StructType.fromDDL(
+BRONZE_ORDERS = columns(
     "source string, source_file string, ingested_at timestamp, row_hash string, website_order_id string, order_date date, ship_date date, "
     "asin string, product_name string, quantity bigint, currency string, order_status string, shipment_status string, "
     "unit_price decimal(18,2), unit_price_tax decimal(18,2), shipping_charge decimal(18,2), total_discounts decimal(18,2), "
@@ -20,8 +40,8 @@ BRONZE_ORDERS = StructType.fromDDL(
 _OWN = "id string, created_at timestamp, note string"
 #: Tables that users and models write; each also has id, created_at and note.
 APP = {
-    name: StructType.fromDDL(f"{_OWN}, {columns}")
-    for name, columns in {
+    name: columns(f"{_OWN}, {own}")
+    for name, own in {
         "categories": "name string, parent_id string, description string",
         "accounts": "name string, account_type string, currency string",
         "merchants": "name string, aliases array<string>",

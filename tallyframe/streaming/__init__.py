@@ -1,0 +1 @@
+"""Arriving files and events as streams."""
