@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .spans import Units, by_route, judged, payloads, removed_runs, route_blocks, strip
 
 WORDS, GRAM = 50, 8
@@ -14,7 +14,7 @@ BLOCK = 8 << 20
 
 
 def factored(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
-    """doc_id, lo, hi: factors of segments against the reference blocks of smaller documents.
+    """doc_id, a, b (from, to): factors of segments against the reference blocks of smaller documents.
 
     All segments with one minimizer meet, in order of doc_id. Each is a reference block for those after it: the index has, of every
     window, the smallest document that has it. A factor starts at the first window that a smaller document has and runs on word by
@@ -45,9 +45,9 @@ def factored(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
                 keys, at = np.unique(np.concatenate([seen[:0] if not more else seen, w[head]]), return_index=True)
                 seen, first = keys, np.concatenate([first[:0] if not more else first, smallest[order][head]])[at]
             found = removed_runs(doc, start, n, hit, width)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "a", "b"])
 
-    return by_route(rows).mapInArrow(run, "doc_id long, lo long, hi long")
+    return by_route(rows).mapInArrow(run, "doc_id long, a long, b long")
 
 
 def substring_dedup(docs: DataFrame, width: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -58,8 +58,8 @@ def substring_dedup(docs: DataFrame, width: int = WORDS, gram: int = GRAM) -> Da
     hash within a 64-bit minimizer. Columns besides doc_id and text are not read.
     """
     units = Units(True, width, gram)
-    rows = cut(judged(docs, units))
+    rows = stored(judged(docs, units))
     factors = factored(payloads(docs, rows.filter("NOT whole").drop("whole"), units), width)
-    whole = rows.filter("whole").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + width - 1).alias("hi"))
-    spans = cut(whole.union(factors))
-    return strip(docs, spans, units).withColumnRenamed("n_units", "n_words")
+    begin, count = F.shiftright("at", 16), F.shiftright("at", 1).bitwiseAND(0x7FFF)
+    whole = rows.filter("whole").select("doc_id", begin.alias("a"), (begin + count + width - 1).alias("b"))
+    return strip(docs, whole.union(factors), units).withColumnRenamed("n_units", "n_words")

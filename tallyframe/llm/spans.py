@@ -18,13 +18,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _TABLE, Rolling, cut, splitmix, text_chunks, word_hashes, word_spans
-from .jaccard import only
+from .common import _TABLE, Rolling, splitmix, stored, text_chunks, word_hashes, word_spans
 
 #: Bytes of text that are hashed at a time, and within which equal segments meet before they are shuffled.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A minimizer with more segments than this has them dealt out window by window, by the window's own hash.
 HOT = 5000
+#: Longest segment; and the most bytes of packed spans that are broadcast to the texts instead of shuffling these.
+LONGEST = 1 << 14
+BROADCAST = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,8 @@ def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
     whole = text[: len(least)] == text[units.width - 1 :]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1]) | ~whole[:-1]
+    since = np.arange(len(least)) - np.maximum.accumulate(np.where(new, np.arange(len(least)), 0))
+    new |= since % LONGEST == 0
     run = np.cumsum(new) - 1
     starts = np.flatnonzero(new & whole)
     counts = np.bincount(run[whole], minlength=run[-1] + 1)[run[starts]]
@@ -74,7 +78,10 @@ def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
-    """route, content, doc_id, start, n (windows), known: segments, one to a row. known: an earlier text of the chunk has it whole."""
+    """route, content, doc_id, at: segments, one to a row. at: first window << 16 | windows << 1 | known; see place().
+
+    known: an earlier text of the chunk has it whole.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -93,15 +100,16 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
                 known[order] = d > earliest
                 even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
                 route = np.where(known, even, route)
-                columns = [route.view(np.int64), content.view(np.int64), doc, start, n]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(known)], ["route", "content", "doc_id", "start", "n", "known"])
+                columns = [route.view(np.int64), content.view(np.int64), doc, start << 16 | n << 1 | known]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
 
     given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return given.mapInArrow(run, "route long, content long, doc_id long, start long, n long, known boolean")
+    return given.mapInArrow(run, "route long, content long, doc_id long, at long")
 
 
 def judged(docs: DataFrame, units: Units) -> DataFrame:
-    """Segments that matter: route, doc_id, start, n, whole (an earlier document has it whole; else it is to be compared), hot."""
+    """Segments that matter: route, doc_id, at (as of segments(), the last bit for hot), whole (an earlier document has it whole; else
+    it is to be compared)."""
     group = Window.partitionBy("route", "content")
     rows = segments(docs, units).repartition(F.col("route"))
     rows = rows.withColumn("earliest", F.min("doc_id").over(group))
@@ -110,14 +118,51 @@ def judged(docs: DataFrame, units: Units) -> DataFrame:
         "lo": F.min("doc_id").over(minimizer), "hi": F.max("doc_id").over(minimizer),
         "c0": F.min("content").over(minimizer), "c1": F.max("content").over(minimizer), "m": F.count(F.lit(1)).over(minimizer),
     })
-    whole = F.col("known") | (F.col("doc_id") > F.col("earliest"))
-    return rows.filter(whole | ((F.col("lo") < F.col("hi")) & (F.col("c0") < F.col("c1")))).select("route", "doc_id", "start", "n", whole.alias("whole"), (F.col("m") > HOT).alias("hot"))
+    whole = (F.col("at") % 2 == 1) | (F.col("doc_id") > F.col("earliest"))
+    return rows.filter(whole | ((F.col("lo") < F.col("hi")) & (F.col("c0") < F.col("c1")))).select(
+        "route", "doc_id", (F.col("at") - F.col("at") % 2 + F.when(F.col("m") > HOT, 1).otherwise(0)).alias("at"), whole.alias("whole")
+    )
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, *fields: str) -> DataFrame:
-    """Rows of `docs` (doc_id, text) that have spans, with an array of them. A document's spans are no more than its units."""
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("spans"))
-    return only(docs, spans.select("doc_id").distinct(), "doc_id").join(grouped, "doc_id")
+def packed(rows: DataFrame, merge: bool = False) -> DataFrame:
+    """doc_id, spans: per document its rows' two numbers (columns a, b), packed; merge: as from and to, overlaps joined.
+
+    A document has no more of them than units.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(1)
+            ends = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]
+            flat = np.column_stack([spans.values.field(i).to_numpy(zero_copy_only=False) for i in range(2)])
+            out = []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                own = flat[lo:hi]
+                own = own[np.lexsort((own[:, 1], own[:, 0]))]
+                if merge and len(own):
+                    reach = np.maximum.accumulate(own[:, 1])
+                    head = np.r_[True, own[1:, 0] > reach[:-1]]
+                    at = np.flatnonzero(head)
+                    own = np.column_stack([own[at, 0], reach[np.r_[at[1:], len(own)] - 1]])
+                out.append(np.ascontiguousarray(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "spans"])
+
+    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    return stored(grouped.mapInArrow(run, "doc_id long, spans binary"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """docs with packed spans, which are broadcast if they are small."""
+    size = spans.agg(F.sum(F.length("spans") + 64)).first()[0] or 0
+    return docs.join(F.broadcast(spans) if size <= BROADCAST else spans, "doc_id", how).select("doc_id", "text", "spans")
+
+
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column of packed spans: all of them, (n, 2), and where each row's begin."""
+    blobs = [b or b"" for b in column.to_pylist()]
+    ends = np.cumsum([0, *(len(b) // 16 for b in blobs)])
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), ends
 
 
 def payloads(docs: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
@@ -126,11 +171,9 @@ def payloads(docs: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            spans = batch.column(2)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ends = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1]
-            flat = spans.values
-            route, start, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            flat, ends = unpacked(batch.column(2))
+            route, start, n, hot = flat[:, 0], flat[:, 1] >> 16, flat[:, 1] >> 1 & 0x7FFF, flat[:, 1] % 2 == 1
             for lo, hi, data, offsets in text_chunks(batch, 1, CHUNK):
                 here = slice(ends[lo], ends[hi])
                 text = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
@@ -155,8 +198,8 @@ def payloads(docs: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
                 columns = [pa.array(r), pa.array(ids[lo:hi][text]), pa.array(s), pa.array(c), pa.array(found, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["route", "doc_id", "start", "n", "payload"])
 
-    given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), rows, "route", "start", "n", "hot")
-    return given.select("doc_id", "text", "spans").mapInArrow(run, "route long, doc_id long, start long, n long, payload binary")
+    given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), packed(rows.select("doc_id", F.col("route").alias("a"), F.col("at").alias("b"))), "inner")
+    return given.mapInArrow(run, "route long, doc_id long, start long, n long, payload binary")
 
 
 def by_route(rows: DataFrame) -> DataFrame:
@@ -216,17 +259,15 @@ def removed_runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray, hit: np.ndar
 
 
 def strip(docs: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
-    """doc_id, n_units, n_removed, n_spans, kept_sha256 of every row; spans: doc_id, lo, hi in units, that may overlap."""
+    """doc_id, n_units, n_removed, n_spans, kept_sha256 of every row; spans: doc_id, a, b (from, to in units), that may overlap."""
     import hashlib
 
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            spans = batch.column(2)
-            ends = np.frombuffer(spans.buffers()[1], np.int32)[spans.offset : spans.offset + len(spans) + 1] if spans.null_count < len(spans) else np.zeros(len(spans) + 1, np.int32)
-            flat = spans.values
-            lo_, hi_ = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2)) if len(flat) else (np.zeros(0, np.int64),) * 2
+            flat, ends = unpacked(batch.column(2))
+            lo_, hi_ = flat[:, 0], flat[:, 1]
             rows = []
             for lo, hi, data, offsets in text_chunks(batch, 1, CHUNK):
                 if units.words:
@@ -250,13 +291,8 @@ def strip(docs: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    touched = cut(spans.select("doc_id").distinct())
-    with_ = with_spans(docs, spans, "lo", "hi").select("doc_id", "text", "spans")
-    hint = F.broadcast(touched) if touched.count() <= 2_000_000 else touched
-    without = docs.join(hint, "doc_id", "left_anti").withColumn("spans", F.expr("CAST(array() AS array<struct<lo: bigint, hi: bigint>>)"))
-    schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
-    return with_.mapInArrow(run, schema).union(without.mapInArrow(run, schema))
+    given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), packed(spans, merge=True), "left")
+    return given.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _joined(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, keep: np.ndarray) -> bytes:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .spans import Units, by_route, judged, payloads, removed_runs, route_blocks, strip
 
 BYTES, GRAM = 50, 16
@@ -43,7 +43,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         suffix = order[open_]
         follow = rank[np.minimum(suffix + h, n)]
         group = at[open_]
-        o = np.lexsort((suffix, follow, group))
+        o = np.argsort(group * (n + 1) + follow)
         suffix, follow, group = suffix[o], follow[o], group[o]
         order[open_] = suffix
         head = np.ones(len(o), bool)
@@ -99,7 +99,7 @@ def _keys(text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated(rows: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
-    """doc_id, lo, hi: runs of windows that a smaller document has.
+    """doc_id, a, b (from, to): runs of windows that a smaller document has.
 
     All segments with one minimizer meet, in order of doc_id, in shards of about `shard` bytes. Each shard has a suffix array and
     its common prefixes; suffixes whose common prefixes reach `width` are one class, and its least document is the first. A
@@ -141,9 +141,9 @@ def repeated(rows: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
                 seen, at = np.unique(keys, return_index=True)
                 first = owners[at]
             found = removed_runs(doc, start, n, hit, width)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "a", "b"])
 
-    return by_route(rows).mapInArrow(run, "doc_id long, lo long, hi long")
+    return by_route(rows).mapInArrow(run, "doc_id long, a long, b long")
 
 
 def suffix_dedup(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -154,8 +154,8 @@ def suffix_dedup(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: i
     are not read.
     """
     units = Units(False, width, gram)
-    rows = cut(judged(docs, units))
+    rows = stored(judged(docs, units))
     runs = repeated(payloads(docs, rows.filter("NOT whole").drop("whole"), units), width, shard)
-    whole = rows.filter("whole").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + width - 1).alias("hi"))
-    spans = cut(whole.union(runs))
-    return strip(docs, spans, units).withColumnRenamed("n_units", "n_bytes")
+    begin, count = F.shiftright("at", 16), F.shiftright("at", 1).bitwiseAND(0x7FFF)
+    whole = rows.filter("whole").select("doc_id", begin.alias("a"), (begin + count + width - 1).alias("b"))
+    return strip(docs, whole.union(runs), units).withColumnRenamed("n_units", "n_bytes")
