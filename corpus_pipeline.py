@@ -22,7 +22,9 @@ def _stay(docs: DataFrame, verdicts: DataFrame, kept) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs, table(spark, sf_dir, "labels"), carry=True).filter("kept").select("row.*")
+    judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=True)
+    # A filter would be pushed down with the verdict's whole expression in it, over and over; this stays where it is.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
