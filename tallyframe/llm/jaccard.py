@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, splitmix, text_chunks, word_hashes, word_spans
+from .common import cut, lower_ascii, splitmix, stored, text_chunks, word_hashes, word_spans
 
 SIMILARITY = (90, 100)
 WORDS = 3
@@ -202,17 +202,19 @@ def kin(homes: DataFrame, label: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (u, v) among sets with one home, of which none or one links with it: by their common differences from it.
 
     Let r be the share of the sizes' sum by which linked sets differ at most. For x and a y that doesn't link with the home p,
-    hy > r (|y| + |p|), and a link of the two needs more than (hx + r (|p| - |x|)) / 2 common differences. So they have one of the
-    rarest hx - that + 1 differences of x in common.
+    hy > r (|y| + |p|), and a link of the two needs more than (hx + r (|p| - |x|)) / 2 common differences. So of the differences that
+    x has in common with any other set, the two share one of the rarest (their number - that + 1).
     """
     r = (1 - scheme.t) / (1 + scheme.t)
     rows = homes.select("p", "x", "np", "nx", "h", "linked", F.explode("apart").alias("e"))
     often = rows.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
-    rows = rows.join(often.filter("often > 1"), ["p", "e"], "left")
-    place = F.row_number().over(Window.partitionBy("x").orderBy(F.coalesce("often", F.lit(1)), "e"))
+    rows = rows.join(often.filter("often > 1"), ["p", "e"])
     least = F.greatest(F.lit(1), F.ceil((r.denominator * F.col("h") + r.numerator * (F.col("np") - F.col("nx"))) / (2 * r.denominator)))
-    probe = rows.withColumn("place", place).filter((F.col("place") <= F.col("h") - least + 1) & F.col("often").isNotNull()).select("p", "e", F.col("x").alias("v"))
-    index = rows.filter("NOT linked AND often IS NOT NULL").select("p", "e", "x")
+    place = F.row_number().over(Window.partitionBy("x").orderBy("often", "e"))
+    # What x has in common with any other set is among the differences that others have too; with fewer of these it has no link.
+    rows = rows.withColumns({"place": place, "others": F.count(F.lit(1)).over(Window.partitionBy("x"))})
+    probe = rows.filter(F.col("place") <= F.col("others") - least + 1).select("p", "e", F.col("x").alias("v"))
+    index = rows.filter("NOT linked").select("p", "e", "x")
     found = probe.join(index, ["p", "e"]).filter("v <> x").select(F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
     found = apart_still(found, label)
 
@@ -237,13 +239,13 @@ def apart_still(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Scheme, words: int) -> DataFrame:
     """Links enough to connect what blocks' lists (key, id) connect, besides the links in `known` (u, v)."""
-    lists = cut(lists)
+    lists = stored(lists)
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     central = cut(lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central")))
-    sets = cut(sets_of(only(docs, central.select(F.col("id").alias("doc_id")), "doc_id"), words).dropDuplicates(["id"]))
+    sets = stored(sets_of(only(docs, central.select(F.col("id").alias("doc_id")), "doc_id"), words).dropDuplicates(["id"]))
     pivots = cut(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
     pairs = lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct()
-    tested = cut(compared(pairs, sets, scheme))
+    tested = stored(compared(pairs, sets, scheme))
     edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
     label = components(edges)
     # Each set's home is the nearest pivot that it was compared to; sets with one home are compared through it.
@@ -269,7 +271,7 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     boundary of light and heavy sets, which otherwise follows from cost. Shingles are compared by 64-bit hashes.
     """
     scheme = Scheme(similarity, light_below)
-    rows = cut(signatures(docs, scheme, words))
+    rows = stored(signatures(docs, scheme, words))
     nodes = cut(rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
     apart = only(rows, nodes.select(F.col("id").alias("doc_id")), "doc_id")
     subsets = apart.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("subsets", "common")).alias("k"))
