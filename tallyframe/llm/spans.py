@@ -23,7 +23,7 @@ from .common import _TABLE, Rolling, splitmix, stored, text_chunks, word_hashes,
 #: Bytes of text that are hashed at a time, and within which equal segments meet before they are shuffled.
 CHUNK = 2 << 20
 #: A minimizer with more segments than this has them dealt out window by window, by the window's own hash.
-HOT = 5000
+HOT = 200_000
 #: Longest segment; and the most bytes of packed spans that are broadcast to the texts instead of shuffling these.
 LONGEST = 1 << 14
 BROADCAST = 64 << 20
