@@ -94,4 +94,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     table = F.from_json(F.lit(json.dumps([round(ratios.get(b, 0.0), 4) for b in range(buckets)])), "array<double>")
     total = F.aggregate(F.concat("h1", "h2"), F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets))))
     llr = F.coalesce(F.try_divide(total, F.size("h1") + F.size("h2")), F.lit(0.0))
-    return features(docs, carry).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("h1", "h2")
+    judged = features(docs, carry).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("h1", "h2")
+    # A row is handed on as it is: a filter on the verdict would else be pushed down with its whole expression in it, over and over.
+    return judged.select(F.explode(F.array(F.struct(*judged.columns))).alias("judged")).select("judged.*")
