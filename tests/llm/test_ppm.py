@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -74,16 +75,11 @@ def test_probabilities_add_up():
         assert p[np.isin(all_, keys)].sum() == pytest.approx(1.0)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
 def test_held_out_beats_base(spark):
-    """On texts of words made of few syllables the byte model does better than words can."""
-    import random
-
-    rnd = random.Random(3)
-    syllables = ["ta", "ri", "mon", "el", "sh", "qua", "ber", "no"]
-    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 6)))
-    rows = [(i, " ".join(word() for _ in range(120))) for i in range(300)]
-    out = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").toPandas()
-    assert out["score"].sum() > out["base_score"].sum()
+    """On held-out documents of a corpus of some size the model gives more probability than words do."""
+    out = ppm.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
 
 
 def test_empty(spark, none):
