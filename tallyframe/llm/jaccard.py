@@ -10,8 +10,8 @@ most a / 0.9 (both for the default of 0.9).
   have blocks in common. The inverted lists are of whole blocks and not of single elements: a line that a third of all documents
   share makes no long list unless the rest of the block is shared too. Members of a list are verified against its pivot, the
   most central member, which joins most families of near copies at once. What the pivot leaves apart is compared by how it differs
-  from the pivot: two sets that differ from it by hx and hy elements, m of them the same, differ by hx + hy - 2m from one another,
-  so a link needs common differences, and these are few and rare where the sets themselves have hundreds in common.
+  from what most sets near that pivot have (see kin()): a link needs common differences, and these are few and rare where the sets
+  themselves have hundreds in common.
 * A set is light if its subsets cost less than its blocks and their verification.
 
 Equal sets are one node throughout, so thousands of copies cost as much as one.
@@ -198,43 +198,61 @@ def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     return joined.select("p", "x", "a", "b").mapInPandas(run, "p long, x long, np long, nx long, h long, linked boolean, apart array<long>")
 
 
-def kin(homes: DataFrame, label: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (u, v) among sets with one home, of which none or one links with it: by their common differences from it.
+def centred(homes: DataFrame) -> DataFrame:
+    """homes with `apart` and h as of differences from the home's centre, which is no document: what most of its members have.
 
-    Let r be the share of the sizes' sum by which linked sets differ at most. For x and a y that doesn't link with the home p,
-    hy > r (|y| + |p|), and a link of the two needs more than (hx + r (|p| - |x|)) / 2 common differences. So of the differences that
-    x has in common with any other set, the two share one of the rarest (their number - that + 1).
+    A pivot's own elements are differences of all others; from the centre they are differences of none.
     """
-    r = (1 - scheme.t) / (1 + scheme.t)
-    rows = homes.select("p", "x", "np", "nx", "h", "linked", F.explode("apart").alias("e"))
-    often = rows.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
-    rows = rows.join(often.filter("often > 1"), ["p", "e"])
-    least = F.greatest(F.lit(1), F.ceil((r.denominator * F.col("h") + r.numerator * (F.col("np") - F.col("nx"))) / (2 * r.denominator)))
-    place = F.row_number().over(Window.partitionBy("x").orderBy("often", "e"))
-    # What x has in common with any other set is among the differences that others have too; with fewer of these it has no link.
-    rows = rows.withColumns({"place": place, "others": F.count(F.lit(1)).over(Window.partitionBy("x"))})
-    probe = rows.filter(F.col("place") <= F.col("others") - least + 1).select("p", "e", F.col("x").alias("v"))
-    index = rows.filter("NOT linked").select("p", "e", "x")
-    found = probe.join(index, ["p", "e"]).filter("v <> x").select(F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
-    found = apart_still(found, label)
+    often = homes.select("p", F.explode("apart").alias("e")).groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
+    members = homes.groupBy("p").agg(F.count(F.lit(1)).alias("members"))
+    flips = often.join(members, "p").filter("2 * often > members").groupBy("p").agg(F.collect_list("e").alias("flip"))
+    flip = F.coalesce("flip", F.array().cast("array<long>"))
+    apart = F.concat(F.array_except("apart", flip), F.array_except(flip, "apart"))
+    return homes.join(flips, "p", "left").withColumn("apart", apart).drop("flip").withColumn("h", F.size("apart").cast("long"))
 
-    def run(frames):
-        for pdf in frames:
-            keep = []
-            for a, b, na, nb in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"]):
-                h = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(scheme.linked((na + nb - h) // 2, na, nb))
-            yield pdf.loc[np.array(keep, bool), ["u", "v"]]
 
-    a, b = (homes.select(F.col("x").alias(k), F.col("nx").alias(f"n{c}"), F.col("apart").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    return found.join(a, "u").join(b, "v").mapInPandas(run, "u long, v long")
+def kin(homes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links (u, v) enough to connect what links connect among sets with one home: by their common differences from its centre.
 
+    homes: p, x, nx, linked, apart (see compared()) and x's component so far; a set may have several homes.
 
-def apart_still(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (u, v) in different components."""
-    u, v = label.select(F.col("id").alias("u"), F.col("component").alias("cu")), label.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-    joined = pairs.join(u, "u", "left").join(v, "v", "left")
-    return joined.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    Two sets that differ from the centre by hx and hy elements, m of them the same, differ by hx + hy - 2m from one another, and link
+    if that is at most r (|x| + |y|). Let f(x) = hx - r |x|, and let q be the home's set with the least f: all are compared with q.
+    A link needs 2m >= f(x) + f(y), f(y) is at least f(q), and that of a y that doesn't link with q is over -f(q), as hy + hq is then
+    over r (|y| + |q|). So of the differences that x has in common with any other set, the two share one of the rarest (their number -
+    the least m + 1), and that is among the rarest of y by the same count.
+    """
+    r = (1 - scheme.t) / (1 + scheme.t)
+    homes = stored(centred(homes).withColumn("f", r.denominator * F.col("h") - r.numerator * F.col("nx")))
+
+    def links(a, b, na, nb):
+        common = (F.col(na) + F.col(nb) - F.size(a) - F.size(b)) / 2 + F.size(F.array_intersect(a, b))
+        return common * scheme.t.denominator >= scheme.t.numerator * (F.col(na) + F.col(nb) - common)
+
+    first = homes.groupBy("p").agg(F.min_by("x", F.struct("f", "x")).alias("x"))
+    first = homes.join(first, ["p", "x"]).select("p", F.col("x").alias("q"), F.col("nx").alias("nq"), F.col("f").alias("fq"), F.col("apart").alias("aq"), F.col("linked").alias("lq"))
+    rows = stored(homes.join(first, "p").withColumn("near", links("apart", "aq", "nx", "nq")).drop("aq"))
+    # Those that link with the pivot are of one component with those that link with q, if q links with the pivot too.
+    tied = F.col("near") | (F.col("linked") & F.col("lq"))
+    each = rows.select("p", "x", "component", tied.alias("tied"), "f", "fq", F.explode("apart").alias("e"))
+    often = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
+    each = each.join(often.filter("often > 1"), ["p", "e"])
+
+    def rarest(floor):
+        least = F.ceil((F.col("f") + floor) / (2 * r.denominator))
+        return F.col("place") <= F.col("others") - F.greatest(least, F.lit(1)) + 1
+
+    place = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "e"))
+    # What x has in common with any other set is among the differences that others have too; with fewer of these it has no link.
+    each = each.withColumns({"place": place, "others": F.count(F.lit(1)).over(Window.partitionBy("p", "x"))})
+    probe = each.filter(rarest(F.abs("fq"))).select("p", "e", F.col("x").alias("v"), F.col("component").alias("cv"))
+    index = each.filter(~F.col("tied") & rarest(F.col("fq"))).select("p", "e", "x", "component")
+    same = (F.col("probe.p") == F.col("index.p")) & (F.col("probe.e") == F.col("index.e"))
+    found = probe.alias("probe").join(index.alias("index"), same & (F.col("component") != F.col("cv")))
+    found = found.select("probe.p", F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
+    a, b = (homes.select("p", F.col("x").alias(k), F.col("nx").alias(f"n{c}"), F.col("apart").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    found = found.join(a, ["p", "u"]).join(b, ["p", "v"]).filter(links("a", "b", "na", "nb")).select("u", "v")
+    return rows.filter("near AND x <> q").select(F.col("q").alias("u"), F.col("x").alias("v")).union(found)
 
 
 def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Scheme, words: int) -> DataFrame:
@@ -248,18 +266,24 @@ def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Sch
     tested = stored(compared(pairs, sets, scheme))
     edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
     label = components(edges)
-    # Each set's home is the nearest pivot that it was compared to; sets with one home are compared through it.
-    best = tested.groupBy("x").agg(F.min_by("p", F.struct("h", "p")).alias("p"))
-    homes = cut(tested.join(best, ["x", "p"]))
-    links = kin(homes, label, scheme)
-    # Members of one list with different homes are compared as they are. Each home counts once a list against each other set.
-    at = lists.join(pivots, "key").filter("id <> p").select("key", "id").join(best.select(F.col("x").alias("id"), F.col("p").alias("home")), "id")
-    mixed = at.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("key")
+    # Each set's home is a pivot that it was compared to: of those at most twice as far as the nearest, the one compared to most sets,
+    # so that most lists have one home. Sets with one home are compared through it.
+    most = tested.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    ranked = tested.select("p", "x", "h", F.min("h").over(Window.partitionBy("x")).alias("least")).filter("h <= 2 * least").join(most, "p")
+    best = cut(ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), -F.col("p"))).alias("p")))
+    own = label.select(F.col("id").alias("x"), "component")
+    homes = tested.join(best, ["x", "p"]).join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    links = kin(homes, scheme)
+    # Members of one list with different homes that are in different components yet are compared as they are. Each home counts once
+    # a list against each other set.
+    at = lists.join(pivots, "key").filter("id <> p").select("key", F.col("id").alias("x")).join(best.withColumnRenamed("p", "home"), "x")
+    at = at.join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    mixed = at.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("home", "component") for f in (F.min, F.max)])
+    mixed = mixed.filter("min_home <> max_home AND min_component <> max_component").select("key")
     at = cut(at.join(mixed, "key", "left_semi"))
-    left, right = at.select("key", F.col("id").alias("u"), F.col("home").alias("hu")), at.select("key", F.col("id").alias("v"), F.col("home").alias("hv"))
-    cross = left.join(right, "key").filter("hu < hv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    cross = cut(apart_still(cross, label).select(F.col("u").alias("p"), F.col("v").alias("x")))
-    more = compared(cross, sets, scheme).filter("linked").select("p", "x")
+    left, right = (at.select("key", F.col("x").alias(k), F.col("home").alias(f"h{k}"), F.col("component").alias(f"c{k}")) for k in ("u", "v"))
+    cross = left.join(right, "key").filter("hu < hv AND cu <> cv").select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x"))
+    more = compared(cut(cross.distinct()), sets, scheme).filter("linked").select("p", "x")
     return edges.union(links).union(more)
 
 

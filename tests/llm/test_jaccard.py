@@ -89,6 +89,26 @@ def test_family_that_a_pivot_leaves_apart(spark):
     assert got(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
+def test_passage_with_own_parts(spark):
+    """A passage with own parts of many lengths: a pivot's own part is a difference of all others; some link, some only in pairs."""
+    import random
+
+    rnd = random.Random(7)
+    passage = [f"t{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        own = [f"o{k // 2 if k % 5 == 0 else k}-{j}" for j in range(rnd.randrange(0, 60))]
+        text = passage[rnd.randrange(8) :] + own
+        rows.append((len(rows), " ".join(text)))
+        if k % 4 == 0:
+            text = list(text)
+            text[rnd.randrange(len(text))] = "x"
+            rows.append((len(rows), " ".join(text)))
+    want = brute(rows)
+    assert 10 < len({c for _, c in want.values()}) < len(rows) - 10
+    assert got(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_boundary_follows_cost():
     assert jaccard.Scheme().heavy == 20 and jaccard.Scheme((80, 100)).heavy < 20
 
