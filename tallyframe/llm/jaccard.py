@@ -238,15 +238,17 @@ def kin(homes: DataFrame, scheme: Scheme) -> DataFrame:
     often = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
     each = each.join(often.filter("often > 1"), ["p", "e"])
 
-    def rarest(floor):
-        least = F.ceil((F.col("f") + floor) / (2 * r.denominator))
-        return F.col("place") <= F.col("others") - F.greatest(least, F.lit(1)) + 1
+    def rarest(*least):
+        return F.col("place") <= F.col("others") - F.greatest(*least, F.lit(1)) + 1
+
+    at_least = F.ceil((F.col("f") + F.col("fq")) / (2 * r.denominator))
+    more_than = F.floor((F.col("f") - F.col("fq")) / (2 * r.denominator)) + 1
 
     place = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "e"))
     # What x has in common with any other set is among the differences that others have too; with fewer of these it has no link.
     each = each.withColumns({"place": place, "others": F.count(F.lit(1)).over(Window.partitionBy("p", "x"))})
-    probe = each.filter(rarest(F.abs("fq"))).select("p", "e", F.col("x").alias("v"), F.col("component").alias("cv"))
-    index = each.filter(~F.col("tied") & rarest(F.col("fq"))).select("p", "e", "x", "component")
+    probe = each.filter(rarest(at_least, more_than)).select("p", "e", F.col("x").alias("v"), F.col("component").alias("cv"))
+    index = each.filter(~F.col("tied") & rarest(at_least)).select("p", "e", "x", "component")
     same = (F.col("probe.p") == F.col("index.p")) & (F.col("probe.e") == F.col("index.e"))
     found = probe.alias("probe").join(index.alias("index"), same & (F.col("component") != F.col("cv")))
     found = found.select("probe.p", F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
