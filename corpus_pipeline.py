@@ -39,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with the probability that brings sources, languages and topics to their target shares."""
-    return _stay(docs, mix(docs), F.col("kept"))
+    return _stay(docs, mix(docs, calibrated=True), F.col("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,3 +111,37 @@ def test_mixing_meets_marginals(spark):
 def test_mixing_odd_rows(docs, none):
     out = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
     assert len(out) == docs.count() and out[900]["tokens"] == 0 and mixing.mix(none).count() == 0
+
+
+def misses(out, weight):
+    """By how much the marginals of `weight` miss their targets: of each dimension the largest ratio to the target, less 1."""
+    worst, total = 0.0, (out["tokens"] * out[weight]).sum()
+    for dim, power in (("source", mixing.SOURCE), ("lang", mixing.LANG), ("topic", mixing.TOPIC)):
+        tokens = out.groupby(dim)["tokens"].sum()
+        want = tokens**power / (tokens**power).sum()
+        worst = max(worst, ((out["tokens"] * out[weight]).groupby(out[dim]).sum() / total / want - 1).abs().max())
+    return worst
+
+
+def test_probabilities_meet_marginals(spark):
+    """A corpus so skewed that keep times the weight is over 1 in many cells."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(["w"] * rnd.randrange(1, 60)), rnd.choice(["en"] * 8 + ["fr"]), rnd.choice(["hot"] * 9 + ["b", "c", "d"])) for i in range(6000)] + [(9000, None, "xx", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mix(docs, topic=F.col("doc_id") % 3, calibrated=True).toPandas()
+    assert len(out) == len(rows) and out["probability"].between(0, 1).all()
+    seen = out[out["tokens"] > 0]
+    clipped = seen.assign(probability=(mixing.KEEP * seen["weight"]).clip(upper=1.0))
+    assert misses(clipped, "probability") > 0.1
+    assert misses(seen, "probability") <= mixing.NEAR
+    # Nothing is given up without need: weights alone would have to be scaled down further.
+    assert (seen["tokens"] * seen["probability"]).sum() / seen["tokens"].sum() > 1.1 / seen["weight"].max()
+    assert abs((seen["tokens"] * seen["kept"]).sum() / (seen["tokens"] * seen["probability"]).sum() - 1) < 0.05
+
+
+def test_calibrated_keeps_what_fits(spark, none):
+    """Where no weight is cut, the probabilities are the same ones."""
+    rows = [(i, "w " * 10, ("en", "fr")[i % 2], ("a", "b")[i // 2 % 2]) for i in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), topic=F.lit(0), calibrated=True).toPandas()
+    assert (out["probability"] - mixing.KEEP).abs().max() < 1e-9
+    assert mixing.mix(none, calibrated=True).count() == 0
