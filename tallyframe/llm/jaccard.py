@@ -11,7 +11,7 @@ most a / 0.9 (both for the default of 0.9).
   share makes no long list unless the rest of the block is shared too. Members of a list are verified against its pivot, the
   most central member, which joins most families of near copies at once. What the pivot leaves apart is compared by how it differs
   from what most sets near that pivot have (see kin()): a link needs common differences, and these are few and rare where the sets
-  themselves have hundreds in common.
+  themselves have hundreds in common. Sketches of 512 bits rule out nearly all that differ by too much before a pair is made.
 * A set is light if its subsets cost less than its blocks and their verification.
 
 Equal sets are one node throughout, so thousands of copies cost as much as one.
@@ -24,15 +24,18 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, lower_ascii, splitmix, stored, text_chunks, word_hashes, word_spans
 
 SIMILARITY = (90, 100)
 WORDS = 3
-#: A side of at most so many rows of one id is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: A side of at most so many rows of one id (some 150 bytes each in memory) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 400_000
+#: 64-bit words of a set's sketch.
+SKETCH = [f"k{i}" for i in range(8)]
 #: Ratio of size classes within which sets have the same number of blocks.
 CLASS = Fraction(3, 2)
 
@@ -66,6 +69,16 @@ class Scheme:
     def blocks_of(self, n: int) -> int:
         return self.differences(n) + 1
 
+    def near(self, left: str, right: str, a: str, b: str) -> Column:
+        """Whether two sets' sketches (columns with these prefixes) allow a link of sets with a and b elements.
+
+        A sketch has at each bit the parity of the elements that hash to it, so two sketches differ in no more bits than the sets
+        in elements: this never rules out a link.
+        """
+        bits = sum((F.bit_count(F.col(left + k).bitwiseXOR(F.col(right + k))) for k in SKETCH[1:]), F.bit_count(F.col(left + SKETCH[0]).bitwiseXOR(F.col(right + SKETCH[0]))))
+        p, q = self.t.numerator, self.t.denominator
+        return bits * (p + q) <= (q - p) * (F.col(a) + F.col(b))
+
     def linked(self, common, a, b):
         return common * self.t.denominator >= self.t.numerator * (a + b - common)
 
@@ -124,39 +137,48 @@ def shingle_sets(batch, text: int, words: int = WORDS):
                 yield np.zeros(0, np.uint64)
 
 
+def set_ids(sets: list[np.ndarray]) -> list[int]:
+    """A 64-bit digest of each set; 0 for an empty one."""
+    return [int(splitmix(splitmix(x ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64([len(x)]))[0].astype(np.int64)) if len(x) else 0 for x in sets]
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements by 9 bits of their hash, as 64-bit words."""
+    odd = np.bincount((splitmix(elements) & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, scheme: Scheme, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set), blocks, subsets and common (see Scheme.keys)."""
+    """Of doc_id, text and more: all but the text, n_shingles, id (a digest of the set), blocks, subsets and common (see Scheme.keys)."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for elements in shingle_sets(batch, 1, words):
-                n = len(elements)
-                d1 = splitmix(splitmix(elements ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64([n]))[0] if n else 0
-                d2 = splitmix(splitmix(elements * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64) + np.uint64([n]))[0] if n else 0
-                blocks, subsets, common = scheme.keys(elements) if n else (elements, elements, elements)
-                rows.append((n, np.uint64(d1).astype(np.int64), np.uint64(d2).astype(np.int64), blocks.view(np.int64), subsets.view(np.int64), common.astype(np.int32)))
-            if rows:
-                n, d1, d2, blocks, subsets, common = map(list, zip(*rows))
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-                columns += [pa.array(blocks, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "blocks", "subsets", "common"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, blocks array<long>, subsets array<long>, common array<int>")
+            sets = list(shingle_sets(batch, 1, words))
+            if sets:
+                blocks, subsets, common = zip(*(scheme.keys(x) if len(x) else (x, x, x) for x in sets))
+                columns = [batch.column(0), *batch.columns[2:], pa.array(map(len, sets), pa.int64()), pa.array(set_ids(sets), pa.int64())]
+                columns += [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())) for found in (blocks, subsets)]
+                columns += [pa.array([x.astype(np.int32) for x in common], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    made = StructType.fromDDL("n_shingles long, id long, blocks array<long>, subsets array<long>, common array<int>")
+    schema = StructType([docs.schema["doc_id"], *docs.schema.fields[2:], *made.fields])
+    names = schema.names
+    return docs.mapInArrow(run, schema)
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, elements: the sorted hashes as bytes."""
+    """id, elements: the sorted hashes as bytes."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            found = [x.tobytes() for x in shingle_sets(batch, 1, words)]
+            found = list(shingle_sets(batch, 1, words))
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "elements"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, elements binary")
+    return docs.mapInArrow(run, "id long, elements binary")
 
 
 def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -180,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of `pairs` (p, x): np, nx (sizes), h (elements in one of the two only), linked, and those elements."""
+    """Of `pairs` (p, x): np, nx (sizes), h (elements in one of the two only), linked, those elements, and x's sketch."""
 
     def run(frames):
         for pdf in frames:
@@ -189,13 +211,13 @@ def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 apart = np.setxor1d(a, b, assume_unique=True)
                 linked = scheme.linked((len(a) + len(b) - len(apart)) // 2, len(a), len(b))
-                out.append((p, x, len(a), len(b), len(apart), bool(linked), apart.view(np.int64)))
-            yield pd.DataFrame(out, columns=["p", "x", "np", "nx", "h", "linked", "apart"])
+                out.append((p, x, len(a), len(b), len(apart), bool(linked), apart.view(np.int64), *sketch(b)))
+            yield pd.DataFrame(out, columns=["p", "x", "np", "nx", "h", "linked", "apart", *SKETCH])
 
     pivots = only(sets.withColumnRenamed("id", "p"), cut(pairs.select("p").distinct()), "p").withColumnRenamed("elements", "a")
     others = only(sets.withColumnRenamed("id", "x"), cut(pairs.select("x").distinct()), "x").withColumnRenamed("elements", "b")
     joined = pairs.join(others, "x").join(pivots, "p")
-    return joined.select("p", "x", "a", "b").mapInPandas(run, "p long, x long, np long, nx long, h long, linked boolean, apart array<long>")
+    return joined.select("p", "x", "a", "b").mapInPandas(run, "p long, x long, np long, nx long, h long, linked boolean, apart array<long>" + "".join(f", {k} long" for k in SKETCH))
 
 
 def centred(homes: DataFrame) -> DataFrame:
@@ -214,13 +236,14 @@ def centred(homes: DataFrame) -> DataFrame:
 def kin(homes: DataFrame, scheme: Scheme) -> DataFrame:
     """Links (u, v) enough to connect what links connect among sets with one home: by their common differences from its centre.
 
-    homes: p, x, nx, linked, apart (see compared()) and x's component so far; a set may have several homes.
+    homes: p, x, nx, linked, apart, sketch (see compared()) and x's component so far; a set may have several homes.
 
     Two sets that differ from the centre by hx and hy elements, m of them the same, differ by hx + hy - 2m from one another, and link
     if that is at most r (|x| + |y|). Let f(x) = hx - r |x|, and let q be the home's set with the least f: all are compared with q.
     A link needs 2m >= f(x) + f(y), f(y) is at least f(q), and that of a y that doesn't link with q is over -f(q), as hy + hq is then
     over r (|y| + |q|). So of the differences that x has in common with any other set, the two share one of the rarest (their number -
-    the least m + 1), and that is among the rarest of y by the same count.
+    the least m + 1), and that is among the rarest of y by the same count. Sketches are compared where these meet: of sets that share
+    a rare difference and nothing else no pair is made.
     """
     r = (1 - scheme.t) / (1 + scheme.t)
     homes = stored(centred(homes).withColumn("f", r.denominator * F.col("h") - r.numerator * F.col("nx")))
@@ -234,7 +257,7 @@ def kin(homes: DataFrame, scheme: Scheme) -> DataFrame:
     rows = stored(homes.join(first, "p").withColumn("near", links("apart", "aq", "nx", "nq")).drop("aq"))
     # Those that link with the pivot are of one component with those that link with q, if q links with the pivot too.
     tied = F.col("near") | (F.col("linked") & F.col("lq"))
-    each = rows.select("p", "x", "component", tied.alias("tied"), "f", "fq", F.explode("apart").alias("e"))
+    each = rows.select("p", "x", "component", tied.alias("tied"), "f", "fq", "nx", *SKETCH, F.explode("apart").alias("e"))
     often = each.groupBy("p", "e").agg(F.count(F.lit(1)).alias("often"))
     each = each.join(often.filter("often > 1"), ["p", "e"])
 
@@ -247,22 +270,26 @@ def kin(homes: DataFrame, scheme: Scheme) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "e"))
     # What x has in common with any other set is among the differences that others have too; with fewer of these it has no link.
     each = each.withColumns({"place": place, "others": F.count(F.lit(1)).over(Window.partitionBy("p", "x"))})
-    probe = each.filter(rarest(at_least, more_than)).select("p", "e", F.col("x").alias("v"), F.col("component").alias("cv"))
-    index = each.filter(~F.col("tied") & rarest(at_least)).select("p", "e", "x", "component")
-    same = (F.col("probe.p") == F.col("index.p")) & (F.col("probe.e") == F.col("index.e"))
-    found = probe.alias("probe").join(index.alias("index"), same & (F.col("component") != F.col("cv")))
+    probe = each.filter(rarest(at_least, more_than)).select("p", "e", F.col("x").alias("v"), F.col("component").alias("cv"), F.col("nx").alias("nv"), *SKETCH)
+    index = each.filter(~F.col("tied") & rarest(at_least)).select("p", "e", "x", "component", "nx", *SKETCH)
+    same = (F.col("probe.p") == F.col("index.p")) & (F.col("probe.e") == F.col("index.e")) & (F.col("component") != F.col("cv"))
+    found = probe.alias("probe").join(index.alias("index"), same & scheme.near("probe.", "index.", "nv", "nx"))
     found = found.select("probe.p", F.least("v", "x").alias("u"), F.greatest("v", "x").alias("v")).distinct()
     a, b = (homes.select("p", F.col("x").alias(k), F.col("nx").alias(f"n{c}"), F.col("apart").alias(c)) for k, c in (("u", "a"), ("v", "b")))
     found = found.join(a, ["p", "u"]).join(b, ["p", "v"]).filter(links("a", "b", "na", "nb")).select("u", "v")
     return rows.filter("near AND x <> q").select(F.col("q").alias("u"), F.col("x").alias("v")).union(found)
 
 
-def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Scheme, words: int) -> DataFrame:
-    """Links enough to connect what blocks' lists (key, id) connect, besides the links in `known` (u, v)."""
+def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: DataFrame, scheme: Scheme, words: int) -> DataFrame:
+    """Links enough to connect what blocks' lists (key, id) connect, besides the links in `known` (u, v).
+
+    docs: doc_id, text; nodes: a document (doc_id) with the set (id).
+    """
     lists = stored(lists)
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     central = cut(lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central")))
-    sets = stored(sets_of(only(docs, central.select(F.col("id").alias("doc_id")), "doc_id"), words).dropDuplicates(["id"]))
+    wanted = cut(nodes.join(central, "id", "left_semi").select("doc_id"))
+    sets = stored(sets_of(only(docs, wanted, "doc_id"), words).dropDuplicates(["id"]))
     pivots = cut(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
     pairs = lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct()
     tested = stored(compared(pairs, sets, scheme))
@@ -272,43 +299,54 @@ def block_edges(lists: DataFrame, docs: DataFrame, known: DataFrame, scheme: Sch
     # so that most lists have one home. Sets with one home are compared through it.
     most = tested.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     ranked = tested.select("p", "x", "h", F.min("h").over(Window.partitionBy("x")).alias("least")).filter("h <= 2 * least").join(most, "p")
-    best = cut(ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), -F.col("p"))).alias("p")))
+    best = cut(ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), "p")).alias("p")))
     own = label.select(F.col("id").alias("x"), "component")
-    homes = tested.join(best, ["x", "p"]).join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    homes = stored(tested.join(best, ["x", "p"]).join(own, "x", "left").withColumn("component", F.coalesce("component", "x")))
     links = kin(homes, scheme)
-    # Members of one list with different homes that are in different components yet are compared as they are. Each home counts once
-    # a list against each other set.
-    at = lists.join(pivots, "key").filter("id <> p").select("key", F.col("id").alias("x")).join(best.withColumnRenamed("p", "home"), "x")
-    at = at.join(own, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    # Members of one list with different homes that are in different components yet are compared as they are, where sketches allow it.
+    at = lists.join(pivots, "key").filter("id <> p").select("key", F.col("id").alias("x"))
+    at = at.join(homes.select("x", F.col("p").alias("home"), "component", "nx", *SKETCH), "x")
     mixed = at.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("home", "component") for f in (F.min, F.max)])
     mixed = mixed.filter("min_home <> max_home AND min_component <> max_component").select("key")
-    at = cut(at.join(mixed, "key", "left_semi"))
-    left, right = (at.select("key", F.col("x").alias(k), F.col("home").alias(f"h{k}"), F.col("component").alias(f"c{k}")) for k in ("u", "v"))
-    cross = left.join(right, "key").filter("hu < hv AND cu <> cv").select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x"))
+    at = stored(at.join(mixed, "key", "left_semi"))
+    left, right = (at.select("key", F.col("x").alias(k), F.col("home").alias(f"h{k}"), F.col("component").alias(f"c{k}"), F.col("nx").alias(f"n{k}"), *SKETCH) for k in ("u", "v"))
+    apart = (F.col("hu") < F.col("hv")) & (F.col("cu") != F.col("cv")) & scheme.near("left.", "right.", "nu", "nv")
+    cross = left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key")) & apart)
+    cross = cross.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x"))
     more = compared(cut(cross.distinct()), sets, scheme).filter("linked").select("p", "x")
     return edges.union(links).union(more)
 
 
-def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = WORDS, light_below: int | None = None) -> DataFrame:
+def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = WORDS, light_below: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     Shingles are of `words` lower-cased (A-Z) words; a text with fewer is one shingle; one without words, or null, is linked with
-    nothing. Rows that repeat a doc_id are one document. Columns besides doc_id and text are not read. light_below sets the
-    boundary of light and heavy sets, which otherwise follows from cost. Shingles are compared by 64-bit hashes.
+    nothing. Links are between texts: each of the rows that repeat a doc_id has the class of its own text. A row without doc_id has
+    its class's least one, null if that class has none. Columns besides doc_id and text are not read, but for those in `carry`,
+    which come back with `class`, a number that differs between classes. light_below sets the boundary of light and heavy sets,
+    which otherwise follows from cost. Shingles and sets are compared by 64-bit hashes.
     """
     scheme = Scheme(similarity, light_below)
-    rows = stored(signatures(docs, scheme, words))
-    nodes = cut(rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
-    apart = only(rows, nodes.select(F.col("id").alias("doc_id")), "doc_id")
-    subsets = apart.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("subsets", "common")).alias("k"))
+    carried = [F.col(c).alias(f"_{n}") for n, c in enumerate(carry)]
+    rows = stored(signatures(docs.select(F.col("doc_id").cast("long"), "text", *carried), scheme, words))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    nodes = cut(rows.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")))
+    # One document stands for each set; those without doc_id all stand for theirs.
+    anonymous = F.lit(-(1 << 63))
+    docs, chosen = docs.withColumn("doc_id", F.coalesce("doc_id", anonymous)), nodes.select("id", F.coalesce("least", anonymous).alias("doc_id"))
+    apart = only(rows.withColumn("doc_id", F.coalesce("doc_id", anonymous)), cut(chosen.select("doc_id").distinct()), "doc_id")
+    subsets = apart.select("id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("subsets", "common")).alias("k"))
     subsets = subsets.select("id", "n", F.col("k.subsets").alias("key"), F.col("k.common").alias("common"))
     smallest = subsets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "id")).alias("least")).filter("m > 1")
     light = subsets.join(smallest, "key").filter("id <> least.id")
     p, q = scheme.t.numerator, scheme.t.denominator
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
-    blocks = apart.select(F.col("doc_id").alias("id"), F.explode("blocks").alias("key"))
+    blocks = apart.select("id", F.explode("blocks").alias("key"))
     lists = only(blocks, cut(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")), "key").distinct()
-    edges = block_edges(lists, docs, cut(light.distinct()), scheme, words)
+    edges = block_edges(lists, docs, chosen, cut(light.distinct()), scheme, words)
     label = components(edges)
-    found = rows.drop("blocks", "subsets", "common").join(nodes, ["d1", "d2"], "left").join(label, "id", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    least = label.join(nodes, "id").groupBy("component").agg(F.min("least").alias("component_id"))
+    label = label.join(least, "component")
+    found = rows.drop("blocks", "subsets", "common").join(nodes, "id", "left").join(label, "id", "left")
+    back = [F.coalesce("component", "id").alias("class"), *(F.col(f"_{n}").alias(c) for n, c in enumerate(carry))] if carry else []
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"), *back)

@@ -2,22 +2,23 @@ import re
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def sets(rows):
+def sets(rows, words=3):
     out = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-        out[i] = frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+        out[i] = frozenset(zip(*(w[k:] for k in range(words)))) if len(w) >= words else frozenset([tuple(w)] if w else [])
     return out
 
 
-def brute(rows, similarity=(90, 100)):
-    found = sets(rows)
+def brute(rows, similarity=(90, 100), words=3):
+    found = sets(rows, words)
     parent = {i: i for i in found}
 
     def top(i):
@@ -119,6 +120,55 @@ def test_empty_and_repeated(spark, none):
     assert sorted(tuple(r) for r in jaccard.jaccard_classes(twice).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_ids_that_repeat(spark):
+    """A doc_id with two texts, and rows without one: each row has the class of its own text."""
+    base = [f"t{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (1, "other words here"), (2, " ".join(base + ["x"])), (None, " ".join(base + ["y"])), (None, "alone in this class"), (4, "other words here")]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (None, None), (4, 1)], key=repr)
+    carried = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("mine")), carry=("class",))
+    assert carried.columns == ["doc_id", "n_shingles", "component_id", "class", "class"]
+
+
+def test_large_family(spark):
+    """Two thousand copies with up to thirty edits each: links are those of brute force, and pairs that are made grow with links."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(11)
+    base = [f"t{k}" for k in range(150)]
+    rows = []
+    for k in range(2000):
+        text = list(base)
+        for at in rnd.sample(range(150), rnd.randrange(31)):
+            text[at] = f"e{rnd.randrange(40)}"
+        rows.append((k, " ".join(text)))
+    found = list(sets(rows).values())
+    place = {e: n for n, e in enumerate(sorted(set().union(*found)))}
+    x = np.zeros((len(rows), len(place)), np.float32)
+    for k, s in enumerate(found):
+        x[k, [place[e] for e in s]] = 1
+    common, size = x @ x.T, x.sum(axis=1)
+    linked = 10 * common >= 9 * (size[:, None] + size - common)
+    label, before = np.arange(len(rows)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(linked, label, len(rows)).min(axis=1)
+    assert got(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == {k: (len(found[k]), label[k]) for k in range(len(rows))}
+
+
+def test_sketches_rule_out_no_link():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        a = rnd.integers(0, 1 << 62, rnd.integers(1, 3000)).astype(np.uint64)
+        b = np.unique(np.r_[a[rnd.random(len(a)) < 0.95], rnd.integers(0, 1 << 62, rnd.integers(0, 40)).astype(np.uint64)])
+        a = np.unique(a)
+        bits = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {r["id"]: r["component"] for r in jaccard.components(chain).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
