@@ -3,7 +3,9 @@
 The trie of byte contexts up to ORDER bytes long is a table: counts of (context, byte) of every training document. Documents fall
 into blocks of about BLOCK bytes by hash of doc_id. A block sends the distinct keys it has, with its counts, to buckets by hash of
 the key; buckets add up counts over blocks and send back to each block what it needs to score its own texts. So no task ever holds
-the model, and what travels is distinct keys, packed as sorted arrays.
+the model, and what travels is distinct keys, packed as sorted arrays. Blocks grow in number with the corpus; buckets follow the
+distinct keys, of which there are far fewer, and are streamed: a task holds one bucket's distinct keys and no more of its blocks
+than a batch.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from .common import lower_ascii, splitmix, stored, text_chunks, word_hashes, wor
 
 #: Longest context in bytes; a context and its byte fill a 64-bit key for up to 7.
 ORDER = 5
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Text to a bucket, and the most buckets: a bucket's share of some 10**10 distinct keys is then still a few million.
+SHARE, BUCKETS = 16 << 20, 4096
 #: Two bytes that UTF-8 never has: what comes before a text, and its end.
 START, END = 0xFE, 0xFF
 GRAM, WORD = 0, 1
@@ -76,6 +80,41 @@ def split(keys: np.ndarray, where: np.ndarray, *more: np.ndarray):
         yield int(where[order[a]]), *(x[order[a:b]] for x in (keys, *more))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Compressed byte plane by byte plane: the high bytes of small numbers are zeros."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _numbers(blob: bytes, kind: type) -> np.ndarray:
+    """_planes(), undone."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, packed as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def spread(blob: bytes) -> np.ndarray:
+    """squeezed(), undone."""
+    return np.cumsum(_numbers(blob, np.uint64), dtype=np.uint64)
+
+
+def coded(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Doubles, of which many are equal: the distinct ones, and where each is among them."""
+    distinct, place = np.unique(values, return_inverse=True)
+    return _planes(distinct), _planes(place.astype(np.int32))
+
+
+def uncoded(distinct: bytes, place: bytes) -> np.ndarray:
+    return _numbers(distinct, np.float64)[_numbers(place, np.int32)]
+
+
 def gathered(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """block, kind, bucket, keys, counts: a block's distinct keys, and how often its training texts have each."""
     import pyarrow as pa
@@ -90,60 +129,84 @@ def gathered(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         block = table.column("block")[0].as_py()
         for kind, parts in found.items():
             keys, counts = add_up(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            rows += [(block, kind, b, k.tobytes(), c.tobytes()) for b, k, c in split(keys, bucket_of(keys, buckets), counts)]
+            rows += [(block, kind, b, squeezed(k), _planes(c.astype(np.int32))) for b, k, c in split(keys, bucket_of(keys, buckets), counts)]
         return pa.table(dict(zip(("block", "kind", "bucket", "keys", "counts"), zip(*rows))) if rows else {c: [] for c in ("block", "kind", "bucket", "keys", "counts")}, schema=schema)
 
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     return blocks.groupBy("block").applyInArrow(run, "block long, kind int, bucket long, keys binary, counts binary")
 
 
-def _arrays(table, *columns: tuple[str, type]):
-    return [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in columns]
+def by_bucket(rows: DataFrame, *then: str) -> DataFrame:
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", *then)
 
 
 def totals(sent: DataFrame) -> DataFrame:
-    """kind, bucket, keys, counts (as integers and, in values, as doubles) over all blocks; 0 for keys of held-out texts alone."""
+    """kind, bucket, keys, counts, n (their sum), v (how many aren't 0) over all blocks; 0 for keys of held-out texts alone."""
     import pyarrow as pa
 
-    def run(table):
-        keys, counts = add_up(*_arrays(table, ("keys", np.uint64), ("counts", np.int64)))
-        return pa.table({
-            "kind": pa.array([table.column("kind")[0].as_py()], pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()),
-            "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "values": pa.array([counts.astype(np.float64).tobytes()], pa.binary()),
-            "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64()),
-        })
+    names = ["kind", "bucket", "keys", "counts", "n", "v"]
+
+    def out(at, keys, counts):
+        values = [[at[0]], [at[1]], [squeezed(keys)], [_planes(counts)], [int(counts.sum())], [int((counts > 0).sum())]]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
 
-    return sent.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket long, keys binary, counts binary, values binary, n long, v long")
+    def run(batches):
+        at, parts, held, most = None, [], 0, 1 << 21
 
+        def folded():
+            return add_up(*(np.concatenate(x) for x in zip(*parts)))
 
-def pair_counts(all_: DataFrame) -> np.ndarray:
-    """Counts of (byte before, byte): 256 x 256 whatever the corpus."""
+        for batch in batches:
+            for kind, bucket, keys, counts in zip(*(batch.column(i) for i in range(4))):
+                now = (kind.as_py(), bucket.as_py())
+                if now != at:
+                    if at:
+                        yield out(at, *folded())
+                    at, parts, held, most = now, [], 0, 1 << 21
+                parts.append((spread(keys.as_py()), _numbers(counts.as_py(), np.int32).astype(np.int64)))
+                held += len(parts[-1][0])
+                if held > most:
+                    parts = [folded()]
+                    held = len(parts[0][0])
+                    most = max(1 << 21, 2 * held)
+        if at:
+            yield out(at, *folded())
+
+    rows = by_bucket(sent).select("kind", "bucket", "keys", "counts")
+    return rows.mapInArrow(run, "kind int, bucket long, keys binary, counts binary, n long, v long")
+
+
+def triple_counts(all_: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (two bytes before, byte) keys and their counts: at most 256**3 whatever the corpus, some 10**5 in texts."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            keys, counts = _arrays(batch, ("keys", np.uint64), ("counts", np.int64))
-            pair, n = add_up(keys & np.uint64(0xFFFF), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(n)], ["pair", "n"])
+            for keys, counts in zip(batch.column(0), batch.column(1)):
+                triple, n = add_up(spread(keys.as_py()) & np.uint64(0xFFFFFF), _numbers(counts.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(triple.astype(np.int32)), pa.array(n)], ["triple", "n"])
 
-    rows = all_.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << 16, np.int64)
-    for r in rows:
-        out[r["pair"]] = r["n"]
-    return out.reshape(256, 256)
+    rows = all_.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    found = rows.filter("n > 0").toArrow()
+    keys, counts = found.column("triple").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, triples: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
     """log10 P(byte | context) of each key, by PPM with escape method D and symbol exclusion.
 
-    keys: distinct; with every key that shares the two bytes before the predicted one with any of them. counts: in training, 0 for
-    keys to score only. A context gives a seen byte (2c - 1) / 2n and escape u / 2n, of u distinct bytes in n; bytes that a longer
+    keys: distinct; with every key that shares the three bytes before the predicted one with any of them. counts: in training, 0
+    for keys to score only. triples: as of triple_counts(), for all keys; contexts up to two bytes long are there. order: 2 or more. A context gives a seen byte (2c - 1) / 2n and escape u / 2n, of u distinct bytes in n; bytes that a longer
     context has seen are left out of n and u of the shorter one. A context that training hasn't seen costs nothing.
     """
     seen = counts > 0
     level = [None] * (order + 1)
     k, c = add_up(keys[seen], counts[seen])
     for j in range(order, 1, -1):
+        if j == 2:
+            k, c = triples
         context = k >> np.uint64(8)
         at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(k) else np.zeros(0, np.int64)
         level[j] = (k, c, context[at], np.add.reduceat(c, at) if len(at) else c[:0], np.diff(np.r_[at, len(k)]), at)
@@ -153,7 +216,10 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, o
         at = np.minimum(np.searchsorted(sorted_, wanted), max(len(sorted_) - 1, 0))
         return at, (sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool))
 
-    one, zero = pairs, pairs.sum(axis=0)
+    one = np.zeros(1 << 16, np.int64)
+    np.add.at(one, (triples[0] & np.uint64(0xFFFF)).astype(np.int64), triples[1])
+    one = one.reshape(256, 256)
+    zero = one.sum(axis=0)
     byte, before = (keys & np.uint64(255)).astype(int), (keys >> np.uint64(8) & np.uint64(255)).astype(int)
     score = np.zeros(len(keys))
     done = np.zeros(len(keys), bool)
@@ -196,43 +262,62 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, o
     return np.where(done, score, score - math.log10(max(unseen, 1)))
 
 
-def model(all_: DataFrame, pairs: np.ndarray, order: int, buckets: int) -> DataFrame:
-    """bucket, keys, scores of all gram keys. Keys meet by the two bytes before the predicted one, which all orders from 2 share."""
+def model(all_: DataFrame, order: int, buckets: int) -> DataFrame:
+    """kind, bucket, keys, values of all gram keys. Keys meet by the three bytes before the predicted one."""
     import pyarrow as pa
 
+    triples = all_.sparkSession.sparkContext.broadcast(triple_counts(all_))
+
     def apart(batches):
         for batch in batches:
-            keys, counts = _arrays(batch, ("keys", np.uint64), ("counts", np.int64))
-            rows = list(split(keys, bucket_of(keys >> np.uint64(8) & np.uint64(0xFFFF), buckets), counts))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays(columns, ["by", "keys", "counts"])
+            for keys, counts in zip(batch.column(0), batch.column(1)):
+                keys, counts = spread(keys.as_py()), _numbers(counts.as_py(), np.int64)
+                rows = list(split(keys, bucket_of(keys >> np.uint64(8) & np.uint64(0xFFFFFF), buckets), counts))
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([squeezed(r[1]) for r in rows], pa.binary()), pa.array([_planes(r[2]) for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["by", "keys", "counts"])
 
     def run(table):
-        keys, counts = _arrays(table, ("keys", np.uint64), ("counts", np.int64))
-        scores = log_probabilities(keys, counts, pairs, order)
-        rows = list(split(keys, bucket_of(keys, buckets), scores))
+        keys = np.concatenate([spread(k) for k in table.column("keys").to_pylist()])
+        counts = np.concatenate([_numbers(c, np.int64) for c in table.column("counts").to_pylist()])
+        scores = log_probabilities(keys, counts, triples.value, order)
+        at = np.argsort(keys)
+        rows = list(split(keys[at], bucket_of(keys[at], buckets), scores[at]))
         return pa.table({
             "kind": pa.array([GRAM] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int64()),
-            "keys": pa.array([r[1].tobytes() for r in rows], pa.binary()), "values": pa.array([r[2].tobytes() for r in rows], pa.binary()),
+            "keys": pa.array([squeezed(r[1]) for r in rows], pa.binary()), "values": pa.array([_planes(r[2]) for r in rows], pa.binary()),
         })
 
     met = all_.filter(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(apart, "by long, keys binary, counts binary")
     return met.groupBy("by").applyInArrow(run, "kind int, bucket long, keys binary, values binary")
 
 
-def answered(sent: DataFrame, values: DataFrame) -> DataFrame:
-    """block, kind, bucket, values: for each key that a block sent, in order, its value."""
+def answered(sent: DataFrame, grams_: DataFrame, words: DataFrame) -> DataFrame:
+    """block, kind, bucket, distinct, place: for each key that a block sent, in order, its value: log-probability, or a word's count."""
     import pyarrow as pa
 
-    def run(asked, known):
-        keys, value = _arrays(known, ("keys", np.uint64), ("values", np.float64))
-        order = np.argsort(keys)
-        keys, value = keys[order], value[order]
-        found = [value[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes() for k in asked.column("keys").to_pylist()]
-        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "values": pa.array(found, pa.binary())})
-
-    left, right = sent.select("block", "kind", "bucket", "keys").groupBy("kind", "bucket"), values.groupBy("kind", "bucket")
-    return left.cogroup(right).applyInArrow(run, "block long, kind int, bucket long, values binary")
+    def run(batches):
+        at, parts, table = None, [], None
+        for batch in batches:
+            found = []
+            for kind, bucket, block, keys, values in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (kind, bucket) != at:
+                    at, parts, table = (kind, bucket), [], None
+                if block is None:  # what the bucket knows comes before what is asked of it
+                    parts.append((spread(keys), _numbers(values, np.int64 if kind == WORD else np.float64).astype(np.float64)))
+                    continue
+                if table is None:
+                    known, value = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(known)
+                    table, parts = (known[order], value[order]), []
+                found.append((block, kind, bucket, *coded(table[1][np.searchsorted(table[0], spread(keys))])))
+            if found:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["block", "kind", "bucket", "distinct", "place"])
+
+    none = F.lit(None).cast("long").alias("block")
+    known = [df.select("kind", "bucket", none, "keys", F.col(c).alias("values")) for df, c in ((grams_, "values"), (words, "counts"))]
+    asked = sent.select("kind", "bucket", "block", "keys", F.lit(None).cast("binary").alias("values"))
+    return by_bucket(known[0].union(known[1]).union(asked), "block").mapInArrow(run, "block long, kind int, bucket long, distinct binary, place binary")
 
 
 def scored(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, n_docs: int, n_words: int, kinds: int) -> DataFrame:
@@ -257,9 +342,9 @@ def scored(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, n_do
             keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             value = np.zeros(len(keys))
             mine = known.filter(pc.equal(known.column("kind"), kind))
-            by = dict(zip(mine.column("bucket").to_pylist(), mine.column("values").to_pylist()))
+            by = dict(zip(mine.column("bucket").to_pylist(), zip(mine.column("distinct").to_pylist(), mine.column("place").to_pylist())))
             for b, at in split(np.arange(len(keys)), bucket_of(keys, buckets)):
-                value[at] = np.frombuffer(by[b], np.float64)
+                value[at] = uncoded(*by[b])
             table[kind] = keys, value
 
         def of(kind, distinct, place):
@@ -285,7 +370,7 @@ def scored(blocks: DataFrame, answers: DataFrame, order: int, buckets: int, n_do
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, block: int = BLOCK) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Held out are documents with crc32 of doc_id (as text; null: empty) mod `folds` equal to `held`; counts are over all others.
@@ -298,11 +383,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1
     given = given.withColumn("held_out", out)
     size = given.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("train")).first()
     blocks_n = max(1, math.ceil((size["bytes"] or 0) / block))
-    blocks = given.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks_n)))
-    sent = stored(gathered(blocks, order, blocks_n))
+    blocks = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_n)))
+    buckets = max(1, min(BUCKETS, math.ceil((size["bytes"] or 0) / max(block, share))))
+    sent = stored(gathered(blocks, order, buckets))
     all_ = stored(totals(sent))
     words = all_.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    grams_ = model(all_, pair_counts(all_), order, blocks_n)
-    counts = all_.filter(F.col("kind") == WORD).select("kind", "bucket", "keys", "values")
-    answers = answered(sent, grams_.unionByName(counts))
-    return scored(blocks, answers, order, blocks_n, size["train"] or 0, words["n"], words["v"])
+    answers = answered(sent, model(all_, order, buckets), all_.filter(F.col("kind") == WORD))
+    return scored(blocks, answers, order, buckets, size["train"] or 0, words["n"], words["v"])

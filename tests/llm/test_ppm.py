@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyframe.llm import ppm
 
@@ -49,9 +51,9 @@ def brute(rows, order):
     return result
 
 
-@pytest.mark.parametrize("block", [1 << 20, 20_000])
-def test_brute_force(docs, rows, block):
-    got = {r["doc_id"]: tuple(r)[1:] for r in ppm.lm_scores(docs, order=ORDER, block=block).collect()}
+@pytest.mark.parametrize(("block", "share"), [(1 << 20, 1 << 20), (10_000, 20_000)])
+def test_brute_force(docs, rows, block, share):
+    got = {r["doc_id"]: tuple(r)[1:] for r in ppm.lm_scores(docs, order=ORDER, block=block, share=share).collect()}
     want = brute(rows, ORDER)
     assert got.keys() == want.keys()
     for i, w in want.items():
@@ -65,13 +67,12 @@ def test_probabilities_add_up():
     text = b"abracadabra abracad"
     grams, _ = ppm.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
     seen, counts = ppm.add_up(grams, np.ones(len(grams), np.int64))
-    pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((seen >> np.uint64(8) & np.uint64(255)).astype(int), (seen & np.uint64(255)).astype(int)), counts)
+    triples = ppm.add_up(seen & np.uint64(0xFFFFFF), counts)
     for context in (b"bra", b"zbr", b"zzr", b"zzz"):
         c = int.from_bytes(context, "big") << 8
         keys = np.array([c | s for s in range(256)], np.uint64)
         all_, n = ppm.add_up(np.concatenate([seen, keys]), np.concatenate([counts, np.zeros(256, np.int64)]))
-        p = 10 ** ppm.log_probabilities(all_, n, pairs, 3)
+        p = 10 ** ppm.log_probabilities(all_, n, triples, 3)
         assert p[np.isin(all_, keys)].sum() == pytest.approx(1.0)
 
 
@@ -86,3 +87,12 @@ def test_empty(spark, none):
     assert ppm.lm_scores(none).count() == 0
     alone = ppm.lm_scores(spark.createDataFrame([(None, None), (None, "A")], "doc_id long, text string")).collect()
     assert {r["n_tokens"] for r in alone} == {1, 2}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True))
+def test_squeezed(keys):
+    import numpy as np
+
+    keys = np.sort(np.array(keys, np.uint64))
+    assert (ppm.spread(ppm.squeezed(keys)) == keys).all()
