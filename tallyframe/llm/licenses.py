@@ -7,24 +7,16 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 DICE = 0.8
 
-# Public licence notices as their stewards publish them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Words that anchors() takes last, as they are frequent in any prose.
+COMMON = set(
+    "a action all an and any are as at author authors available be by can commercial copies copy do for form free from general if in including is it library"
+    " made may must not of on or out performance products program provided public published purpose see source specific subject terms that the this to under"
+    " use used version was we with without work you".split()
+)
 
 
 def normalised(text: Column) -> Column:
@@ -49,35 +41,61 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def units(text: Column) -> Column:
-    """Lines, paragraphs (between blank lines) and the whole text, each once."""
-    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
+    """Lines, sentences of lines, paragraphs (between blank lines) and the whole text, each once."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"[.!?]+[ \t\r]+|\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
-    """One row per distinct doc_id: license (best template; null: none), dice (its best unit), n_licenses (templates matched).
+def anchors(grams: dict[str, list[str]], dice: float) -> list[str]:
+    """Words of which any unit has one that reaches `dice` with any template.
+
+    Such a unit shares so many bigrams with the template (at the least size that the bound allows) that the bigrams without any
+    anchor are too few. Of each template the words in most bigrams, rare ones first, until that holds.
+    """
+    found: set[str] = set()
+    for own in grams.values():
+        smallest = min(n for n in range(1, len(own) + 1) if 2 * n >= dice * (n + len(own)) - 1e-9)
+        least, left = int(dice * (smallest + len(own)) / 2 - 1e-9) + 1, [set(g.split()) for g in own]
+        left = [g for g in left if not g & found]
+        while len(left) >= least:
+            words = sorted({w for g in left for w in g})
+            best = max(words, key=lambda w: (w not in COMMON and len(w) > 1, sum(w in g for g in left), len(w), w))
+            found.add(best)
+            left = [g for g in left if best not in g]
+    return sorted(found)
+
 
-    A text's units are its lines, paragraphs and whole. A unit is compared only to templates whose number of distinct bigrams
-    allows the threshold, and only if enough of its bigrams are in any template at all: both bounds lose nothing. Ties go to the
-    first name. Null and empty texts, and units of fewer than two words, match nothing. Templates are a parameter and so bounded;
-    they go into the plan as constants. Columns besides doc_id and text are not read.
+def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
+    """One row per distinct doc_id: license (best template; null: none), dice (its best unit's), n_licenses (templates matched).
+
+    A text's units are its lines, their sentences, its paragraphs and the whole. Licences that differ in a clause or a version are
+    templates of their own, and so are parts of long ones: of those that are reached the one with most bigrams in common is named,
+    then the one with the larger coefficient, then the first name. Texts and units without an anchor word (see
+    anchors()) are left out before anything is split; then a unit is compared only to templates whose number of distinct bigrams
+    allows the threshold, and only if enough of its bigrams are in any template at all. None of these bounds loses anything. Null and empty texts, and units of fewer than two words, match nothing. Rows that share a doc_id are one
+    document with all their texts; repeated rows change nothing. Templates are a parameter and so bounded; they go into the plan as
+    constants. Columns besides doc_id and text are not read.
     """
     grams = template_bigrams(templates)
     few, many = (min(map(len, grams.values())), max(map(len, grams.values())))
     ratio = dice / (2 - dice)
     every = F.from_json(F.lit(json.dumps(sorted(set().union(*grams.values())))), "array<string>")
     table = F.from_json(F.lit(json.dumps([{"name": k, "grams": v} for k, v in sorted(grams.items())])), "array<struct<name: string, grams: array<string>>>")
+    some = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors(grams, dice))})(?![a-z0-9])"
+    anchored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(some))
     # A unit with too many words has more than the largest template's bigrams allow only if few repeat, so words don't bound it
     # from above; bytes do from below.
-    split = docs.select("doc_id", F.explode(units(F.coalesce("text", F.lit("")))).alias("unit")).filter(F.octet_length("unit") >= 3)
+    split = anchored.select("doc_id", F.explode(units(F.col("text"))).alias("unit")).filter((F.octet_length("unit") >= 3) & F.col("unit").rlike(some))
     found = split.select("doc_id", normalised(F.col("unit")).alias("words")).filter(F.size("words") > few * ratio)
     found = found.select("doc_id", bigrams(F.col("words")).alias("grams")).filter(F.size("grams").between(few * ratio - 1e-9, many / ratio + 1e-9))
     found = found.filter(F.size(F.array_intersect("grams", every)) >= F.size("grams") * ratio - 1e-9)
     pairs = found.select("doc_id", "grams", F.explode(table).alias("t")).filter(
         F.size("t.grams").between(F.size("grams") * ratio - 1e-9, F.size("grams") / ratio + 1e-9)
     )
-    value = 2.0 * F.size(F.array_intersect("grams", "t.grams")) / (F.size("grams") + F.size("t.grams"))
-    best = pairs.select("doc_id", F.col("t.name").alias("name"), value.alias("dice")).filter(F.col("dice") >= dice).groupBy("doc_id", "name").agg(F.max("dice").alias("dice"))
-    one = best.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_licenses"), F.min(F.struct((-F.col("dice")).alias("d"), "name")).alias("b"))
+    common = F.size(F.array_intersect("grams", "t.grams"))
+    value = F.struct((2.0 * common / (F.size("grams") + F.size("t.grams"))).alias("dice"), common.alias("common"))
+    best = pairs.select("doc_id", F.col("t.name").alias("name"), value.alias("v")).filter(F.col("v.dice") >= dice).groupBy("doc_id", "name").agg(F.max("v").alias("v"))
+    order = F.struct((-F.col("v.common")).alias("c"), (-F.col("v.dice")).alias("d"), "name")
+    one = best.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_licenses"), F.min(order).alias("b"))
     every_doc = docs.select("doc_id").distinct()
     joined = every_doc.join(one.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select("doc_id", F.col("b.name").alias("license"), F.round(-F.col("b.d"), 6).alias("dice"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))
