@@ -6,8 +6,8 @@ most a / 0.9 (both for the default of 0.9).
 * Light sets enumerate their subsets of every size that a link can share. Two sets that share a subset of c elements link if
   100 c >= 90 (a + b - c), so a subset's list needs no verification, and its smallest set links with whatever any set of it
   links with: one edge a member.
-* Heavy sets fall into blocks by hash range of their elements, more blocks than a link has differences, so two linked sets
-  have blocks in common. The inverted lists are of whole blocks and not of single elements: a line that a third of all documents
+* Heavy sets fall into blocks by hash range of their elements, a third more blocks than a link has differences, so two linked sets
+  have many in common, and a set that shares fewer with all others is left out. The inverted lists are of whole blocks and not of single elements: a line that a third of all documents
   share makes no long list unless the rest of the block is shared too. Members of a list are verified against its pivot, the
   most central member, which joins most families of near copies at once. What the pivot leaves apart is compared by how it differs
   from what most sets near that pivot have (see kin()): a link needs common differences, and these are few and rare where the sets
@@ -36,6 +36,8 @@ WORDS = 3
 BROADCAST_ROWS = 400_000
 #: 64-bit words of a set's sketch.
 SKETCH = [f"k{i}" for i in range(8)]
+#: Of so many blocks one more is made than a link needs: the more a set must share, the fewer sets have to be compared.
+SPARE = 3
 #: Ratio of size classes within which sets have the same number of blocks.
 CLASS = Fraction(3, 2)
 
@@ -82,11 +84,12 @@ class Scheme:
     def linked(self, common, a, b):
         return common * self.t.denominator >= self.t.numerator * (a + b - common)
 
-    def keys(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of a set's blocks; keys of its subsets and their sizes."""
+    def keys(self, elements: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """Keys of a set's blocks and how many of them it shares at least with any set that it links with; keys of its subsets and
+        their sizes."""
         n = len(elements)
         keys, subsets, common = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        mixed = splitmix(elements)
+        mixed, least = splitmix(elements), n
         if n < self.heavy:
             from itertools import combinations
 
@@ -99,20 +102,24 @@ class Scheme:
             at = int(np.searchsorted(self.starts, n, "right")) - 1
             for k in {at, at + 1 if int(n / self.t) >= self.starts[at + 1] else at}:
                 most = self.differences(self.starts[k + 1] - 1)
-                spare = 2 + most // 20
+                spare = 2 + most // SPARE
                 blocks = most + 1 + spare
                 block = ((elements >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
                 size = np.bincount(block.astype(np.int64), minlength=blocks)
                 sums = np.zeros(blocks, np.uint64)
                 np.add.at(sums, block.astype(np.int64), mixed)
-                # Linked sets have 1 + spare of these first blocks in common, so a set with at most `spare` blocks of fewer than
-                # two elements can leave these out: one of the others is shared as well.
+                # Linked sets have 1 + spare of these first blocks in common. A set with at most `spare` empty ones leaves these out:
+                # others are shared as well. If both sets leave theirs out, these are the same among what they share; if one keeps
+                # its own, no more than one key is sure.
                 here = np.arange(min(blocks, self.differences(n) + 1 + spare))
-                tiny = size[here] < 2
-                if tiny.sum() <= spare:
-                    here = here[~tiny]
+                empty = size[here] == 0
+                if empty.sum() <= spare:
+                    here = here[~empty]
+                    least = min(least, 1 + spare - int(empty.sum()))
+                else:
+                    least = 1
                 keys.append(splitmix(sums[here] + splitmix((here + (k << 32)).astype(np.uint64)) * np.uint64(2 * k + 3) + size[here].astype(np.uint64)))
-        return np.concatenate(keys), np.concatenate(subsets), np.concatenate(common)
+        return np.concatenate(keys), least, np.concatenate(subsets), np.concatenate(common)
 
 
 def shingle_sets(batch, text: int, words: int = WORDS):
@@ -149,20 +156,20 @@ def sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, scheme: Scheme, words: int = WORDS) -> DataFrame:
-    """Of doc_id, text and more: all but the text, n_shingles, id (a digest of the set), blocks, subsets and common (see Scheme.keys)."""
+    """Of doc_id, text and more: all but the text, n_shingles, id (a digest of the set), blocks, least, subsets and common (see Scheme.keys)."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch, 1, words))
             if sets:
-                blocks, subsets, common = zip(*(scheme.keys(x) if len(x) else (x, x, x) for x in sets))
+                blocks, least, subsets, common = zip(*(scheme.keys(x) if len(x) else (x, 0, x, x) for x in sets))
                 columns = [batch.column(0), *batch.columns[2:], pa.array(map(len, sets), pa.int64()), pa.array(set_ids(sets), pa.int64())]
                 columns += [pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())) for found in (blocks, subsets)]
-                columns += [pa.array([x.astype(np.int32) for x in common], pa.list_(pa.int32()))]
+                columns += [pa.array([x.astype(np.int32) for x in common], pa.list_(pa.int32())), pa.array(least, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    made = StructType.fromDDL("n_shingles long, id long, blocks array<long>, subsets array<long>, common array<int>")
+    made = StructType.fromDDL("n_shingles long, id long, blocks array<long>, subsets array<long>, common array<int>, least long")
     schema = StructType([docs.schema["doc_id"], *docs.schema.fields[2:], *made.fields])
     names = schema.names
     return docs.mapInArrow(run, schema)
@@ -186,6 +193,11 @@ def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_semi")
 
 
+def shared_keys(lists: DataFrame) -> DataFrame:
+    """key: those with several rows."""
+    return cut(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id reachable) of every id in `edges` (u, v): labels spread and jump until none changes."""
     both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).filter("u <> v").distinct())
@@ -285,7 +297,6 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
 
     docs: doc_id, text; nodes: a document (doc_id) with the set (id).
     """
-    lists = stored(lists)
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     central = cut(lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central")))
     wanted = cut(nodes.join(central, "id", "left_semi").select("doc_id"))
@@ -341,12 +352,17 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     light = subsets.join(smallest, "key").filter("id <> least.id")
     p, q = scheme.t.numerator, scheme.t.denominator
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
-    blocks = apart.select("id", F.explode("blocks").alias("key"))
-    lists = only(blocks, cut(blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")), "key").distinct()
-    edges = block_edges(lists, docs, chosen, cut(light.distinct()), scheme, words)
+    blocks = apart.select("id", "least", F.explode("blocks").alias("key"))
+    # A join and no broadcast at any size: a key in a third of all sets is split at run time.
+    lists = stored(blocks.join(shared_keys(blocks).hint("merge"), "key", "left_semi").distinct())
+    # A set that shares too few blocks with others links with none; what is left of the others' lists is what to compare.
+    enough = cut(lists.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first("least").alias("l")).filter("m >= l").select("id"))
+    lists = only(lists, enough, "id")
+    lists = stored(lists.join(shared_keys(lists), "key", "left_semi"))
+    edges = block_edges(lists.drop("least"), docs, chosen, cut(light.distinct()), scheme, words)
     label = components(edges)
     least = label.join(nodes, "id").groupBy("component").agg(F.min("least").alias("component_id"))
     label = label.join(least, "component")
-    found = rows.drop("blocks", "subsets", "common").join(nodes, "id", "left").join(label, "id", "left")
+    found = rows.drop("blocks", "subsets", "common", "least").join(nodes, "id", "left").join(label, "id", "left")
     back = [F.coalesce("component", "id").alias("class"), *(F.col(f"_{n}").alias(c) for n, c in enumerate(carry))] if carry else []
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"), *back)
