@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored, words
+from .common import cut, words
 
 #: Exponents that flatten each marginal: a dimension's target share is its token share to this power, normalised.
 SOURCE, LANG, TOPIC = 0.5, 0.7, 0.0
 ROUNDS, TOPICS = 6, 8
 #: Expected share of tokens that stay where no probability meets 1.
 KEEP = 0.8
-#: Of calibrated probabilities: rounds, keeps that are tried at once, and by how much a marginal may miss its target.
+#: Of probabilities: rounds, keeps that are tried at once, and by how much a marginal may miss its target.
 BOUND_ROUNDS, KEEPS, NEAR = 8, 8, 0.005
+#: Of the keep at which a value would stay whole, so much is the most: at that keep itself the fitting hardly converges.
+BELOW = 0.999
 
 
 def lead_topic(text: Column, topics: int = TOPICS) -> Column:
@@ -22,47 +24,46 @@ def lead_topic(text: Column, topics: int = TOPICS) -> Column:
     return F.conv(F.substring(F.md5(lead), 1, 4), 16, 10).cast("long") % topics
 
 
-def cells_of(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """doc_id, source, lang (null: empty), topic, tokens (words) of each row."""
+def cells_of(docs: DataFrame, topic: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang (null: empty), topic (null: -1), tokens (words) of each row."""
     return docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
-        (lead_topic(F.col("text")) if topic is None else topic).alias("topic"),
+        F.coalesce(lead_topic(F.col("text")) if topic is None else topic.cast("long"), F.lit(-1)).alias("topic"),
         F.size(words(F.col("text"))).cast("long").alias("tokens"),
+        *carry,
     )
 
 
-def goals(cells: DataFrame, flatten: dict[str, float], tokens: str = "tokens") -> dict[str, DataFrame]:
-    """For each dimension: its values, tokens t of each, and the tokens (goal, of the same total) that it should have."""
-    targets = {}
-    for dim, power in flatten.items():
-        by = cells.filter(F.col(tokens) > 0).groupBy(dim).agg(F.sum(tokens).alias("t"))
-        share = by.select(dim, F.pow(F.col("t").cast("double"), F.lit(power)).alias("s"), "t")
-        norm = share.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-        targets[dim] = cut(share.crossJoin(F.broadcast(norm)).select(dim, "t", (F.col("s") / F.col("all_s") * F.col("all_t")).alias("goal")))
-    return targets
+def goals(cells: DataFrame, flatten: dict[str, float]) -> DataFrame:
+    """cells with t_<dim>, the tokens of the cell's value of each dimension, and goal_<dim>, those that it should have."""
+    for dim in flatten:
+        cells = cells.withColumn(f"t_{dim}", F.sum("tokens").over(Window.partitionBy(dim)).cast("double"))
+    cells = cut(cells)
+    # Each value counts once: its cells have its tokens between them.
+    norms = [F.sum(F.when(F.col(f"t_{dim}") > 0, F.pow(f"t_{dim}", F.lit(power)) * F.col("tokens") / F.col(f"t_{dim}"))).alias(f"norm_{dim}") for dim, power in flatten.items()]
+    one = cells.agg(F.sum("tokens").alias("all"), *norms)
+    share = {f"goal_{dim}": F.when(F.col(f"t_{dim}") > 0, F.pow(f"t_{dim}", F.lit(power)) / F.col(f"norm_{dim}") * F.col("all")) for dim, power in flatten.items()}
+    return cells.crossJoin(F.broadcast(one)).withColumns(share).drop("all", *(f"norm_{dim}" for dim in flatten))
 
 
-def rake(cells: DataFrame, flatten: dict[str, float], rounds: int = ROUNDS, tokens: str = "tokens") -> DataFrame:
-    """Weights w of cells, by which the token sums of each dimension come to its target: iterative proportional fitting.
+def rake(cells: DataFrame, flatten: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+    """Weights w of cells (see goals()), by which the tokens of each value come to its goal: iterative proportional fitting.
 
-    cells: one row for each combination of the dimensions that occurs. Each step is a sum by dimension, combined map-side, and
-    a join with it; nothing is gathered in one place. Cells without tokens keep weight 1.
+    cells: one row for each combination of values that occurs. Each step is a window by dimension: one exchange of cells, which
+    are few where documents are many. Cells without tokens keep weight 1.
     """
     now = cells.withColumn("w", F.lit(1.0))
-    targets = goals(cells, flatten, tokens)
     for _ in range(rounds):
         for dim in flatten:
-            got = now.groupBy(dim).agg(F.sum(F.col(tokens) * F.col("w")).alias("got"))
-            factor = got.join(targets[dim], dim).filter("got > 0").select(dim, (F.col("goal") / F.col("got")).alias("f"))
-            now = now.join(factor, dim, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(1.0))).drop("f")
-        now = cut(now)
-    return now
+            got = F.sum(F.col("tokens") * F.col("w")).over(Window.partitionBy(dim))
+            now = now.withColumn("got", got).withColumn("w", F.when(F.col("got") > 0, F.col("w") * F.col(f"goal_{dim}") / F.col("got")).otherwise(F.col("w"))).drop("got")
+    return cut(now)
 
 
-def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP, rounds: int = BOUND_ROUNDS, tokens: str = "tokens") -> DataFrame:
-    """Cells with their probability p and the keep that it is for: the token sums by p of each dimension come to keep times its target.
+def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP, rounds: int = BOUND_ROUNDS) -> DataFrame:
+    """Cells with their probability p and the keep that it is for: the tokens of each value by p come to keep times its goal.
 
     min(1, keep * w) cuts large weights and so misses the targets. Here cells at 1 are fixed and the others make up for them,
     value by value (a Newton step on sum(tokens * min(1, f * u)) = keep * goal for the value's factor f). A value whose goal is
@@ -70,43 +71,39 @@ def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP
     from `keep`, or the largest that no single value rules out, to 1 / the largest weight, where nothing is cut. If none is
     (targets that contradict one another), it is the one with the smallest miss.
     """
-    targets = goals(weighted, flatten, tokens)
-    least = None
-    for t in targets.values():
-        one = t.agg(F.min(F.col("t") / F.col("goal")).alias("m"))
-        least = one if least is None else least.union(one)
-    top = weighted.filter(F.col(tokens) > 0).agg(F.max("w").alias("w"))
-    ends = least.agg(F.least(F.lit(float(keep)), F.min("m")).alias("hi")).crossJoin(top).select("hi", F.least("hi", 1 / F.col("w")).alias("lo"))
-    step = F.col("k") / float(KEEPS - 1)
+    some = F.col("tokens") > 0
+    ends = weighted.agg(F.min(F.when(some, F.least(*(F.col(f"t_{d}") / F.col(f"goal_{d}") for d in flatten)))).alias("m"), F.max(F.when(some, F.col("w"))).alias("w"))
+    ends = ends.select(F.least(F.lit(float(keep)), BELOW * F.col("m")).alias("hi"), F.col("w").alias("top")).withColumn("lo", F.least("hi", 1 / F.col("top")))
     keeps = ends.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(KEEPS - 1))).alias("k"))
-    # The ends as they are: the power of a ratio would bring rounding into the keep that was asked for.
-    value = F.when(F.col("k") == KEEPS - 1, F.col("hi")).when(F.col("hi").isNull(), F.lit(float(keep))).otherwise(F.col("lo") * F.pow(F.col("hi") / F.col("lo"), step))
-    now = stored(weighted.crossJoin(F.broadcast(keeps.select("k", F.coalesce(value, F.lit(float(keep))).alias("keep")))).withColumn("u", F.col("keep") * F.col("w")))
-    fixed, free = F.sum(F.when(F.col("u") >= 1, F.col(tokens)).otherwise(0)).cast("double"), F.sum(F.when(F.col("u") < 1, F.col(tokens) * F.col("u")).otherwise(0.0))
-
-    def sums(dim):
-        by = now.groupBy("k", dim).agg(F.first("keep").alias("kept"), fixed.alias("fixed"), free.alias("free")).join(targets[dim], dim)
-        return by.withColumn("want", F.col("kept") * F.col("goal"))
-
-    for _ in range(rounds):
+    # The upper end as it is: the power of a ratio would bring rounding into the keep that was asked for.
+    value = F.when(F.col("k") == KEEPS - 1, F.col("hi")).otherwise(F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.col("k") / float(KEEPS - 1)))
+    now = weighted.crossJoin(F.broadcast(keeps.select("k", value.alias("keep")))).withColumn("u", F.col("keep") * F.col("w"))
+
+    def sums(df, dim):
+        """fixed: tokens of the value's cells at 1; free: those of the others, by u; want: what both should come to."""
+        same = Window.partitionBy("k", dim)
+        fixed = F.sum(F.when(F.col("u") >= 1, F.col("tokens")).otherwise(0)).over(same).cast("double")
+        free = F.sum(F.when(F.col("u") < 1, F.col("tokens") * F.col("u")).otherwise(0.0)).over(same)
+        return df.withColumns({"fixed": fixed, "free": free, "want": F.col("keep") * F.col(f"goal_{dim}")})
+
+    newton = (F.col("want") - F.col("fixed")) / F.col("free")
+    ratio = F.col("want") / (F.col("fixed") + F.col("free"))
+    f = F.when(F.col("fixed") + F.col("free") <= 0, F.lit(1.0)).when(F.col("free") <= 0, F.least(F.lit(1.0), ratio)).when(ratio >= 1, newton).otherwise(F.greatest(newton, ratio / 2))
+    for n in range(rounds):
         for dim in flatten:
-            newton = (F.col("want") - F.col("fixed")) / F.col("free")
-            ratio = F.col("want") / (F.col("fixed") + F.col("free"))
-            f = F.when(F.col("free") <= 0, F.least(F.lit(1.0), ratio)).when(ratio >= 1, newton).otherwise(F.greatest(newton, ratio / 2))
-            factor = sums(dim).select("k", dim, f.alias("f"))
-            # At each step: u is in the next sums several times. As Parquet, since a checkpoint hands on the plan's constraints,
-            # which grow as a power of the steps.
-            now = stored(now.join(factor, ["k", dim], "left").withColumn("u", F.col("u") * F.coalesce("f", F.lit(1.0))).drop("f"))
-    miss = None
+            now = sums(now, dim).withColumn("u", F.col("u") * F.coalesce(f, F.lit(1.0))).drop("fixed", "free", "want")
+        if n % 4 == 3:
+            now = cut(now)  # a plan of fewer exchanges
+    now = now.withColumn("miss", F.lit(0.0))
     for dim in flatten:
-        one = sums(dim).select("k", F.abs((F.col("fixed") + F.col("free")) / F.col("want") - 1).alias("miss"))
-        miss = one if miss is None else miss.union(one)
-    miss = miss.groupBy("k").agg(F.max("miss").alias("miss"))
+        now = sums(now, dim).withColumn("miss", F.greatest("miss", F.when(some, F.abs((F.col("fixed") + F.col("free")) / F.col("want") - 1)).otherwise(0.0))).drop("fixed", "free", "want")
+    now = cut(now.select(*flatten, "w", "k", "keep", F.least(F.lit(1.0), "u").alias("p"), "miss"))
+    worst = now.groupBy("k").agg(F.max("miss").alias("miss"))
     order = F.struct((F.col("miss") > NEAR).alias("far"), F.when(F.col("miss") > NEAR, F.col("miss")).otherwise(-F.col("k")).alias("by"))
-    best = miss.agg(F.min_by("k", order).alias("best"))
-    # Without any tokens there is nothing to miss, and all keeps are the same.
-    now = now.crossJoin(F.broadcast(best)).filter(F.col("k") == F.coalesce("best", F.lit(KEEPS - 1)))
-    return now.select(*flatten, "w", "keep", F.least(F.lit(1.0), "u").alias("p"))
+    best = worst.agg(F.min_by("k", order).alias("best"))
+    chosen = now.crossJoin(F.broadcast(best)).filter(F.col("k") == F.col("best"))
+    # Without any tokens there is nothing to meet.
+    return chosen.select(*flatten, "w", F.coalesce("keep", F.lit(float(keep))).alias("keep"), F.coalesce("p", F.lit(float(keep))).alias("p"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -114,22 +111,20 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, topic: Column | None = None, flatten: dict[str, float] | None = None, calibrated: bool = False) -> DataFrame:
-    """One row per input row: doc_id, source, lang, topic, tokens, weight, probability = min(1, keep * weight), kept.
+def mix(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, topic: Column | None = None, flatten: dict[str, float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, source, lang, topic, tokens, weight, probability, kept; and the columns in `carry`.
 
-    Weights are scaled by the fitting so that the mean over tokens is 1. Null source or language is a value of its own (empty);
-    null text has no tokens and weight 1. Rows with equal doc_id are kept or dropped alike. An empty table gives an empty one.
-    calibrated: the probabilities meet the targets and not the weights alone, for a keep as large as `keep` if that can be (see
-    calibrate()).
+    Weights are scaled by the fitting so that their mean over tokens is 1. Probabilities are such that what is expected to stay
+    meets the targets, for a keep as large as `keep` if that can be (see calibrate()). topic: an expression of the input's columns,
+    by default a bucket of the first word. Null source, language or topic is a value of its own; null text has no tokens and weight
+    1. Rows with equal doc_id and cell are kept or dropped alike, repeated rows too. An empty table gives an empty one.
     """
     flatten = flatten or {"source": SOURCE, "lang": LANG, "topic": TOPIC}
-    rows = cells_of(docs, topic)
-    cells = cut(rows.groupBy(*flatten).agg(F.sum("tokens").alias("tokens")))
-    weights = rake(cells, flatten, rounds)
-    weights = cut(calibrate(weights, flatten, keep)) if calibrated else weights.drop("tokens")
+    rows = cells_of(docs, topic, carry)
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    weights = cut(calibrate(rake(goals(cells, flatten), flatten, rounds), flatten, keep))
     # A cell may hold a third of all rows: both sides are ordinary exchanges, which adaptive execution splits.
-    probability = F.col("p") if calibrated else F.least(F.lit(1.0), keep * F.col("w"))
-    return rows.join(weights, list(flatten)).select(
+    return rows.join(weights, ["source", "lang", "topic"]).select(
         "doc_id", "source", "lang", "topic", "tokens",
-        F.col("w").alias("weight"), probability.alias("probability"), (draw(F.col("doc_id")) < probability).alias("kept"),
+        F.col("w").alias("weight"), F.col("p").alias("probability"), (draw(F.col("doc_id")) < F.col("p")).alias("kept"), *carry,
     )

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
-from .licenses import DICE, TEMPLATES, license_scan, template_bigrams
-from .mixing import KEEP, LANG, ROUNDS, SOURCE, TOPIC, TOPICS, mix
+from .license_texts import TEMPLATES
+from .licenses import DICE, license_scan, template_bigrams
+from .mixing import BELOW, BOUND_ROUNDS, KEEP, KEEPS, LANG, NEAR, ROUNDS, SOURCE, TOPIC, TOPICS, mix
 from .packing import best_fit_packing
 from .ppm import lm_scores
 from .quality import quality_rules
@@ -57,11 +58,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mix(table(spark, sf_dir, "documents")))
 
 
-def op9_mixing_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline's mixture. op9_mixing is bound to its SQL, which cuts probabilities at 1 and so misses the targets."""
-    return rounded(mix(table(spark, sf_dir, "documents"), calibrated=True))
-
-
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -75,7 +71,7 @@ def rounded(mixed: DataFrame) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op5_ppm,
-        op6_quality_rules, op7_url_filter, op8_license_scan, op9_mixing, op9_mixing_calibrated, op10_jaccard_join,
+        op6_quality_rules, op7_url_filter, op8_license_scan, op9_mixing, op10_jaccard_join,
     )
     return {f.__name__: f for f in listed}
 
@@ -88,30 +84,56 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def mixing_sql(documents: str = "documents", keep: float = KEEP, rounds: int = ROUNDS) -> str:
-    r"""op9's rows: the raking steps, unrolled."""
+    r"""op9's rows: the steps of raking and of calibration, unrolled."""
     word = r"[^\x20\x09-\x0D]+"
     flatten = {"source": SOURCE, "lang": LANG, "topic": TOPIC}
     steps = [
         f"""rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
             ('0x' || substr(md5(lower(regexp_extract(coalesce(text, ''), '({word})', 1))), 1, 4))::BIGINT % {TOPICS} AS topic,
             len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS tokens FROM {documents})""",
-        "cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows_ GROUP BY ALL)",
-        "w0 AS (SELECT *, 1.0::DOUBLE AS w FROM cells)",
+        "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows_ GROUP BY ALL)",
+        "t AS (SELECT *, " + ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS t_{d}" for d in flatten) + " FROM cells)",
+        "norms AS (SELECT sum(tokens) AS total, " + ", ".join(f"sum(pow(t_{d}, {p}) * tokens / t_{d}) FILTER (t_{d} > 0) AS norm_{d}" for d, p in flatten.items()) + " FROM t)",
+        "w0 AS (SELECT t.*, " + ", ".join(f"CASE WHEN t_{d} > 0 THEN pow(t_{d}, {p}) / norm_{d} * total END AS goal_{d}" for d, p in flatten.items()) + ", 1.0::DOUBLE AS w FROM t, norms)",
     ]
-    for dim, power in flatten.items():
-        steps.append(f"""goal_{dim} AS (SELECT {dim}, pow(t::DOUBLE, {power}) / sum(pow(t::DOUBLE, {power})) OVER () * sum(t) OVER () AS goal
-            FROM (SELECT {dim}, sum(tokens)::BIGINT AS t FROM cells WHERE tokens > 0 GROUP BY ALL))""")
     n = 0
     for _ in range(rounds):
-        for dim in flatten:
-            steps.append(f"""w{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.w * coalesce(f.f, 1.0) AS w FROM w{n} c LEFT JOIN
-                (SELECT {dim}, any_value(goal) / sum(tokens * w) AS f FROM w{n} JOIN goal_{dim} USING ({dim}) GROUP BY {dim} HAVING sum(tokens * w) > 0) f
-                USING ({dim}))""")
+        for d in flatten:
+            got = f"sum(tokens * w) OVER (PARTITION BY {d})"
+            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {got} > 0 THEN w * goal_{d} / {got} ELSE w END AS w) FROM w{n})")
+            n += 1
+    least = ", ".join(f"t_{d} / goal_{d}" for d in flatten)
+    steps += [
+        f"ends AS (SELECT least({keep}, {BELOW} * min(least({least})) FILTER (tokens > 0)) AS hi, max(w) FILTER (tokens > 0) AS top FROM w{n})",
+        "edges AS (SELECT hi, least(hi, 1 / top) AS lo FROM ends)",
+        f"keeps AS (SELECT k, CASE WHEN k = {KEEPS - 1} THEN hi ELSE lo * pow(hi / lo, k / {float(KEEPS - 1)}) END AS keep FROM edges, range({KEEPS}) AS r(k))",
+        f"u0 AS (SELECT w{n}.*, k, keep, keep * w AS u, 0.0::DOUBLE AS miss FROM w{n}, keeps)",
+    ]
+
+    def sums(d: str, of: str) -> str:
+        same = f"OVER (PARTITION BY k, {d})"
+        return f"""SELECT *, sum(CASE WHEN u >= 1 THEN tokens ELSE 0 END) {same} AS fixed, sum(CASE WHEN u < 1 THEN tokens * u ELSE 0 END) {same} AS free,
+            keep * goal_{d} AS want FROM {of}"""
+
+    n = 0
+    for _ in range(BOUND_ROUNDS):
+        for d in flatten:
+            newton, ratio = "(want - fixed) / nullif(free, 0)", "want / nullif(fixed + free, 0)"
+            f = f"CASE WHEN fixed + free <= 0 THEN 1.0 WHEN free <= 0 THEN least(1.0, {ratio}) WHEN {ratio} >= 1 THEN {newton} ELSE greatest({newton}, {ratio} / 2) END"
+            steps.append(f"u{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (fixed, free, want) REPLACE (u * coalesce({f}, 1.0) AS u) FROM ({sums(d, f'u{n}')}))")
             n += 1
+    for d in flatten:
+        steps.append(f"u{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (fixed, free, want) REPLACE (greatest(miss, CASE WHEN tokens > 0 THEN abs((fixed + free) / want - 1) ELSE 0 END) AS miss) FROM ({sums(d, f'u{n}')}))")
+        n += 1
+    steps += [
+        f"worst AS (SELECT k, max(miss) AS miss FROM u{n} GROUP BY k)",
+        f"best AS (SELECT k FROM worst ORDER BY miss > {NEAR}, CASE WHEN miss > {NEAR} THEN miss ELSE -k END LIMIT 1)",
+        f"p AS (SELECT source, lang, topic, w, least(1.0, u) AS p FROM u{n} WHERE k = (SELECT k FROM best))",
+    ]
     return f"""WITH {", ".join(steps)}
-        SELECT doc_id, source, lang, topic, r.tokens, round(w, 6) AS weight, round(least(1.0, {keep} * w), 6) AS probability,
-               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(1 << 48)} < least(1.0, {keep} * w) AS kept
-        FROM rows_ r JOIN w{n} USING (source, lang, topic)"""
+        SELECT doc_id, source, lang, topic, r.tokens, round(w, 6) AS weight, round(p, 6) AS probability,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(1 << 48)} < p AS kept
+        FROM rows_ r JOIN p USING (source, lang, topic)"""
 
 
 def url_sql() -> str:
@@ -140,15 +162,15 @@ def license_sql(dice: float = DICE) -> str:
     """op8's rows, without the bounds."""
     rows = ", ".join(f"('{k}', [{', '.join(repr(g) for g in v)}])" for k, v in sorted(template_bigrams(TEMPLATES).items()))
     return f"""WITH t(name, grams) AS (VALUES {rows}),
-        u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text])) AS unit
+        u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '[.!?]+[ \\t\\r]+|\\n'), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text])) AS unit
             FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
         w AS (SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS words FROM u),
         g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
-        d AS (SELECT doc_id, name, max(2.0 * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)))::DOUBLE AS dice FROM g, t GROUP BY ALL),
-        b AS (SELECT * FROM d WHERE dice >= {dice})
-        SELECT doc_id, (SELECT name FROM b WHERE b.doc_id = a.doc_id ORDER BY dice DESC, name LIMIT 1) AS license,
-            round((SELECT max(dice) FROM b WHERE b.doc_id = a.doc_id), 6) AS dice, (SELECT count(*) FROM b WHERE b.doc_id = a.doc_id) AS n_licenses
-        FROM (SELECT DISTINCT doc_id FROM documents) a"""
+        c AS (SELECT doc_id, name, len(list_intersect(g.grams, t.grams)) AS common, len(g.grams) + len(t.grams) AS both_ FROM g, t),
+        d AS (SELECT doc_id, name, max({{'dice': (2.0 * common / both_)::DOUBLE, 'common': common}}) AS v FROM c WHERE (2.0 * common / both_)::DOUBLE >= {dice} GROUP BY ALL),
+        b AS (SELECT doc_id, name, v.dice AS dice, row_number() OVER (PARTITION BY doc_id ORDER BY v.common DESC, v.dice DESC, name) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM d)
+        SELECT a.doc_id, b.name AS license, round(b.dice, 6) AS dice, coalesce(b.n, 0)::BIGINT AS n_licenses
+        FROM (SELECT DISTINCT doc_id FROM documents) a LEFT JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND b.place = 1"""
 
 
 def oracle_sql() -> dict[str, str]:
