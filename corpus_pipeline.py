@@ -1,45 +1,78 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
+
+A row is known by its doc_id and a digest of its text (null counts as empty), so null and repeated ids are judged row by row. Rows
+that repeat both are one document, of which the exact stage leaves one. All columns of the input are handed on, whatever their names.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import table
+from tallyframe.llm.common import shared_folder, table
 from tallyframe.llm.exact_dedup import exact_dedup
-from tallyframe.llm.jaccard import jaccard_classes, only
+from tallyframe.llm.jaccard import BROADCAST_ROWS, jaccard_classes
 from tallyframe.llm.mixing import mix
 from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.quality import quality_rules
 
+#: Near duplicates: shingles of so many words, and a Jaccard similarity of so many hundredths.
+WORDS, SIMILARITY = 5, (80, 100)
+KEY = ("_id", "_digest")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY; their ids and texts are read by name, so these names are the only ones that a table can't have."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest": _short(F.sha2(F.coalesce("text", F.lit("")), 256))})
+
+
+def _short(digest):
+    return F.substring(digest, 1, 16)
+
 
-def _stay(docs: DataFrame, verdicts: DataFrame, kept) -> DataFrame:
-    return only(docs, verdicts.filter(kept).select("doc_id").distinct(), "doc_id")
+def _stay(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of `keyed` whose KEY is in `keys`: broadcast if these are few, else a shuffled semi-join."""
+    few = keys.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    return keyed.join(F.broadcast(keys) if few else keys, list(KEY), "left_semi").drop(*KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Repeated rows stay repeated; a null text has no words and goes."""
     judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=True)
     # A filter would be pushed down with the verdict's whole expression in it, over and over; this stays where it is.
     return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return _stay(docs, exact_dedup(docs), F.col("kept"))
+    """Of equal texts the document with the largest id stays, as one row: of several, the first by its other columns."""
+    verdict = exact_dedup(docs).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), _short(F.col("text_sha256")).alias("_digest"))
+    counted = verdict.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    counted.write.parquet(path)
+    counted, keyed = spark.read.parquet(path), _keyed(docs)
+    once = _stay(keyed, counted.filter("_rows = 1").select(*KEY))
+    repeated = counted.filter("_rows > 1").select(*KEY)
+    if repeated.isEmpty():
+        return once
+    others = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*others, F.col("text").desc_nulls_last()))
+    one = keyed.join(repeated, list(KEY), "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first", *KEY)
+    return once.unionByName(one)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
-    return _stay(docs, jaccard_classes(docs), F.col("component_id") == F.col("doc_id"))
+    """Of each class of near duplicates the document with the smallest id stays, one without id last; texts without words all stay."""
+    classes = jaccard_classes(_keyed(docs), SIMILARITY, WORDS, carry=KEY)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_digest")
+    first = classes.filter("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct(*KEY), order).alias("k")).select("k.*")
+    return _stay(_keyed(docs), first.union(classes.filter("n_shingles = 0").select(*KEY)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with the probability that brings sources, languages and topics to their target shares."""
-    return _stay(docs, mix(docs, calibrated=True), F.col("kept"))
+    return _stay(_keyed(docs), mix(_keyed(docs), carry=KEY).filter("kept").select(*KEY))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +87,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-")
+    """The last stage's rows for the tables in `sf_dir`; each stage's output stays in the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
