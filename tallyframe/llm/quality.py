@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import cut, words
 
 #: Hash buckets of the two multinomials; the broadcast table of log ratios has as many rows.
 BUCKETS = 1 << 17
@@ -89,11 +87,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     Needs doc_id and text of `docs`, doc_id, quality and toxic of `labels`; other columns are not read. A repeated row gives a
     repeated result. Without trusted labels every ratio is 0, and the base rules alone decide.
     """
-    # The table has at most `buckets` rows whatever the corpus, so it goes into the plan as a constant array.
-    ratios = {r["bucket"]: r["ratio"] for r in log_ratios(docs, labels, buckets, trusted).collect()}
-    table = F.from_json(F.lit(json.dumps([round(ratios.get(b, 0.0), 4) for b in range(buckets)])), "array<double>")
-    total = F.aggregate(F.concat("h1", "h2"), F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets))))
+    # The table has `buckets` rows whatever the corpus: one array, which reaches the tasks as the value of a scalar subquery.
+    ratios = cut(log_ratios(docs, labels, buckets, trusted))
+    every = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(ratios, "bucket", "left")
+    rows = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))))
+    table = every.agg(F.transform(rows, lambda r: r["ratio"]).alias("ratios")).scalar()
+    total = F.aggregate(F.concat("h1", "h2"), F.lit(0.0), lambda a, h: a + F.get("table", F.pmod(h, F.lit(buckets)).cast("int")))
     llr = F.coalesce(F.try_divide(total, F.size("h1") + F.size("h2")), F.lit(0.0))
-    judged = features(docs, carry).withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("h1", "h2")
+    judged = features(docs, carry).withColumn("table", table).withColumn("llr", llr).drop("h1", "h2", "table")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     # A row is handed on as it is: a filter on the verdict would else be pushed down with its whole expression in it, over and over.
     return judged.select(F.explode(F.array(F.struct(*judged.columns))).alias("judged")).select("judged.*")
