@@ -387,13 +387,13 @@ def nearest_rank_quantile(spark, sf_dir):
     return rows.select("region", F.element_at("v", F.ceil(F.lit(0.8) * F.size("v")).cast("int")).alias("q80"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE label = 1), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
     SELECT b AS variant, a AS canonical, round(s, 6) AS similarity FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) = 1""")
 def merge_candidates(spark, sf_dir):
     """JN-7: pairs of names by similarity, the best for each variant."""
     from tallyframe.plans.merges import name_pairs
 
-    e = t(spark, sf_dir, "embeddings").filter("label = 1").select(F.col("vec_id").alias("name"), "embedding")
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
     pairs = name_pairs(e, 0.3)
     best = core.first_per(pairs, ["b"], [F.col("similarity").desc(), F.col("a")])
     return best.select(F.col("b").alias("variant"), F.col("a").alias("canonical"), F.round("similarity", 6).alias("similarity"))
