@@ -2,12 +2,12 @@
 
 A unit is a word or a byte. A window is `width` consecutive units of one document. Windows with the same minimizer, the least hash
 of their `gram`-unit runs, that follow one another form a segment; equal windows have equal minimizers, so segments with different
-minimizers have no window in common. Nine tenths and more of the corpus ends here: its minimizers occur in one document only.
+minimizers have no window in common. Minimizers only say who may meet: those of one document only, nine tenths and more of the
+corpus, end here, and every window of the others is judged by the operator's own method, twice:
 
-* A segment that an earlier document has whole is removed as it is.
-* Of the others, those whose minimizer other segments share are compared window by window, by the operator's own method.
-* In each chunk of texts only the earliest of equal segments goes to its minimizer's group; the others are known to be removed and
-  are dealt out evenly. A passage in a third of all documents is thus one row a chunk in its group.
+* in each chunk of texts, where windows of an earlier document of the chunk are removed;
+* what a chunk has left, with all other chunks' segments of its minimizer. A passage in a third of all documents is thus one row a
+  chunk in its group.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ HOT = 200_000
 #: Longest segment; and the most bytes of packed spans that are broadcast to the texts instead of shuffling these.
 LONGEST = 1 << 14
 BROADCAST = 64 << 20
+PIECE = ["route", "doc_id", "start", "n", "payload", "source", "source_from"]
+SPANS = "doc_id long, a long, b long, source long, source_from long"
 
 
 @dataclass(frozen=True)
@@ -78,9 +80,10 @@ def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
-    """route, content, doc_id, at: segments, one to a row. at: first window << 16 | windows << 1 | known; see place().
+    """route, content, doc_id, at: segments, one to a row. at: first window << 16 | windows << 1 | shared.
 
-    known: an earlier text of the chunk has it whole.
+    shared: another document of the chunk has this minimizer's content too, so it need not be asked whether any has. Such rows are
+    dealt out evenly by `route`, and `content` is their minimizer.
     """
     import pyarrow as pa
 
@@ -99,7 +102,7 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
                 known = np.zeros(len(r), bool)
                 known[order] = d > earliest
                 even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
-                route = np.where(known, even, route)
+                route, content = np.where(known, even, route), np.where(known, route, content)
                 columns = [route.view(np.int64), content.view(np.int64), doc, start << 16 | n << 1 | known]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
 
@@ -107,20 +110,15 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
     return given.mapInArrow(run, "route long, content long, doc_id long, at long")
 
 
-def judged(docs: DataFrame, units: Units) -> DataFrame:
-    """Segments that matter: route, doc_id, at (as of segments(), the last bit for hot), whole (an earlier document has it whole; else
-    it is to be compared)."""
-    group = Window.partitionBy("route", "content")
+def candidates(docs: DataFrame, units: Units) -> DataFrame:
+    """Segments whose minimizer two documents or more have: route, doc_id, at (as of segments(), the last bit for hot)."""
     rows = segments(docs, units).repartition(F.col("route"))
-    rows = rows.withColumn("earliest", F.min("doc_id").over(group))
     minimizer = Window.partitionBy("route")
-    rows = rows.withColumns({
-        "lo": F.min("doc_id").over(minimizer), "hi": F.max("doc_id").over(minimizer),
-        "c0": F.min("content").over(minimizer), "c1": F.max("content").over(minimizer), "m": F.count(F.lit(1)).over(minimizer),
-    })
-    whole = (F.col("at") % 2 == 1) | (F.col("doc_id") > F.col("earliest"))
-    return rows.filter(whole | ((F.col("lo") < F.col("hi")) & (F.col("c0") < F.col("c1")))).select(
-        "route", "doc_id", (F.col("at") - F.col("at") % 2 + F.when(F.col("m") > HOT, 1).otherwise(0)).alias("at"), whole.alias("whole")
+    rows = rows.withColumns({"lo": F.min("doc_id").over(minimizer), "hi": F.max("doc_id").over(minimizer), "m": F.count(F.lit(1)).over(minimizer)})
+    shared = F.col("at") % 2 == 1
+    hot = F.when(~shared & (F.col("m") > HOT), 1).otherwise(0)
+    return rows.filter(shared | (F.col("lo") < F.col("hi"))).select(
+        F.when(shared, F.col("content")).otherwise(F.col("route")).alias("route"), "doc_id", (F.col("at") - F.col("at") % 2 + hot).alias("at")
     )
 
 
@@ -165,41 +163,71 @@ def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), ends
 
 
-def payloads(docs: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
-    """route, doc_id, start, n, payload: what the operator compares. Of words, the windows' 64-bit hashes; else the bytes."""
+def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> DataFrame:
+    """route, doc_id, start, n, payload, source, source_from: what judge() removes within chunks, and what it leaves.
+
+    judge(doc, n, payload) has runs of windows, which it gets one after another (of words, the windows' 64-bit hashes; else the
+    runs' bytes), and gives for each window an earlier document that has it and where (-1: none). Removed: payload is null, and
+    start and n are from and to. Segments with a window left have the payload that the operator compares between chunks.
+    """
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             flat, ends = unpacked(batch.column(2))
-            route, start, n, hot = flat[:, 0], flat[:, 1] >> 16, flat[:, 1] >> 1 & 0x7FFF, flat[:, 1] % 2 == 1
             for lo, hi, data, offsets in text_chunks(batch, 1, CHUNK):
-                here = slice(ends[lo], ends[hi])
+                own = flat[ends[lo] : ends[hi]]
                 text = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                route, start, n, hot = own[:, 0], own[:, 1] >> 16, own[:, 1] >> 1 & 0x7FFF, own[:, 1] % 2 == 1
                 values, first = units.values(data, offsets)
-                inside = start[here] + n[here] + units.width - 1 <= np.diff(first)[text]  # not so if another row has the doc_id
-                r, s, c, h, text = (x[inside] for x in (route[here], start[here], n[here], hot[here], text))
+                inside = start + n + units.width - 1 <= np.diff(first)[text]  # not so if another row has the doc_id
+                order = np.lexsort((start, text))
+                order = order[inside[order]]
+                if not len(order):
+                    continue
+                r, s, c, h, text = (x[order] for x in (route, start, n, hot, text))
+                rolling = Rolling(values, 2)
+
+                def payload_of(at, c):
+                    if not units.words:
+                        return [data[a : a + k + units.width - 1].tobytes() for a, k in zip(at, c)]
+                    w = np.repeat(at - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                    found, to = rolling.of(w, w + units.width).tobytes(), np.cumsum(8 * c)
+                    return [found[a:b] for a, b in zip(to - 8 * c, to)]
+
+                # Segments that follow one another are one run.
+                head = np.ones(len(s), bool)
+                head[1:] = (text[1:] != text[:-1]) | (s[1:] != s[:-1] + c[:-1])
+                at = np.flatnonzero(head)
+                doc, begin, many = ids[lo:hi][text[at]], s[at], np.add.reduceat(c, at)
+                source, place = judge(doc, begin, many, b"".join(payload_of(begin + first[text[at]], many)))
+                d, a, b, sd, sa = factor_rows(doc, begin, many, source, place, units.width)
+                none = np.zeros(len(d), np.int64)
+                columns = [pa.array(none), pa.array(d), pa.array(a), pa.array(b), pa.nulls(len(d), pa.binary()), pa.array(sd), pa.array(sa)]
+                yield pa.RecordBatch.from_arrays(columns, PIECE)
+                left = ~np.logical_and.reduceat(source >= 0, np.cumsum(c) - c) if len(c) else np.zeros(0, bool)
+                r, s, c, h, text = (x[left] for x in (r, s, c, h, text))
                 # Of a hot minimizer each window is a segment of its own.
                 each = np.where(h, c, 1)
                 r, text, split = np.repeat(r, each), np.repeat(text, each), np.repeat(h, each)
                 s = np.repeat(s, each) + np.where(split, np.arange(len(split)) - np.repeat(np.cumsum(each) - each, each), 0)
                 c = np.where(split, 1, np.repeat(c, each))
-                rolling = Rolling(values, 2)
                 at = s + first[text]
                 r[split] = rolling.of(at[split], at[split] + units.width).view(np.int64)
-                if units.words:
-                    w = np.repeat(at - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                    found, size = rolling.of(w, w + units.width).tobytes(), 8 * c
-                    to = np.cumsum(size)
-                    found = [found[a:b] for a, b in zip(to - size, to)]
-                else:
-                    found = [data[a : a + k + units.width - 1].tobytes() for a, k in zip(at, c)]
-                columns = [pa.array(r), pa.array(ids[lo:hi][text]), pa.array(s), pa.array(c), pa.array(found, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["route", "doc_id", "start", "n", "payload"])
+                none = np.full(len(r), -1, np.int64)
+                columns = [pa.array(r), pa.array(ids[lo:hi][text]), pa.array(s), pa.array(c), pa.array(payload_of(at, c), pa.binary()), pa.array(none), pa.array(none)]
+                yield pa.RecordBatch.from_arrays(columns, PIECE)
 
     given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), packed(rows.select("doc_id", F.col("route").alias("a"), F.col("at").alias("b"))), "inner")
-    return given.mapInArrow(run, "route long, doc_id long, start long, n long, payload binary")
+    return given.mapInArrow(run, "route long, doc_id long, start long, n long, payload binary, source long, source_from long")
+
+
+def removed_and_left(docs: DataFrame, units: Units, judge) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc_id, a, b, source, source_from) that chunks of texts remove, and the segments that are to meet other chunks'."""
+    pieces = stored(judged_in_chunks(docs, stored(candidates(docs, units)), units, judge))
+    removed = pieces.filter("payload IS NULL").select("doc_id", F.col("start").alias("a"), F.col("n").alias("b"), "source", "source_from")
+    return removed, pieces.filter("payload IS NOT NULL").select("route", "doc_id", "start", "n", "payload")
 
 
 def by_route(rows: DataFrame) -> DataFrame:
@@ -247,15 +275,17 @@ def route_blocks(batches, limit: int):
         yield out(held)
 
 
-def removed_runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray, hit: np.ndarray, width: int):
-    """Runs of windows that are hit, as (doc_id, from, to) in units; hit has the segments' windows one after another."""
-    segment = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + start[segment]
-    head = hit.copy()
-    head[1:] &= ~hit[:-1] | (segment[1:] != segment[:-1])
+def factor_rows(doc: np.ndarray, start: np.ndarray, n: np.ndarray, source: np.ndarray, place: np.ndarray, width: int):
+    """doc_id, from, to, source, from: stretches of windows (one run's after another's) that one earlier document has in a row."""
+    run = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + start[run]
+    hit = source >= 0
+    on = np.zeros(len(hit), bool)  # goes on with the factor of the window before
+    on[1:] = hit[1:] & hit[:-1] & (run[1:] == run[:-1]) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1)
+    head = hit & ~on
     tail = hit.copy()
-    tail[:-1] &= ~hit[1:] | (segment[1:] != segment[:-1])
-    return doc[segment[head]], place[head], place[tail] + width
+    tail[:-1] &= ~on[1:]
+    return doc[run[head]], own[head], own[tail] + width, source[head], place[head]
 
 
 def strip(docs: DataFrame, spans: DataFrame, units: Units) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import stored
-from .spans import Units, by_route, judged, payloads, removed_runs, route_blocks, strip
+from .spans import SPANS, Units, by_route, factor_rows, removed_and_left, route_blocks, strip
 
 BYTES, GRAM = 50, 16
 #: Bytes of text to a shard, for which one suffix array is made.
@@ -98,52 +96,76 @@ def _keys(text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, width)[places]).view(f"S{width}").ravel()
 
 
+def least_owners(doc: np.ndarray, start: np.ndarray, n: np.ndarray, raw: bytes, width: int):
+    """Of each window of a shard, the smallest document of the shard that has it, where, and the windows' places in `raw`.
+
+    The shard's suffix array and its common prefixes: suffixes whose common prefixes reach `width` are one class.
+    """
+    text = np.frombuffer(raw, np.uint8)
+    length = n + width - 1
+    begin = np.cumsum(length) - length
+    segment = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+    places = begin[segment] + inner
+    owner, at = np.full(len(text), -1, np.int64), np.zeros(len(text), np.int64)
+    owner[places], at[places] = doc[segment], start[segment] + inner
+    window = np.zeros(len(text), bool)
+    window[places] = True
+    order = suffix_array(text)
+    group = np.cumsum(common_prefixes(text, order, width) < width) - 1
+    order, group = order[window[order]], group[window[order]]
+    by = np.lexsort((at[order], owner[order], group))
+    head = np.ones(len(by), bool)
+    head[1:] = group[by][1:] != group[by][:-1]
+    least = np.empty(len(text), np.int64)
+    least[order[by]] = order[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else by
+    return owner[least[places]], at[least[places]], places
+
+
 def repeated(rows: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
-    """doc_id, a, b (from, to): runs of windows that a smaller document has.
+    """SPANS: runs of windows that a smaller document has.
 
-    All segments with one minimizer meet, in order of doc_id, in shards of about `shard` bytes. Each shard has a suffix array and
-    its common prefixes; suffixes whose common prefixes reach `width` are one class, and its least document is the first. A
+    All segments with one minimizer meet, in order of doc_id, in shards of about `shard` bytes, each with its suffix array. A
     minimizer whose segments are more than one shard has its shards merged: the windows of each are looked up by binary search in
     the sorted windows of those before it.
     """
     import pyarrow as pa
 
     def run(batches):
-        seen, first = np.zeros(0, f"S{width}"), np.zeros(0, np.int64)
+        seen, first, where = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for more, route, doc, start, n, payload in route_blocks(batches, shard):
             raw = b"".join(payload.to_pylist())
             text = np.frombuffer(raw, np.uint8)
-            length = n + width - 1
-            begin = np.cumsum(length) - length
-            segment = np.repeat(np.arange(len(n)), n)
-            places = begin[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-            owner = np.zeros(len(text), np.int64)
-            owner[places] = doc[segment]
-            order = suffix_array(text)
-            common = common_prefixes(text, order, width)
-            group = np.cumsum(common < width) - 1
-            window = np.zeros(len(text), bool)
-            window[places] = True
-            order, group = order[window[order]], group[window[order]]
-            least = np.full(int(group.max()) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, owner[order])
-            smallest = np.empty(len(text), np.int64)
-            smallest[order] = least[group]
-            if more and len(seen):
-                ours = places[route[segment] == route[0]]
-                keys = _keys(text, ours, width)
-                at = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
-                smallest[ours] = np.where(seen[at] == keys, np.minimum(first[at], smallest[ours]), smallest[ours])
-            hit = smallest[places] < doc[segment]
+            least, at, places = least_owners(doc, start, n, raw, width)
+            if not more:
+                seen, first, where = seen[:0], first[:0], where[:0]
+            if len(seen):
+                ours = np.flatnonzero(np.repeat(route, n) == route[0])
+                keys = _keys(text, places[ours], width)
+                found = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
+                old = (seen[found] == keys) & (first[found] < least[ours])
+                least[ours[old]], at[ours[old]] = first[found[old]], where[found[old]]
             if len(route) and route[0] == route[-1]:  # only such a shard can be continued
-                keys = np.concatenate([seen[:0] if not more else seen, _keys(text, places, width)])
-                owners = np.concatenate([first[:0] if not more else first, smallest[places]])
-                seen, at = np.unique(keys, return_index=True)
-                first = owners[at]
-            found = removed_runs(doc, start, n, hit, width)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "a", "b"])
+                keys = np.concatenate([seen, _keys(text, places, width)])
+                first, where = np.concatenate([first, least]), np.concatenate([where, at])
+                seen, index = np.unique(keys, return_index=True)
+                first, where = first[index], where[index]
+            source = np.where(least < np.repeat(doc, n), least, -1)
+            out = factor_rows(doc, start, n, source, at, width)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "a", "b", "source", "source_from"])
+
+    return by_route(rows).mapInArrow(run, SPANS)
+
+
+def suffix_spans(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """doc_id, a, b (from, to), source, source_from: bytes that a smaller document has, and where. Spans may overlap."""
+
+    def judge(doc, start, n, raw):
+        least, at, _ = least_owners(doc, start, n, raw, width)
+        return np.where(least < np.repeat(doc, n), least, -1), at
 
-    return by_route(rows).mapInArrow(run, "doc_id long, a long, b long")
+    removed, left = removed_and_left(docs, Units(False, width, gram), judge)
+    return removed.union(repeated(left, width, shard))
 
 
 def suffix_dedup(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -153,9 +175,5 @@ def suffix_dedup(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: i
     that repeat a doc_id never remove one another; a null doc_id removes nothing and loses nothing. Columns besides doc_id and text
     are not read.
     """
-    units = Units(False, width, gram)
-    rows = stored(judged(docs, units))
-    runs = repeated(payloads(docs, rows.filter("NOT whole").drop("whole"), units), width, shard)
-    begin, count = F.shiftright("at", 16), F.shiftright("at", 1).bitwiseAND(0x7FFF)
-    whole = rows.filter("whole").select("doc_id", begin.alias("a"), (begin + count + width - 1).alias("b"))
-    return strip(docs, whole.union(runs), units).withColumnRenamed("n_units", "n_bytes")
+    spans = suffix_spans(docs, width, gram, shard).select("doc_id", "a", "b")
+    return strip(docs, spans, Units(False, width, gram)).withColumnRenamed("n_units", "n_bytes")

@@ -46,6 +46,39 @@ def test_shards_merge(docs, rows):
     assert {r[0]: tuple(r[1:]) for r in suffix.suffix_dedup(docs, shard=500).collect()} == brute(rows, False)
 
 
+def test_blocks_continue(docs, rows):
+    """Reference blocks so small that one minimizer's segments fill many."""
+    assert {r[0]: tuple(r[1:]) for r in rlz.substring_dedup(docs, block=500).collect()} == brute(rows, True)
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_spans_are_at_their_sources(docs, rows, words):
+    """Each span stands in a smaller document where it is said to."""
+    units = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") if words else (t or "").encode() for i, t in rows}
+    found = (rlz.factors(docs) if words else suffix.suffix_spans(docs)).collect()
+    assert found
+    for doc, a, b, source, at in found:
+        assert source < doc and b - a >= 50 and units[doc][a:b] == units[source][at : at + b - a]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=40), min_size=1, max_size=8))
+def test_parse(texts):
+    """A window is hit where an earlier text has it, and its source is one."""
+    windows = np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint64)
+    n = np.array([len(x) for x in texts])
+    doc, start = np.arange(len(texts)) // 2, np.arange(len(texts)) * 100
+    source, place = rlz.parse(doc, start, n, windows)
+    at = 0
+    for k, x in enumerate(texts):
+        for c in x:
+            assert (source[at] >= 0) == any(c in y for y, d in zip(texts, doc) if d < doc[k])
+            if source[at] >= 0:
+                j = place[at] // 100
+                assert doc[j] == source[at] < doc[k] and texts[j][place[at] % 100] == c
+            at += 1
+
+
 def test_shuffled_spans(docs, rows, monkeypatch):
     monkeypatch.setattr(spans, "BROADCAST", -1)
     assert {r[0]: tuple(r[1:]) for r in suffix.suffix_dedup(docs).collect()} == brute(rows, False)
