@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .spans import SPANS, Units, by_route, factor_rows, removed_and_left, route_blocks, strip
+from .spans import Units, compared, factor_rows, route_blocks, strip
 
 WORDS, GRAM = 50, 8
 BLOCK = 8 << 20
@@ -66,13 +66,12 @@ def parse(doc: np.ndarray, start: np.ndarray, n: np.ndarray, windows: np.ndarray
     return np.where(taken >= 0, owner[at], -1), place[at] + start[run[at]]
 
 
-def factored(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
-    """SPANS: factors (from, to) of segments against the reference blocks of smaller documents, with their sources.
+def factored(width: int, block: int = BLOCK):
+    """For compared(): factors (from, to) of segments against the reference blocks of smaller documents, with their sources.
 
     All segments with one minimizer meet, in order of doc_id. Each is a reference for those after it. Of a minimizer that doesn't fit
     a block the index stays, by binary search, for the blocks that continue it.
     """
-    import pyarrow as pa
 
     def run(batches):
         seen, first, where = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -95,10 +94,9 @@ def factored(rows: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
                 head = np.ones(len(keys), bool)
                 head[1:] = keys[1:] != keys[:-1]
                 seen, first, where = keys[head], owners[head], places[head]
-            out = factor_rows(doc, start, n, source, place, width)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "a", "b", "source", "source_from"])
+            yield factor_rows(doc, start, n, source, place, width)
 
-    return by_route(rows).mapInArrow(run, SPANS)
+    return run
 
 
 def factors(docs: DataFrame, width: int = WORDS, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -107,8 +105,7 @@ def factors(docs: DataFrame, width: int = WORDS, gram: int = GRAM, block: int =
     def judge(doc, start, n, raw):
         return parse(doc, start, n, np.frombuffer(raw, np.uint64))
 
-    removed, left = removed_and_left(docs, Units(True, width, gram), judge)
-    return removed.union(factored(left, width, block))
+    return compared(docs, Units(True, width, gram), judge, factored(width, block))
 
 
 def substring_dedup(docs: DataFrame, width: int = WORDS, gram: int = GRAM, block: int = BLOCK) -> DataFrame:

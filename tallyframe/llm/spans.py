@@ -28,6 +28,7 @@ HOT = 200_000
 LONGEST = 1 << 14
 BROADCAST = 64 << 20
 PIECE = ["route", "doc_id", "start", "n", "payload", "source", "source_from"]
+SPAN = ["doc_id", "a", "b", "source", "source_from"]
 SPANS = "doc_id long, a long, b long, source long, source_from long"
 
 
@@ -203,8 +204,8 @@ def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> D
                 doc, begin, many = ids[lo:hi][text[at]], s[at], np.add.reduceat(c, at)
                 source, place = judge(doc, begin, many, b"".join(payload_of(begin + first[text[at]], many)))
                 d, a, b, sd, sa = factor_rows(doc, begin, many, source, place, units.width)
-                none = np.zeros(len(d), np.int64)
-                columns = [pa.array(none), pa.array(d), pa.array(a), pa.array(b), pa.nulls(len(d), pa.binary()), pa.array(sd), pa.array(sa)]
+                even = splitmix((d.astype(np.uint64) << np.uint64(20)) + a.astype(np.uint64)).view(np.int64)
+                columns = [pa.array(even), pa.array(d), pa.array(a), pa.array(b), pa.nulls(len(d), pa.binary()), pa.array(sd), pa.array(sa)]
                 yield pa.RecordBatch.from_arrays(columns, PIECE)
                 left = ~np.logical_and.reduceat(source >= 0, np.cumsum(c) - c) if len(c) else np.zeros(0, bool)
                 r, s, c, h, text = (x[left] for x in (r, s, c, h, text))
@@ -223,11 +224,35 @@ def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> D
     return given.mapInArrow(run, "route long, doc_id long, start long, n long, payload binary, source long, source_from long")
 
 
-def removed_and_left(docs: DataFrame, units: Units, judge) -> tuple[DataFrame, DataFrame]:
-    """Spans (doc_id, a, b, source, source_from) that chunks of texts remove, and the segments that are to meet other chunks'."""
-    pieces = stored(judged_in_chunks(docs, stored(candidates(docs, units)), units, judge))
-    removed = pieces.filter("payload IS NULL").select("doc_id", F.col("start").alias("a"), F.col("n").alias("b"), "source", "source_from")
-    return removed, pieces.filter("payload IS NOT NULL").select("route", "doc_id", "start", "n", "payload")
+def compared(docs: DataFrame, units: Units, judge, between) -> DataFrame:
+    """SPANS that judge() removes within chunks, and those that between() does.
+
+    between() has an iterator of record batches of the segments that chunks have left, sorted by minimizer and doc_id, and yields
+    SPANS. What is removed already rides along, dealt out evenly, so that chunks are judged once and nothing is kept for a second pass.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        done = []
+
+        def left():
+            for batch in batches:
+                gone = pc.is_null(batch.column("payload"))
+                done.append(batch.filter(gone))
+                yield batch.filter(pc.invert(gone))
+
+        def drained():
+            while done:
+                yield pa.RecordBatch.from_arrays([done[0].column(c) for c in ("doc_id", "start", "n", "source", "source_from")], SPAN)
+                done.pop(0)
+
+        for found in between(left()):
+            yield from drained()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], SPAN)
+        yield from drained()
+
+    return by_route(judged_in_chunks(docs, candidates(docs, units), units, judge)).mapInArrow(run, SPANS)
 
 
 def by_route(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .spans import SPANS, Units, by_route, factor_rows, removed_and_left, route_blocks, strip
+from .spans import Units, compared, factor_rows, route_blocks, strip
 
 BYTES, GRAM = 50, 16
 #: Bytes of text to a shard, for which one suffix array is made.
@@ -122,25 +122,27 @@ def least_owners(doc: np.ndarray, start: np.ndarray, n: np.ndarray, raw: bytes,
     return owner[least[places]], at[least[places]], places
 
 
-def repeated(rows: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
-    """SPANS: runs of windows that a smaller document has.
+def repeated(width: int, shard: int = SHARD):
+    """For compared(): runs of windows that a smaller document has.
 
-    All segments with one minimizer meet, in order of doc_id, in shards of about `shard` bytes, each with its suffix array. A
-    minimizer whose segments are more than one shard has its shards merged: the windows of each are looked up by binary search in
-    the sorted windows of those before it.
+    All segments with one minimizer meet, in order of doc_id, in shards of about `shard` bytes. Segments of a shard with the same
+    bytes are one, the earliest document's, in its suffix array, and share what it finds. A minimizer whose segments are more than
+    one shard has its shards merged: the windows of each are looked up by binary search in the sorted windows of those before it.
     """
-    import pyarrow as pa
 
     def run(batches):
         seen, first, where = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for more, route, doc, start, n, payload in route_blocks(batches, shard):
-            raw = b"".join(payload.to_pylist())
+            coded = payload.combine_chunks().dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            one = np.unique(code, return_index=True)[1]  # rows come by doc_id, so it is the earliest that has these bytes
+            raw = b"".join(coded.dictionary.to_pylist())
             text = np.frombuffer(raw, np.uint8)
-            least, at, places = least_owners(doc, start, n, raw, width)
+            least, at, places = least_owners(doc[one], start[one], n[one], raw, width)
             if not more:
                 seen, first, where = seen[:0], first[:0], where[:0]
             if len(seen):
-                ours = np.flatnonzero(np.repeat(route, n) == route[0])
+                ours = np.flatnonzero(np.repeat(route[one], n[one]) == route[0])
                 keys = _keys(text, places[ours], width)
                 found = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
                 old = (seen[found] == keys) & (first[found] < least[ours])
@@ -150,11 +152,12 @@ def repeated(rows: DataFrame, width: int, shard: int = SHARD) -> DataFrame:
                 first, where = np.concatenate([first, least]), np.concatenate([where, at])
                 seen, index = np.unique(keys, return_index=True)
                 first, where = first[index], where[index]
-            source = np.where(least < np.repeat(doc, n), least, -1)
-            out = factor_rows(doc, start, n, source, at, width)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "a", "b", "source", "source_from"])
+            begin = np.cumsum(n[one]) - n[one]
+            window = np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            least, at = least[window], at[window]
+            yield factor_rows(doc, start, n, np.where(least < np.repeat(doc, n), least, -1), at, width)
 
-    return by_route(rows).mapInArrow(run, SPANS)
+    return run
 
 
 def suffix_spans(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -164,8 +167,7 @@ def suffix_spans(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: i
         least, at, _ = least_owners(doc, start, n, raw, width)
         return np.where(least < np.repeat(doc, n), least, -1), at
 
-    removed, left = removed_and_left(docs, Units(False, width, gram), judge)
-    return removed.union(repeated(left, width, shard))
+    return compared(docs, Units(False, width, gram), judge, repeated(width, shard))
 
 
 def suffix_dedup(docs: DataFrame, width: int = BYTES, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
