@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,14 +118,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return splitmix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
 
 
+@lru_cache
+def _short_powers(base: int) -> np.ndarray:
+    return powers(base, 1 << 19)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return _short_powers(base)[:n] if n <= 1 << 19 else powers(base, n)
+
+
 class Rolling:
     """Hashes of any run of a sequence of 64-bit values in constant time: a polynomial modulo 2**64."""
 
     def __init__(self, values: np.ndarray, seed: int):
-        self.power = powers(_BASE[seed], len(values) + 1)
+        self.power = _powers(_BASE[seed], len(values) + 1)
         self.prefix = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.power[:-1], out=self.prefix[1:])
-        self.inverse = powers(pow(_BASE[seed], -1, 1 << 64), len(values) + 1)
+        self.inverse = _powers(pow(_BASE[seed], -1, 1 << 64), len(values) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return splitmix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import _TABLE, Rolling, splitmix, stored, text_chunks, word_hashes, word_spans
 
-#: Bytes of text that are hashed at a time, and within which equal segments meet before they are shuffled.
-CHUNK = 2 << 20
+#: Bytes of text within which equal segments meet before they are shuffled; and that are hashed at a time.
+CHUNK, SLICE = 2 << 20, 1 << 18
 #: A minimizer with more segments than this has them dealt out window by window, by the window's own hash.
 HOT = 200_000
 #: Longest segment; and the most bytes of packed spans that are broadcast to the texts instead of shuffling these.
@@ -88,24 +88,33 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
     """
     import pyarrow as pa
 
+    def out(parts):
+        doc, start, n, route, content = map(np.concatenate, zip(*parts))
+        order = np.lexsort((doc, content, route))
+        r, c, d = route[order], content[order], doc[order]
+        head = np.ones(len(r), bool)
+        head[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
+        earliest = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(d) else d
+        known = np.zeros(len(r), bool)
+        known[order] = d > earliest
+        even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
+        route, content = np.where(known, even, route), np.where(known, route, content)
+        columns = [route.view(np.int64), content.view(np.int64), doc, start << 16 | n << 1 | known]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_chunks(batch, 1, CHUNK):
-                values, first = units.values(data, offsets)
-                text, start, n, route, content = segments_of(values, first, units)
-                doc = ids[lo:hi][text]
-                order = np.lexsort((doc, content, route))
-                r, c, d = route[order], content[order], doc[order]
-                head = np.ones(len(r), bool)
-                head[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-                earliest = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(d) else d
-                known = np.zeros(len(r), bool)
-                known[order] = d > earliest
-                even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
-                route, content = np.where(known, even, route), np.where(known, route, content)
-                columns = [route.view(np.int64), content.view(np.int64), doc, start << 16 | n << 1 | known]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
+            for lo, hi, data, offsets in text_chunks(batch, 1, SLICE):
+                text, *found = segments_of(*units.values(data, offsets), units)
+                parts.append((ids[lo:hi][text], *found))
+                size += len(data)
+                if size >= CHUNK:
+                    yield out(parts)
+                    parts, size = [], 0
+        if parts:
+            yield out(parts)
 
     given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     return given.mapInArrow(run, "route long, content long, doc_id long, at long")
@@ -167,8 +176,8 @@ def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
 def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> DataFrame:
     """route, doc_id, start, n, payload, source, source_from: what judge() removes within chunks, and what it leaves.
 
-    judge(doc, n, payload) has runs of windows, which it gets one after another (of words, the windows' 64-bit hashes; else the
-    runs' bytes), and gives for each window an earlier document that has it and where (-1: none). Removed: payload is null, and
+    judge(doc, start, n, payload) has runs of windows, which it gets one after another, by doc_id (of words, the windows' 64-bit
+    hashes; else the runs' bytes), and gives for each window an earlier document that has it and where (-1: none). Removed: payload is null, and
     start and n are from and to. Segments with a window left have the payload that the operator compares between chunks.
     """
     import pyarrow as pa
@@ -183,7 +192,7 @@ def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> D
                 route, start, n, hot = own[:, 0], own[:, 1] >> 16, own[:, 1] >> 1 & 0x7FFF, own[:, 1] % 2 == 1
                 values, first = units.values(data, offsets)
                 inside = start + n + units.width - 1 <= np.diff(first)[text]  # not so if another row has the doc_id
-                order = np.lexsort((start, text))
+                order = np.lexsort((start, text, ids[lo:hi][text]))
                 order = order[inside[order]]
                 if not len(order):
                     continue

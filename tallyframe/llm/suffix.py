@@ -22,30 +22,32 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text.astype(np.uint64) + np.uint64(1)  # the end sorts first
-    key = np.zeros(n, np.uint64)
-    for j in range(7):  # 257 values to the power of 7 are below 2**63
-        key = key * np.uint64(257) + padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
+    letter = np.cumsum(np.bincount(text, minlength=256) > 0)  # from 1: the end sorts first
+    base = int(letter[-1]) + 1
+    h = int(62 / np.log2(base))  # so many letters fit a key
+    padded = np.zeros(n + h, np.int64)
+    padded[:n] = letter[text]
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key *= base
+        key += padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
     head = np.ones(n, bool)
-    head[1:] = sorted_[1:] != sorted_[:-1]
+    head[1:] = key[1:] != key[:-1]
     at = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
     rank[order], rank[n] = at + 1, 0
-    h = 7
     alone = head & np.r_[head[1:], True]
     open_ = np.flatnonzero(~alone)  # places in the order whose suffix isn't alone
     while len(open_) and h < n:
         suffix = order[open_]
-        follow = rank[np.minimum(suffix + h, n)]
-        group = at[open_]
-        o = np.argsort(group * (n + 1) + follow)
-        suffix, follow, group = suffix[o], follow[o], group[o]
+        key = at[open_] * (n + 1) + rank[np.minimum(suffix + h, n)]
+        o = np.argsort(key)
+        suffix, key = suffix[o], key[o]
         order[open_] = suffix
         head = np.ones(len(o), bool)
-        head[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        head[1:] = key[1:] != key[:-1]
         new = open_[np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))]
         at[open_] = new
         rank[suffix] = new + 1
@@ -59,36 +61,32 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Of each suffix in order and the one before it, the common prefix, up to `most`: Kasai's scan in text order.
 
     The scan keeps what it knows from the suffix one place to the left, less one. Many stretches of the text are scanned side by
-    side, each from nothing.
+    side, each from nothing and at its own pace, eight bytes at a time.
     """
     n = len(text)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, n, np.int64)
     before[order[1:]] = order[:-1]
+    padded = np.zeros(n + most + 16, np.uint8)
+    padded[:n] = text
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    length = -(-n // max(1, min(LANES, n // 64)))
+    i = np.arange(0, n, length)
+    end = np.minimum(i + length, n)
+    known = np.zeros(len(i), np.int64)
     out = np.zeros(n, np.int64)
-    lanes = max(1, min(LANES, n // 64))
-    length = -(-n // lanes)
-    padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
-    begin = np.arange(lanes) * length
-    known = np.zeros(lanes, np.int64)
-    for step in range(length):
-        i = begin + step
-        live = i < n
-        i = np.where(live, i, 0)
+    while len(i):
         j = before[i]
-        live &= j >= 0
-        known = np.where(live, known, 0)
-        go = np.flatnonzero(live)
-        while len(go):
-            a, b = i[go] + known[go], j[go] + known[go]
-            same = (known[go] < most) & (a < n) & (b < n)
-            same &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            go = go[same]
-            known[go] += 1
-        out[rank[i[live]]] = known[live]
-        known = np.maximum(known - 1, 0)
-    return out
+        room = np.minimum(n - np.maximum(i, j), most)
+        unlike = eight[i + known] ^ eight[j + known]
+        known = np.minimum(known + (np.bitwise_count(~unlike & (unlike - np.uint64(1))) >> 3), room)  # bytes below the first unlike one
+        done = (unlike != 0) | (known == room)
+        out[i[done]] = known[done]
+        known = np.where(done, np.maximum(known - 1, 0), known)
+        i = i + done
+        live = i < end
+        if not live.all():
+            i, end, known = i[live], end[live], known[live]
+    return out[order]
 
 
 def _keys(text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +97,8 @@ def _keys(text: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
 def least_owners(doc: np.ndarray, start: np.ndarray, n: np.ndarray, raw: bytes, width: int):
     """Of each window of a shard, the smallest document of the shard that has it, where, and the windows' places in `raw`.
 
-    The shard's suffix array and its common prefixes: suffixes whose common prefixes reach `width` are one class.
+    The shard's suffix array and its common prefixes: suffixes whose common prefixes reach `width` are one class. Segments that may
+    share windows come in order of doc_id, so that a class's first place is its smallest document's.
     """
     text = np.frombuffer(raw, np.uint8)
     length = n + width - 1
@@ -107,19 +106,15 @@ def least_owners(doc: np.ndarray, start: np.ndarray, n: np.ndarray, raw: bytes,
     segment = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
     places = begin[segment] + inner
-    owner, at = np.full(len(text), -1, np.int64), np.zeros(len(text), np.int64)
-    owner[places], at[places] = doc[segment], start[segment] + inner
-    window = np.zeros(len(text), bool)
-    window[places] = True
     order = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, order, width) < width) - 1
-    order, group = order[window[order]], group[window[order]]
-    by = np.lexsort((at[order], owner[order], group))
-    head = np.ones(len(by), bool)
-    head[1:] = group[by][1:] != group[by][:-1]
-    least = np.empty(len(text), np.int64)
-    least[order[by]] = order[by][np.flatnonzero(head)][np.cumsum(head) - 1] if len(by) else by
-    return owner[least[places]], at[least[places]], places
+    head = common_prefixes(text, order, width) < width
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(head) - 1
+    group = group[places]
+    least = np.full(int(head.sum()), len(segment))
+    np.minimum.at(least, group, np.arange(len(segment)))
+    least = least[group]
+    return doc[segment[least]], start[segment[least]] + inner[least], places
 
 
 def repeated(width: int, shard: int = SHARD):
