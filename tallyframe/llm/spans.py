@@ -81,10 +81,10 @@ def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
-    """route, content, doc_id, at: segments, one to a row. at: first window << 16 | windows << 1 | shared.
+    """route, content, doc_id, at: segments, one to a row. at: first window << 17 | windows << 2 | sure << 1 | known.
 
-    shared: another document of the chunk has this minimizer's content too, so it need not be asked whether any has. Such rows are
-    dealt out evenly by `route`, and `content` is their minimizer.
+    sure: another document of the chunk has this content too, so it need not be asked whether any has. Of such rows the earliest
+    document's tells others of its minimizer; the rest are known: dealt out evenly by `route`, and `content` is their minimizer.
     """
     import pyarrow as pa
 
@@ -94,12 +94,14 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
         r, c, d = route[order], content[order], doc[order]
         head = np.ones(len(r), bool)
         head[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-        earliest = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(d) else d
-        known = np.zeros(len(r), bool)
-        known[order] = d > earliest
+        first, last = np.flatnonzero(head), np.flatnonzero(np.r_[head[1:], True]) if len(r) else []
+        group = np.cumsum(head) - 1
+        known, sure = np.zeros(len(r), bool), np.zeros(len(r), bool)
+        known[order] = d > d[first][group]
+        sure[order] = (d[first] < d[last])[group]
         even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
-        route, content = np.where(known, even, route), np.where(known, route, content)
-        columns = [route.view(np.int64), content.view(np.int64), doc, start << 16 | n << 1 | known]
+        route, content = np.where(known, even, route), np.where(known, route, np.uint64(0))
+        columns = [route.view(np.int64), content.view(np.int64), doc, start << 17 | n << 2 | sure << 1 | known]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
 
     def run(batches):
@@ -121,14 +123,14 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def candidates(docs: DataFrame, units: Units) -> DataFrame:
-    """Segments whose minimizer two documents or more have: route, doc_id, at (as of segments(), the last bit for hot)."""
+    """Segments whose minimizer two documents or more have: route, doc_id, at (first window << 16 | windows << 1 | hot)."""
     rows = segments(docs, units).repartition(F.col("route"))
     minimizer = Window.partitionBy("route")
     rows = rows.withColumns({"lo": F.min("doc_id").over(minimizer), "hi": F.max("doc_id").over(minimizer), "m": F.count(F.lit(1)).over(minimizer)})
-    shared = F.col("at") % 2 == 1
-    hot = F.when(~shared & (F.col("m") > HOT), 1).otherwise(0)
-    return rows.filter(shared | (F.col("lo") < F.col("hi"))).select(
-        F.when(shared, F.col("content")).otherwise(F.col("route")).alias("route"), "doc_id", (F.col("at") - F.col("at") % 2 + hot).alias("at")
+    known, sure = F.col("at") % 2 == 1, F.col("at") % 4 > 1
+    hot = F.when(F.col("m") > HOT, 1).otherwise(0)
+    return rows.filter(sure | (F.col("lo") < F.col("hi"))).select(
+        F.when(known, F.col("content")).otherwise(F.col("route")).alias("route"), "doc_id", (F.shiftright("at", 2) * 2 + hot).alias("at")
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -41,6 +42,19 @@ def test_hot_minimizers(docs, rows, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in suffix.suffix_dedup(docs).collect()} == brute(rows, False)
 
 
+@pytest.mark.parametrize("words", [True, False])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_passage_of_one_chunk(spark, words, parts):
+    """A passage that only documents of one chunk have, and one that those of all chunks have."""
+    r = random.Random(2)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, other = text(200), text(90)
+    rows = [(i, " ".join([text(30 + i), passage if i in (1, 2) else text(40), text(20), other if i in (5, 6, 7) else "", text(60)])) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts, "doc_id")
+    got = {r[0]: tuple(r[1:]) for r in (rlz.substring_dedup(docs) if words else suffix.suffix_dedup(docs)).collect()}
+    assert got == brute(rows, words)
+
+
 def test_shards_merge(docs, rows):
     """Shards so small that one minimizer's segments fill many."""
     assert {r[0]: tuple(r[1:]) for r in suffix.suffix_dedup(docs, shard=500).collect()} == brute(rows, False)
