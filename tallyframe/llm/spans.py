@@ -48,25 +48,33 @@ class Units:
         return word_hashes(data, starts, ends, 1), first
 
 
-def least_of(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each `width` consecutive values."""
-    span = 1
-    m = x
+def least_of(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum of each `width` consecutive values, and where it is first."""
+    m, at, span = x, np.arange(len(x), dtype=np.int32), 1
+
+    def both(k):
+        left = m[: len(m) - k] <= m[k:]
+        return np.where(left, m[: len(m) - k], m[k:]), np.where(left, at[: len(m) - k], at[k:])
+
     while span * 2 <= width:
-        m = np.minimum(m[:-span], m[span:])
+        m, at = both(span)
         span *= 2
-    rest = width - span
-    return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+    return both(width - span) if width > span else (m, at)
 
 
 def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
-    """Text number, first window, windows, minimizer and content hash of each segment of concatenated texts."""
+    """Text number, first window, windows, minimizer, content hash and context of each segment of concatenated texts.
+
+    Windows are longer than minimizers, by so much that a window has at least half of that to the left of its minimizer or to the
+    right. context: a hash of the minimizer with the units to its left, and one of it with those to its right, 32 bits each: equal
+    windows agree in one of the two. 0: the segment has its minimizer more than once, and may meet any.
+    """
     none = np.zeros(0, np.int64)
     if len(values) < units.width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 3
     rolling = Rolling(values, 1)
     at = np.arange(len(values) - units.gram + 1)
-    least = least_of(rolling.of(at, at + units.gram), units.width - units.gram + 1)
+    least, place = least_of(rolling.of(at, at + units.gram), units.width - units.gram + 1)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     whole = text[: len(least)] == text[units.width - 1 :]
     new = np.ones(len(least), bool)
@@ -77,19 +85,26 @@ def segments_of(values: np.ndarray, first: np.ndarray, units: Units):
     starts = np.flatnonzero(new & whole)
     counts = np.bincount(run[whole], minlength=run[-1] + 1)[run[starts]]
     content = Rolling(splitmix(values), 2).of(starts, starts + counts + units.width - 1)
-    return text[starts], starts - first[text[starts]], counts, least[starts], content
+    at, half = place[starts].astype(np.int64), (units.width - units.gram + 1) // 2
+    lo, hi = at - half, at + units.gram + half
+    left = rolling.of(np.maximum(lo, first[text[starts]]), at + units.gram)
+    right = rolling.of(at, np.minimum(hi, first[text[starts] + 1])) ^ np.uint64(0x5555555555555555)
+    context = (left >> np.uint64(32) << np.uint64(32)) | (right >> np.uint64(32))
+    context = np.where(place[starts] == place[starts + counts - 1], context, np.uint64(0))
+    return text[starts], starts - first[text[starts]], counts, least[starts], content, context
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
     """route, content, doc_id, at: segments, one to a row. at: first window << 17 | windows << 2 | sure << 1 | known.
 
     sure: another document of the chunk has this content too, so it need not be asked whether any has. Of such rows the earliest
-    document's tells others of its minimizer; the rest are known: dealt out evenly by `route`, and `content` is their minimizer.
+    document's tells others of its minimizer; the rest are known: dealt out evenly by `route`, and `content` is their minimizer,
+    where it is the context (see segments_of()) of others.
     """
     import pyarrow as pa
 
     def out(parts):
-        doc, start, n, route, content = map(np.concatenate, zip(*parts))
+        doc, start, n, route, content, context = map(np.concatenate, zip(*parts))
         order = np.lexsort((doc, content, route))
         r, c, d = route[order], content[order], doc[order]
         head = np.ones(len(r), bool)
@@ -100,7 +115,7 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
         known[order] = d > d[first][group]
         sure[order] = (d[first] < d[last])[group]
         even = splitmix((doc.astype(np.uint64) << np.uint64(20)) + start.astype(np.uint64))
-        route, content = np.where(known, even, route), np.where(known, route, np.uint64(0))
+        route, content = np.where(known, even, route), np.where(known, route, context)
         columns = [route.view(np.int64), content.view(np.int64), doc, start << 17 | n << 2 | sure << 1 | known]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "content", "doc_id", "at"])
 
@@ -123,13 +138,23 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
 
 
 def candidates(docs: DataFrame, units: Units) -> DataFrame:
-    """Segments whose minimizer two documents or more have: route, doc_id, at (first window << 16 | windows << 1 | hot)."""
+    """Segments whose minimizer two documents or more have, with units to the left or to the right of it: route, doc_id, at.
+
+    at: first window << 16 | windows << 1 | hot.
+    """
     rows = segments(docs, units).repartition(F.col("route"))
     minimizer = Window.partitionBy("route")
-    rows = rows.withColumns({"lo": F.min("doc_id").over(minimizer), "hi": F.max("doc_id").over(minimizer), "m": F.count(F.lit(1)).over(minimizer)})
     known, sure = F.col("at") % 2 == 1, F.col("at") % 4 > 1
+    lo, hi = F.min("doc_id"), F.max("doc_id")
+    rows = rows.withColumns({"lo": lo.over(minimizer), "hi": hi.over(minimizer), "m": F.count(F.lit(1)).over(minimizer), "any": F.max(~known & (F.col("content") == 0)).over(minimizer)})
+    rows = rows.filter(sure | (F.col("lo") < F.col("hi")))
+    sides = {k: Window.partitionBy("route", side) for k, side in (("left", F.shiftright("content", 32)), ("right", F.col("content").bitwiseAND(0xFFFFFFFF)))}
+    met = sure | F.col("any")
+    for side in sides.values():
+        rows = rows.withColumn("met", met | (lo.over(side) < hi.over(side)))
+        met = F.col("met")
     hot = F.when(F.col("m") > HOT, 1).otherwise(0)
-    return rows.filter(sure | (F.col("lo") < F.col("hi"))).select(
+    return rows.filter("met").select(
         F.when(known, F.col("content")).otherwise(F.col("route")).alias("route"), "doc_id", (F.shiftright("at", 2) * 2 + hot).alias("at")
     )
 
@@ -175,6 +200,18 @@ def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), ends
 
 
+def hot_routes(spans: DataFrame) -> list[int]:
+    """Hot minimizers, of which there is at most one to HOT segments. Known segments don't tell by themselves that theirs is hot."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            own = unpacked(batch.column(0))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(own[own[:, 1] % 2 == 1, 0]))], ["route"])
+
+    return [r[0] for r in spans.select("spans").mapInArrow(run, "route long").distinct().collect()]
+
+
 def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> DataFrame:
     """route, doc_id, start, n, payload, source, source_from: what judge() removes within chunks, and what it leaves.
 
@@ -191,7 +228,7 @@ def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> D
             for lo, hi, data, offsets in text_chunks(batch, 1, CHUNK):
                 own = flat[ends[lo] : ends[hi]]
                 text = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-                route, start, n, hot = own[:, 0], own[:, 1] >> 16, own[:, 1] >> 1 & 0x7FFF, own[:, 1] % 2 == 1
+                route, start, n, hot = own[:, 0], own[:, 1] >> 16, own[:, 1] >> 1 & 0x7FFF, np.isin(own[:, 0], hots)
                 values, first = units.values(data, offsets)
                 inside = start + n + units.width - 1 <= np.diff(first)[text]  # not so if another row has the doc_id
                 order = np.lexsort((start, text, ids[lo:hi][text]))
@@ -231,7 +268,9 @@ def judged_in_chunks(docs: DataFrame, rows: DataFrame, units: Units, judge) -> D
                 columns = [pa.array(r), pa.array(ids[lo:hi][text]), pa.array(s), pa.array(c), pa.array(payload_of(at, c), pa.binary()), pa.array(none), pa.array(none)]
                 yield pa.RecordBatch.from_arrays(columns, PIECE)
 
-    given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), packed(rows.select("doc_id", F.col("route").alias("a"), F.col("at").alias("b"))), "inner")
+    spans = packed(rows.select("doc_id", F.col("route").alias("a"), F.col("at").alias("b")))
+    hots = np.array(hot_routes(spans), np.int64)
+    given = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), spans, "inner")
     return given.mapInArrow(run, "route long, doc_id long, start long, n long, payload binary, source long, source_from long")
 
 
