@@ -16,6 +16,7 @@ from .packing import best_fit_packing
 from .ppm import lm_scores
 from .quality import quality_rules
 from .rlz import substring_dedup
+from .simhash import simhash_classes
 from .suffix import suffix_dedup
 from .urls import URL, derived_captures, derived_entries, listed
 
@@ -62,6 +63,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"))
+
+
 def rounded(mixed: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op5_ppm,
         op6_quality_rules, op7_url_filter, op8_license_scan, op9_mixing, op10_jaccard_join,
+        op13_simhash,
     )
     return {f.__name__: f for f in listed}
 
