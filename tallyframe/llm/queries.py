@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .divergence import LEAST_DOCUMENTS, SCALE, TOP, divergence
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .license_texts import TEMPLATES
@@ -18,8 +19,12 @@ from .quality import quality_rules
 from .rlz import substring_dedup
 from .simhash import simhash_classes
 from .suffix import suffix_dedup
+from .trie import prefix_trie
 from .urls import URL, derived_captures, derived_entries, listed
 
+#: How many of a conversation's first turns another gives, and which.
+HEAD, BASE = "crc32(cast(conv_id as string)) % 9", "conv_id - conv_id % 5"
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
@@ -63,6 +68,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with up to eight turns of the one that starts their group of five."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), HEAD, BASE)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -77,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_best_fit_packing, op2_rlz_dedup, op3_suffix_dedup, op4_exact_dedup, op5_ppm,
         op6_quality_rules, op7_url_filter, op8_license_scan, op9_mixing, op10_jaccard_join,
-        op13_simhash,
+        op11_source_divergence, op12_prefix_trie, op13_simhash,
     )
     return {f.__name__: f for f in listed}
 
@@ -179,5 +193,53 @@ def license_sql(dice: float = DICE) -> str:
         FROM (SELECT DISTINCT doc_id FROM documents) a LEFT JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND b.place = 1"""
 
 
+def divergence_sql(least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> str:
+    """op11's rows: every kept term of every pair."""
+    p = lambda n, total, v: f"(1 + ({SCALE}::HUGEINT * ({n} + 2)) // ({total} + 2 * {v}))"
+    return f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+        df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {least_documents}),
+        n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) JOIN df USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total, coalesce(any_value(v), 0) AS v FROM g LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang) GROUP BY ALL),
+        gp AS (SELECT gn.lang, gn.source, df.term, coalesce(n.n, 0) AS n, {p("coalesce(n.n, 0)", "total", "gn.v")} AS p
+            FROM gn JOIN df USING (lang) LEFT JOIN n ON n.lang = gn.lang AND n.source = gn.source AND n.term = df.term),
+        lq AS (SELECT lang, term, {p("sum(n)", "any_value(total)", "any_value(v)")} AS q
+            FROM n JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM n GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gp x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN gp y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+        terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM gp JOIN lq USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+        UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank
+        FROM terms QUALIFY rank <= {top}"""
+
+
+def trie_sql() -> str:
+    """op12's rows: every node with every node at or below it. CRC-32 by its table, which is made by rule."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    table_ = "SELECT k, k::BIGINT AS c FROM range(256) AS r(k)"
+    for _ in range(8):
+        table_ = f"SELECT k, {step} AS c FROM ({table_})"
+    return f"""WITH t AS (SELECT list(c ORDER BY k) AS crc FROM ({table_})),
+        o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS place, role, text
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda r, b: xor(r >> 8, crc[(xor(r, b) & 255) + 1])), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM o), t),
+        r AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN o ON o.conv_id = base AND place <= h
+            UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND place > h),
+        s AS (SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY part, place) FILTER (place IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY ALL),
+        m AS (SELECT conv_id, d, turns[1:d] AS node, len(turns) = d AS ends FROM s, unnest(range(0, len(turns) + 1)) AS u(d)),
+        n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+            CASE WHEN d > 0 THEN (count(*) - 1) * octet_length(encode(node[d]['text'])) ELSE 0 END AS saved FROM m GROUP BY node, d),
+        k AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.node = n.node),
+        b AS (SELECT node[1:a] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM w, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+        SELECT w.conv_id, w.d AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+        FROM w JOIN b ON b.node = w.node LEFT JOIN w AS up ON w.d > 0 AND up.node = w.node[1:w.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_url_filter": url_sql(), "op8_license_scan": license_sql(), "op9_mixing": mixing_sql()}
+    return {"op4_exact_dedup": OP4_SQL, "op7_url_filter": url_sql(), "op8_license_scan": license_sql(), "op9_mixing": mixing_sql(), "op11_source_divergence": divergence_sql(), "op12_prefix_trie": trie_sql()}
