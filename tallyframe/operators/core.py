@@ -7,22 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.exprs import cosine
+from . import patterns, vectors
+from .store import held
+from .trees import tree_closure, tree_paths
 
-#: Rows up to which a dimension-like side is broadcast; a larger one goes through a shuffled join.
-SMALL = 100_000
-#: Deepest tree; a longer chain of parents is a cycle.
-MAX_DEPTH = 100
+__all__ = [
+    "allocate_exact", "band_pairs", "densify", "first_match", "first_per", "held", "latest_per_key", "mad_anomalies", "month_spine", "mutual_best", "nearest_by_cosine", "recurring", "small", "theil_sen",
+    "tree_closure", "tree_paths",
+]
 
+#: Rows, and bytes of them as JSON, up to which a dimension-like side is broadcast; a larger one goes through a shuffled join.
+SMALL, SMALL_BYTES = 100_000, 8 << 20
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-
-def held(df: DataFrame) -> DataFrame:
-    """One level of a tree, computed once: in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows and `most_bytes` bytes."""
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,9 +39,12 @@ def latest_per_key(df: DataFrame, by: Sequence[str], at: str, ties: Sequence[str
 def first_match(df: DataFrame, rules: DataFrame, key: str, text: Column, keep: Sequence[str]) -> DataFrame:
     """The best rule (by priority, then id) whose pattern is somewhere in `text`, for each row that has one.
 
-    rules: id, pattern, priority and more; a table of configuration, so it is the side that is repeated.
+    rules: id, pattern, priority and more. Distinct texts are matched, each takes its best rule, and rows find theirs by text.
     """
-    matched = df.join(small(rules), F.rlike(text, F.col("pattern")))
+    rows = df.select(key, text.alias("_text"))
+    pairs = patterns.matches(rows.select(F.col("_text").alias("text")), rules)
+    best = first_per(pairs.join(small(rules), "pattern"), ["text"], [F.col("priority").asc(), F.col("id").asc()])
+    matched = rows.join(small(best.select(F.col("text").alias("_text"), "id", "priority", *keep)), "_text")
     return first_per(matched, [key], [F.col("priority").asc(), F.col("id").asc()]).select(key, *keep)
 
 
@@ -71,48 +75,15 @@ def band_pairs(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str
     return joined.withColumn("day_gap", F.abs(gap).cast("long")).drop("_b", "_c")
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """id, name, parent_id, path (names from the root, by /), depth (root: 0), root (name), of rows id, name, parent_id."""
-    level = nodes.filter("parent_id IS NULL").select("id", "name", "parent_id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.col("name").alias("root"))
-    out = level
-    for _ in range(MAX_DEPTH):
-        above = level.select(F.col("id").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), "root")
-        level = nodes.join(above, F.col("parent_id") == F.col("_up")).select(
-            "id", "name", "parent_id", F.concat("_path", F.lit("/"), "name").alias("path"), (F.col("_depth") + 1).alias("depth"), "root"
-        )
-        level = held(level)
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("the tree has a cycle or more than 100 levels")
-
-
-def tree_closure(nodes: DataFrame) -> DataFrame:
-    """category_id, ancestor_id of every node and itself and each node above it; ValueError for a cycle."""
-    step = nodes.select(F.col("id").alias("category_id"), F.col("id").alias("ancestor_id"))
-    parents = nodes.filter("parent_id IS NOT NULL").select(F.col("id").alias("ancestor_id"), "parent_id")
-    out = step
-    for _ in range(MAX_DEPTH):
-        step = step.join(parents, "ancestor_id").select("category_id", F.col("parent_id").alias("ancestor_id"))
-        step = held(step)
-        if step.isEmpty():
-            return out
-        out = out.union(step)
-    raise ValueError("the tree has a cycle or more than 100 levels")
-
-
-def nearest_by_cosine(candidates: DataFrame, reference: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+def nearest_by_cosine(candidates: DataFrame, reference: DataFrame, key: str, vector: str, threshold: float, others_only: bool = False) -> DataFrame:
     """Of each candidate the reference (ref_name, ref_vector and more) of the highest cosine, if that reaches `threshold`.
 
-    References are what has been decided before, by name; they are repeated to the candidates' tasks if they are few. Pairs are
-    cut to one a candidate within each task before anything is shuffled. Ties go to the first ref_name.
+    References are what has been decided before, each ref_name once. Ties go to the first ref_name. others_only: a candidate's own
+    name among the references doesn't count.
     """
-    pairs = candidates.join(small(reference), F.lit(True)).withColumn("similarity", cosine(F.col(vector), F.col("ref_vector")))
-    others = [c for c in reference.columns if c != "ref_vector"]
-    best = pairs.filter(F.col("similarity") >= threshold).groupBy(key).agg(
-        F.min_by(F.struct("similarity", *others), F.struct(-F.col("similarity"), F.col("ref_name"))).alias("b")
-    )
-    return best.select(key, "b.*")
+    others = [c for c in reference.columns if c not in ("ref_name", "ref_vector")]
+    best = vectors.nearest(candidates, reference, key, vector, "ref_name", "ref_vector", threshold, others_only)
+    return best.join(reference.select("ref_name", *others), "ref_name").select(key, "similarity", "ref_name", *others)
 
 
 def allocate_exact(items: DataFrame, group: str, item: str, charge_cents: str, item_cents: str) -> DataFrame:

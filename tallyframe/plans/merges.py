@@ -7,26 +7,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import cosine
 from tallyframe.operators.core import first_per, latest_per_key, small
-
-#: Names to a block; blocks are compared with one another, each pair of blocks once.
-BLOCK = 1000
+from tallyframe.operators.vectors import cosine_pairs
 
 
 def name_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a < b, similarity of names (name, embedding) that reach `threshold`: all are compared, in pairs of blocks.
-
-    Names are a merchant list, so their square is what there is to compare; blocks spread it evenly over tasks.
-    """
-    n = max(1, -(-vectors.count() // BLOCK))
-    rows = vectors.select("name", "embedding", F.pmod(F.xxhash64("name"), F.lit(n)).alias("block"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    pair = lambda: (F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    spread = rows.select("*", others).select("name", "embedding", *pair())
-    left, right = (spread.select(F.col("name").alias(k), F.col("embedding").alias(f"v{k}"), "i", "j") for k in ("a", "b"))
-    # Two names of one block meet once, in (block, block); of two blocks in the pair of both.
-    met = left.join(right, ["i", "j"]).filter("a < b").withColumns({"ba": F.pmod(F.xxhash64("a"), F.lit(n)), "bb": F.pmod(F.xxhash64("b"), F.lit(n))})
-    met = met.filter((F.col("i") == F.least("ba", "bb")) & (F.col("j") == F.greatest("ba", "bb")))
-    return met.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """a < b, similarity of names (name, embedding) that reach `threshold`."""
+    return cosine_pairs(vectors, "name", "embedding", threshold)
 
 
 def candidates(vectors: DataFrame, merchants: DataFrame, merges: DataFrame, model: str, threshold: float = 0.90, limit: int = 20) -> DataFrame:

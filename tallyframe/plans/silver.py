@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import cents, money, name_tokens, names, normalize_merchant, total
 from tallyframe.operators.core import allocate_exact, band_pairs, first_match, first_per, latest_per_key, mutual_best, nearest_by_cosine, small
+from tallyframe.operators.patterns import matches
 from tallyframe.params import Params
 
 
@@ -112,7 +113,10 @@ def by_rule(rows: DataFrame, rules: DataFrame, s: Subjects) -> DataFrame:
     """Stage 1: the first rule, by priority and id, whose pattern is in the field that it applies to."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in s.fields))
     long = rows.select(s.key, F.explode(fields).alias("f")).select(s.key, "f.field", "f.value").filter("value IS NOT NULL")
-    found = long.join(small(rules), (F.col("field") == F.col("applies_to")) & F.rlike(F.col("value"), F.col("pattern")))
+    known = small(rules.select("id", "pattern", "applies_to", "priority", "category_id"))
+    pairs = matches(long.select(F.col("value").alias("text")), rules).join(known, "pattern")
+    by_text = first_per(pairs, ["applies_to", "text"], [F.col("priority"), F.col("id")])
+    found = long.join(small(by_text), (F.col("field") == F.col("applies_to")) & (F.col("value") == F.col("text")))
     best = first_per(found, [s.key], [F.col("priority"), F.col("id"), F.col("field")])
     return best.select(s.key, "category_id", F.col("id").alias("rule_id"), F.col("pattern").alias("matched_pattern"), F.lit("rule").alias("categorization_source"), F.lit(1.0).alias("categorization_confidence"))
 

@@ -37,8 +37,7 @@ def test_tree(spark):
     assert {tuple(r) for r in core.tree_closure(nodes).collect()} == {("r", "r"), ("a", "a"), ("b", "b"), ("s", "s"), ("a", "r"), ("b", "a"), ("b", "r")}
 
 
-def test_cycle(spark, monkeypatch):
-    monkeypatch.setattr(core, "MAX_DEPTH", 5)
+def test_cycle(spark):
     nodes = spark.createDataFrame([("a", "A", "b"), ("b", "B", "a")], "id string, name string, parent_id string")
     with pytest.raises(ValueError, match="cycle"):
         core.tree_closure(nodes)
