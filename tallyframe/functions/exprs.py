@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ RAIL_TAIL = r"\s+(PPD|CCD|WEB|TEL|ARC|POS|PMT)$"
 PROCESSOR = r"^(SQ|TST|PP|PY|PAYPAL|GOOGLE|AMZN MKTP US|AMZN MKTP)\s*\*+\s*"
 DOMAIN = r"\.(COM|NET|ORG|IO|CO|US)\b"
 
-#: Words of account names that say nothing about whose account it is.
+# Words of account names that say nothing about whose account it is.
 GENERIC_TOKENS = ("CHECKING", "SAVINGS", "ACCOUNT", "CARD", "CREDIT", "DEBIT", "BANK")
 
 
@@ -48,13 +49,17 @@ def normalize_merchant(text: Column, known_cities: tuple[str, ...] = ()) -> Colu
     return F.nullif(F.trim(name), F.lit(""))
 
 
+#: What an escape makes literal in RE2 and Java.
+SPECIAL = r"([\\^$.|?*+()\[\]{}-])"
+
+
 def escaped(text: str) -> str:
     """`text` as a pattern that matches it literally in RE2 and Java."""
-    return re.sub(r"([\\^$.|?*+()\[\]{}-])", r"\\\1", text)
+    return re.sub(SPECIAL, r"\\\1", text)
 
 
 def regexp_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+    return F.regexp_replace(text, SPECIAL, r"\\$1")
 
 
 _UNSUPPORTED = re.compile(r"\(\?<?[=!]|\\[1-9]|\(\?>|[*+?}]\+")
@@ -143,6 +148,13 @@ def total(amount: Column) -> Column:
     return F.sum(amount).cast("decimal(38,2)")
 
 
+def uuid5(namespace: uuid.UUID, name: Column) -> Column:
+    """The hex digits of the UUID, version 5, of a name."""
+    h = F.sha1(F.concat(F.lit(namespace.bytes), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+
 def strptime_to_java(fmt: str) -> str:
     """A strptime format as Spark's datetime pattern."""
     known = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM"}

@@ -7,7 +7,10 @@ import uuid
 from dataclasses import dataclass, field, fields
 from decimal import Decimal
 
-from tallyframe.functions.exprs import re2_to_java
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tallyframe.functions.exprs import re2_to_java, uuid5
 
 SIGNS = ("signed", "inverted", "debit_credit")
 PERIODS = ("weekly", "monthly", "quarterly", "yearly")
@@ -28,6 +31,11 @@ def stable_id(*parts: str) -> str:
     return uuid.uuid5(NAMESPACE, "|".join(parts)).hex
 
 
+def stable_ids(*parts: Column) -> Column:
+    """stable_id() of columns."""
+    return uuid5(NAMESPACE, F.concat_ws("|", *parts))
+
+
 @dataclass(frozen=True)
 class Source:
     """One bank's export: kind csv, ofx or orders; column_map from canonical to the file's names."""

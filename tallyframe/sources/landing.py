@@ -1,9 +1,11 @@
-"""The landing layer: append-only Parquet by source, idempotent by row_hash; and small tables that are rewritten."""
+"""The landing layer: append-only Parquet by source, idempotent by row_hash; and small tables that are rewritten.
+
+Each is a table of commits (see snapshots.py), so writers of several processes and machines are safe, and readers never see half of
+anything.
+"""
 
 from __future__ import annotations
 
-import threading
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyframe.operators.core import latest_per_key
-from tallyframe.schemas import BRONZE, BRONZE_ORDERS, columns, empty
+from tallyframe.schemas import BRONZE, BRONZE_ORDERS, columns
 
+from . import snapshots
 from .config import IngestionError, Source
 from .exports import read
+from .snapshots import exists, replace
 
-#: One writer at a time: what is new is read from the layer and then appended to it.
-_LOCK = threading.Lock()
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's file system has anything at `path`, which may be a glob."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+__all__ = ["append_new", "bronze", "bronze_orders", "current", "exists", "ingest", "insert_missing", "read_or_empty", "replace", "row_count", "row_hashes", "upsert"]
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Parquet at `path`, columns matched by name over all files; an empty table with `schema` if there is none."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else empty(spark, schema)
+    """The table at `path`, or all tables that a glob names; columns matched by name; empty with `schema` if there is none."""
+    fs = snapshots.file_system(spark, path)
+    found = fs.globStatus(snapshots._jvm(spark).Path(path)) or []
+    paths = [p for status in found for p in snapshots.snapshot(spark, status.getPath().toString()).paths]
+    return snapshots.load(spark, paths, schema)
 
 
 def folder_of(root: str, s: Source) -> str:
@@ -52,16 +51,14 @@ def row_count(spark: SparkSession, path: str) -> int:
     return read_or_empty(spark, path, columns("row_hash string")).count()
 
 
-def append_new(rows: DataFrame, path: str) -> int:
-    """Append the rows whose row_hash isn't there yet; how many these were."""
-    spark = rows.sparkSession
-    with _LOCK:
-        before = row_count(spark, path)
-        fresh = rows.dropDuplicates(["row_hash"])
-        if before:
-            fresh = fresh.join(row_hashes(spark, path), "row_hash", "left_anti").select(*rows.columns)
-        fresh.write.mode("append").parquet(path)
-        return row_count(spark, path) - before
+def append_new(rows: DataFrame, path: str, batch: str | None = None) -> int:
+    """Append the rows whose row_hash isn't there yet, exactly once, whoever else appends; how many these were.
+
+    batch: a name (of a file's content, say) that lands once.
+    """
+    once = rows.dropDuplicates(["row_hash"])
+    fresh = lambda old: once.join(old.select("row_hash"), "row_hash", "left_anti").select(*rows.columns)
+    return snapshots.append(rows.sparkSession, path, fresh, rows.schema, batch)
 
 
 def ingest(spark: SparkSession, s: Source, path: str, root: str) -> int:
@@ -88,20 +85,6 @@ def insert_missing(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
     return old.unionByName(new.join(old.select(*key), list(key), "left_anti").select(*old.columns))
 
 
-def replace(df: DataFrame, path: str, skip_empty: bool = False) -> bool:
-    """Write `df` in place of what is at `path`, which it may read: to one side first, then renamed. skip_empty: no rows, no change."""
-    spark = df.sparkSession
-    side = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(side)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if skip_empty and spark.read.schema(df.schema).parquet(side).isEmpty():
-        fs.delete(fs_path(side), True)
-        return False
-    fs.delete(fs_path(path), True)
-    return fs.rename(fs_path(side), fs_path(path))
-
-
 def current(decisions: DataFrame, by: Sequence[str]) -> DataFrame:
     """The latest of append-only decisions."""
     return latest_per_key(decisions, by, "created_at", ["id"])
