@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -141,13 +142,33 @@ def to_cents(x: float) -> Decimal:
     return Decimal(str(x)).quantize(Decimal("0.01"), ROUND_HALF_UP)
 
 
-def forecast_series(committed: np.ndarray, variable: np.ndarray, flows: list[dict], trained_through: dt.date, p: Params) -> list[dict]:
-    """A row for each month of the horizon; none for less history than p.min_history months."""
+def projected(flows: DataFrame, by: Sequence[str], first: dt.date, horizon: int) -> DataFrame:
+    """`by`, month, amount: what project() says, for any number of flows as rows (cadence, amount, avg_gap_days, last_seen_on).
+
+    A flow's dates are a fold over its steps, each from the date before it; it takes few, since a flow that has lapsed has none and
+    the last one is within the horizon. Sums by month are all that is grouped.
+    """
+    end = add_months(first, horizon)
+    gap = F.greatest(F.lit(1.0), F.coalesce(F.col("avg_gap_days").cast("double"), F.lit(0.0)))
+    months = F.lit(None).cast("int")
+    for cadence, n in STEP_MONTHS.items():
+        months = F.when(F.col("cadence") == cadence, n).otherwise(months)
+    rows = flows.select(*by, F.col("amount").cast("double").alias("amount"), "last_seen_on", months.alias("_months"), F.floor(gap).cast("int").alias("_days"), gap.alias("_gap"))
+    rows = rows.filter(F.datediff(F.lit(first), F.col("last_seen_on")) <= 2 * F.col("_gap"))
+    # As many steps as the shortest month or the gap's whole days could need.
+    steps = F.greatest(F.lit(0), F.floor(F.datediff(F.lit(end), F.col("last_seen_on")) / F.when(F.col("_months").isNotNull(), 28 * F.col("_months")).otherwise(F.col("_days"))).cast("int")) + 1
+    after = lambda day: F.when(F.col("_months").isNotNull(), F.add_months(day, F.col("_months"))).otherwise(F.date_add(day, F.col("_days")))
+    dates = F.aggregate(F.sequence(F.lit(1), steps), F.array("last_seen_on"), lambda days, _: F.concat(days, F.array(after(F.element_at(days, -1)))))
+    due = rows.select(*by, "amount", F.explode(F.slice(dates, 2, steps)).alias("day")).filter((F.col("day") >= F.lit(first)) & (F.col("day") < F.lit(end)))
+    return due.groupBy(*by, F.trunc("day", "month").alias("month")).agg(F.sum("amount").alias("amount"))
+
+
+def forecast_series(committed: np.ndarray, variable: np.ndarray, fixed: Sequence[float], trained_through: dt.date, p: Params) -> list[dict]:
+    """A row for each month of the horizon; none for less history than p.min_history months. fixed: what each will be charged."""
     if len(variable) < p.min_history:
         return []
     name, points, mase, errors = choose(variable, p.horizon)
     scale, trend = scale_of(variable), trend_of(committed + variable, p.trend_share)
-    fixed = project(flows, add_months(trained_through, 1), p.horizon)
     rows = []
     for h in range(1, p.horizon + 1):
         c, v = to_cents(max(0.0, fixed[h - 1])), to_cents(max(0.0, float(points[h - 1])))
@@ -173,8 +194,8 @@ def forecast(history: DataFrame, p: Params = Params()) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
         head = pdf.iloc[0]
-        flows = [dict(zip(("cadence", "amount", "avg_gap_days", "last_seen_on"), x.values() if isinstance(x, dict) else x)) for x in (head["flows"] if head["flows"] is not None else [])]
-        rows = forecast_series(pdf["committed"].to_numpy(float), pdf["variable"].to_numpy(float), flows, pdf["month"].iloc[-1], p)
+        due = [0.0] * p.max_horizon if head["due"] is None else list(head["due"])
+        rows = forecast_series(pdf["committed"].to_numpy(float), pdf["variable"].to_numpy(float), due, pdf["month"].iloc[-1], p)
         keys = {k: head[k] for k in ("series_kind", "series_key", "series_label", "category_id")}
         return pd.DataFrame([keys | r for r in rows], columns=[c.split()[0] for c in ROWS.replace("(18,2)", "").split(", ")])
 
@@ -189,7 +210,9 @@ def committed_and_variable(tx: DataFrame, recurring: DataFrame) -> DataFrame:
 
 
 def history(tx: DataFrame, recurring: DataFrame, items: DataFrame, budgets: DataFrame, ancestors: DataFrame, today: dt.date, p: Params = Params()) -> DataFrame:
-    """series_kind (total, budget), series_key, label, category, month, committed, variable, flows: dense over whole months.
+    """series_kind (total, budget), series_key, label, category, month, committed, variable, due: dense over whole months.
+
+    due: what the series' recurring flows will charge in each of p.max_horizon months after these.
 
     Totals of outflow and inflow are over transactions that aren't transfers, budgets' over spending line items of their subtree. A
     recurring flow belongs to the category that most of its line items have. History begins with the ledger, or p.history_months
@@ -200,7 +223,7 @@ def history(tx: DataFrame, recurring: DataFrame, items: DataFrame, budgets: Data
     last = add_months(today.replace(day=1), -1)
     begun = flows_tx.agg(F.min("posted_on")).first()[0]
     if begun is None or begun.replace(day=1) > last:
-        return spark.createDataFrame([], "series_kind string, series_key string, series_label string, category_id string, month date, committed double, variable double, flows array<struct<cadence: string, amount: double, avg_gap_days: double, last_seen_on: date>>")
+        return spark.createDataFrame([], "series_kind string, series_key string, series_label string, category_id string, month date, committed double, variable double, due array<double>")
     first = max(begun.replace(day=1), add_months(last, 1 - p.history_months))
     spine = month_spine(spark, first, last)
     marked = committed_and_variable(flows_tx, recurring)
@@ -208,8 +231,16 @@ def history(tx: DataFrame, recurring: DataFrame, items: DataFrame, budgets: Data
     month = F.trunc("posted_on", "month").alias("month")
     totals = marked.groupBy(F.col("flow").alias("series_key"), month).agg(*sums)
     keys = spark.createDataFrame([("total", "outflow", "outflow", None), ("total", "inflow", "inflow", None)], "series_kind string, series_key string, series_label string, category_id string")
-    flow = F.struct("cadence", F.col("amount").cast("double").alias("amount"), F.col("avg_gap_days").cast("double").alias("avg_gap_days"), "last_seen_on")
-    of_total = recurring.groupBy(F.col("flow").alias("series_key")).agg(F.collect_list(flow).alias("flows"))
+
+    def due(flows):
+        """series_key, due: an element a month, of which there are p.max_horizon."""
+        ahead = add_months(last, 1)
+        sums = projected(flows, ["series_key"], ahead, p.max_horizon)
+        month = F.months_between("month", F.lit(ahead)).cast("int")
+        each = [F.coalesce(F.sum(F.when(month == h, F.col("amount"))), F.lit(0.0)) for h in range(p.max_horizon)]
+        return sums.groupBy("series_key").agg(F.array(*each).alias("due"))
+
+    of_total = due(recurring.withColumn("series_key", F.col("flow")))
     scope = small(budgets.join(ancestors, budgets["category_id"] == ancestors["ancestor_id"]).select(budgets["id"].alias("series_key"), ancestors["category_id"].alias("category_id")))
     spent = items.filter("amount < 0").join(marked.select("transaction_id", "merchant_name", "flow", F.col("amount").alias("_whole"), "committed"), "transaction_id").join(scope, "category_id")
     of_budget = spent.groupBy("series_key", month).agg(*sums)
@@ -219,12 +250,12 @@ def history(tx: DataFrame, recurring: DataFrame, items: DataFrame, budgets: Data
     votes = votes.groupBy("merchant_name", "flow", "amount", "category_id").agg(F.count(F.lit(1)).alias("n"))
     modal = first_per(votes, ["merchant_name", "flow", "amount"], [F.col("n").desc(), F.col("category_id")])
     placed = recurring.filter("flow = 'outflow'").join(modal.select("merchant_name", "flow", "amount", "category_id"), ["merchant_name", "flow", "amount"]).join(scope, "category_id")
-    of_budget_flows = placed.groupBy("series_key").agg(F.collect_list(flow).alias("flows"))
+    of_budget_flows = due(placed)
     budget_keys = budgets.select(F.lit("budget").alias("series_kind"), F.col("id").alias("series_key"), F.col("name").alias("series_label"), "category_id")
 
     def dense(keys, facts, own):
         zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
         grid = keys.join(F.broadcast(spine), F.lit(True)).join(facts, ["series_key", "month"], "left").join(own, "series_key", "left")
-        return grid.select("series_kind", "series_key", "series_label", "category_id", "month", zero("committed"), zero("variable"), "flows")
+        return grid.select("series_kind", "series_key", "series_label", "category_id", "month", zero("committed"), zero("variable"), "due")
 
     return dense(keys, totals, of_total).unionByName(dense(budget_keys, of_budget, of_budget_flows))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import datetime as dt
 import threading
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 from pyspark.errors import AnalysisException, PySparkException
@@ -84,8 +86,73 @@ def envelope(df: DataFrame, limit: int) -> dict:
     return {"row_count": min(len(rows), limit), "truncated": len(rows) > limit, "row_limit": limit, "rows": [dict(zip(names, map(plain, r))) for r in rows[:limit]]}
 
 
-def run_sql(spark: SparkSession, statement: str, p: Params = Params()) -> dict:
-    """The envelope of a query, or {"error": ...} with the tables and columns there are if it names others."""
+#: Types that parameters are declared with, and what makes a value one of them.
+KINDS: dict[str, Callable] = {
+    "string": str, "int": int, "bigint": int, "double": float, "boolean": lambda v: {"true": True, "false": False}[str(v).lower()], "decimal": lambda v: Decimal(str(v)),
+    "date": lambda v: v if isinstance(v, dt.date) else dt.date.fromisoformat(v), "timestamp": lambda v: v if isinstance(v, dt.datetime) else dt.datetime.fromisoformat(v),
+}
+
+
+@dataclass(frozen=True)
+class Query:
+    """A statement with named parameters (:name) of declared types. A parameter that isn't given is null."""
+
+    statement: str
+    parameters: dict[str, str] = field(default_factory=dict)
+    required: tuple[str, ...] = ()
+
+    def bound(self, given: dict) -> dict:
+        """Values for spark.sql(); Refused for a name that isn't declared, a missing one that is required, or a value of another type."""
+        if unknown := sorted(set(given) - set(self.parameters)):
+            raise Refused(f"unknown parameters {unknown}; there are {sorted(self.parameters)}")
+        if missing := [n for n in self.required if given.get(n) is None]:
+            raise Refused(f"parameters {missing} are required")
+        out = {}
+        for name, kind in self.parameters.items():
+            value = given.get(name)
+            try:
+                out[name] = None if value is None else KINDS[kind](value)
+            except (ValueError, TypeError, KeyError, ArithmeticError) as e:
+                raise Refused(f"parameter {name}: {value!r} isn't a {kind}") from e
+        return out
+
+
+def bind(spark: SparkSession, query: Query, **given) -> DataFrame:
+    """The query's rows; values go in as literals and never as text. Refused as in check() and bound()."""
+    check(spark, query.statement)
+    return spark.sql(query.statement, args=query.bound(given))
+
+
+#: What users ask by name with bounds, each of which may be left out; over the marts' views.
+NAMED = {
+    "spend_between": Query(
+        """SELECT merchant_name, count(*) AS transaction_count, sum(-amount) AS total_outflow FROM silver_transactions
+        WHERE amount < 0 AND (:start IS NULL OR posted_on >= :start) AND (:end IS NULL OR posted_on <= :end) AND (:least IS NULL OR -amount >= :least)
+        GROUP BY merchant_name ORDER BY total_outflow DESC, merchant_name""",
+        {"start": "date", "end": "date", "least": "decimal"},
+    ),
+    "months_between": Query(
+        "SELECT * FROM gold_monthly_flow WHERE (:start IS NULL OR month >= :start) AND (:end IS NULL OR month <= :end) ORDER BY month", {"start": "date", "end": "date"}
+    ),
+    "merchant_history": Query(
+        "SELECT posted_on, amount, account_name FROM silver_transactions WHERE merchant_name = :merchant AND (:flow IS NULL OR flow = :flow) ORDER BY posted_on, transaction_id",
+        {"merchant": "string", "flow": "string"}, ("merchant",),
+    ),
+}
+
+
+def run_named(spark: SparkSession, name: str, p: Params = Params(), **given) -> dict:
+    """run_sql() of a NAMED query with its parameters."""
+    if name not in NAMED:
+        return {"error": f"no query {name}; there are {sorted(NAMED)}"}
+    try:
+        return run_sql(spark, NAMED[name].statement, p, NAMED[name].bound(given))
+    except Refused as e:
+        return {"error": str(e)}
+
+
+def run_sql(spark: SparkSession, statement: str, p: Params = Params(), args: dict | None = None) -> dict:
+    """The envelope of a query, or {"error": ...} with the tables and columns there are if it names others. args: values of :names."""
     try:
         check(spark, statement)
     except Refused as e:
@@ -100,7 +167,7 @@ def run_sql(spark: SparkSession, statement: str, p: Params = Params()) -> dict:
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
         sc.setJobGroup(group, "run_sql", interruptOnCancel=True)
         timer.start()
-        return envelope(spark.sql(statement), p.row_limit)
+        return envelope(spark.sql(statement, args=args) if args else spark.sql(statement), p.row_limit)
     except AnalysisException as e:
         return {"error": str(e).splitlines()[0], "schema": catalog(spark)}
     except (PySparkException, Exception) as e:

@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators import vectors as search
 from tallyframe.params import Params
 from tallyframe.plans import callouts, curated, forecast, gold, merges, silver, validate
 from tallyframe.plans.build import build
-from tallyframe.plans.serve import check, describe, envelope, run_sql, Refused
+from tallyframe.plans.serve import Query, Refused, bind, check, describe, envelope, run_named, run_sql
 from tallyframe.schemas import APP, BRONZE, BRONZE_ORDERS, empty
 from tallyframe.sources.config import Alias, Budget, Category, Config, Rule, seed
 
@@ -154,6 +155,34 @@ def test_projection():
     assert sum(forecast.project([weekly], dt.date(2024, 2, 1), 1)) == 40.0
 
 
+def test_projection_by_rows(spark):
+    """Rows give what the walk over each flow gives, ends of months and gaps of fractions included."""
+    flows = [{"cadence": c, "amount": a, "avg_gap_days": g, "last_seen_on": d} for k, (c, g) in enumerate([("monthly", 30.4), ("quarterly", 91.0), ("yearly", 365.2), ("weekly", 7.5), ("biweekly", 14.9), ("odd", None), ("weekly", 0.2)])
+             for a, d in [(10.0 + k, dt.date(2024, 1, 31)), (20.25, dt.date(2024, 1, 30)), (5.0, dt.date(2023, 11, 30)), (7.0, dt.date(2024, 2, 14)), (3.0, dt.date(2022, 2, 28))]]
+    df = spark.createDataFrame([tuple(f.values()) + (f"s{k % 3}",) for k, f in enumerate(flows)], "cadence string, amount double, avg_gap_days double, last_seen_on date, series_key string")
+    first = dt.date(2024, 2, 1)
+    got = forecast.projected(df, ["series_key"], first, 14)
+    for s in range(3):
+        want = forecast.project([f for k, f in enumerate(flows) if k % 3 == s], first, 14)
+        mine = {(r["month"].year - 2024) * 12 + r["month"].month - 2: r["amount"] for r in got.filter(F.col("series_key") == f"s{s}").collect()}
+        assert [round(mine.get(h, 0.0), 6) for h in range(14)] == [round(x, 6) for x in want]
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_named_parameters(spark, marts):
+    every = run_named(spark, "spend_between", Params())
+    some = run_named(spark, "spend_between", Params(), start="2025-02-01", end=dt.date(2025, 3, 31), least="100")
+    assert {r["merchant_name"] for r in some["rows"]} == {"RENT OFFICE", "TO HARBOR"} and some["row_count"] < every["row_count"]
+    assert run_named(spark, "months_between", Params(), start="2025-02-01", end="2025-03-01")["row_count"] == 2
+    assert run_named(spark, "merchant_history", Params(), merchant="NETFLIX", flow="outflow")["row_count"] == 18
+    assert run_named(spark, "merchant_history", Params(), merchant="x' OR '1' = '1")["row_count"] == 0
+    for name, given in (("spend_between", {"start": "soon"}), ("spend_between", {"least": "much"}), ("spend_between", {"other": 1}), ("merchant_history", {}), ("nothing", {})):
+        assert "error" in run_named(spark, name, Params(), **given)
+    assert [tuple(r) for r in bind(spark, Query("SELECT :a + 1 AS x, :b AS y", {"a": "int", "b": "boolean"}), a="2", b="false").collect()] == [(3, False)]
+    with pytest.raises(Refused):
+        bind(spark, Query("DROP TABLE x"))
+
+
 def test_curated(marts):
     assert [r["merchant_name"] for r in curated.top_merchants(marts["silver_merchants"], 1).collect()] == ["RENT OFFICE"]
     assert curated.months(marts["gold_monthly_flow"], "2025-02-01", "2025-03-01").count() == 2
@@ -190,7 +219,7 @@ def test_merges(spark):
 
 
 def test_name_pairs_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(merges, "BLOCK", 3)
+    monkeypatch.setattr(search, "ROWS", 3)
     rng = np.random.default_rng(1)
     v = [(f"n{i}", [float(x) for x in rng.normal(size=3)]) for i in range(20)]
     got = {(r["a"], r["b"]) for r in merges.name_pairs(spark.createDataFrame(v, "name string, embedding array<double>"), 0.5).collect()}
