@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import total
@@ -31,6 +33,15 @@ def months(monthly: DataFrame, start=None, end=None) -> DataFrame:
     return bounded(monthly, "month", start, end).orderBy("month")
 
 
+def extremes(rows: DataFrame, orders: dict[str, Column], keep: Sequence[str]) -> DataFrame:
+    """kind and `keep` of the row that comes first in each of `orders`; the columns in `keep` break ties. One row a kind, none of none."""
+    out = None
+    for kind, order in orders.items():
+        first = rows.orderBy(order, *keep).limit(1).select(F.lit(kind).alias("kind"), *keep)
+        out = first if out is None else out.unionByName(first)
+    return out
+
+
 def top_merchants(merchants: DataFrame, limit: int = 10) -> DataFrame:
     return merchants.orderBy(F.col("total_outflow").desc(), "merchant_name").limit(limit)
 

@@ -163,11 +163,11 @@ def projected(flows: DataFrame, by: Sequence[str], first: dt.date, horizon: int)
     return due.groupBy(*by, F.trunc("day", "month").alias("month")).agg(F.sum("amount").alias("amount"))
 
 
-def forecast_series(committed: np.ndarray, variable: np.ndarray, fixed: Sequence[float], trained_through: dt.date, p: Params) -> list[dict]:
+def forecast_series(committed: np.ndarray, variable: np.ndarray, fixed: Sequence[float], trained_through: dt.date, p: Params, models=MODELS) -> list[dict]:
     """A row for each month of the horizon; none for less history than p.min_history months. fixed: what each will be charged."""
     if len(variable) < p.min_history:
         return []
-    name, points, mase, errors = choose(variable, p.horizon)
+    name, points, mase, errors = choose(variable, p.horizon, models)
     scale, trend = scale_of(variable), trend_of(committed + variable, p.trend_share)
     rows = []
     for h in range(1, p.horizon + 1):
@@ -186,7 +186,7 @@ ROWS = (
 )
 
 
-def forecast(history: DataFrame, p: Params = Params()) -> DataFrame:
+def forecast(history: DataFrame, p: Params = Params(), models=MODELS) -> DataFrame:
     """ROWS of history(): months in order, one group a series, which has p.history_months rows at most."""
     if not 1 <= p.horizon <= p.max_horizon:
         raise ValueError(f"horizon {p.horizon}")
@@ -195,7 +195,7 @@ def forecast(history: DataFrame, p: Params = Params()) -> DataFrame:
         pdf = pdf.sort_values("month")
         head = pdf.iloc[0]
         due = [0.0] * p.max_horizon if head["due"] is None else list(head["due"])
-        rows = forecast_series(pdf["committed"].to_numpy(float), pdf["variable"].to_numpy(float), due, pdf["month"].iloc[-1], p)
+        rows = forecast_series(pdf["committed"].to_numpy(float), pdf["variable"].to_numpy(float), due, pdf["month"].iloc[-1], p, models)
         keys = {k: head[k] for k in ("series_kind", "series_key", "series_label", "category_id")}
         return pd.DataFrame([keys | r for r in rows], columns=[c.split()[0] for c in ROWS.replace("(18,2)", "").split(", ")])
 

@@ -68,10 +68,10 @@ def merchants(tx: DataFrame, with_transfers: bool = True) -> DataFrame:
 
 
 def shipments(items: DataFrame) -> DataFrame:
-    """One row per order and ship date: totals that repeat on each item once, items' own amounts summed."""
+    """One row per order and ship date: totals that repeat on each item once (the first item's that has one), items' own amounts summed."""
     once = ["order_date", "total_owed", "shipping_charge", "total_discounts", "currency", "order_status", "shipment_status"]
     return items.groupBy("website_order_id", "ship_date").agg(
-        *(F.max(c).alias(c) for c in once), total(F.col("shipment_item_subtotal")).alias("items_subtotal"), total(F.col("shipment_item_subtotal_tax")).alias("items_subtotal_tax"),
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("order_item_id"))).alias(c) for c in once), total(F.col("shipment_item_subtotal")).alias("items_subtotal"), total(F.col("shipment_item_subtotal_tax")).alias("items_subtotal_tax"),
         F.count(F.lit(1)).alias("item_count"),
     )
 

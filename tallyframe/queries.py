@@ -1,6 +1,6 @@
 """The ledger's operators on the star-schema tables: one Spark query each, with the DuckDB SQL that gives the same rows.
 
-Adapters: `events` is a ledger (purchase: outflow; signup, click: inflow; account: event type; merchant: user), `orders` another one,
+Adapters: `events` is a ledger (purchase: outflow; all else: inflow; account: event type; merchant: user), `orders` another one,
 region/nation/customer a category tree, `lineitem` the items of orders.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import merchant_steps, month_of, normalize_merchant, total
 from tallyframe.operators import core
+from tallyframe.operators.ranks import nearest_rank, order_statistics
 from tallyframe.params import Params
 from tallyframe.plans import gold, silver
 
@@ -36,18 +37,19 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- adapters -----------------------------------------------------------------------------------------------------------------
 
-LEDGER_SQL = """SELECT event_id::VARCHAR AS transaction_id, event_type AS account_name, 'USD' AS currency, user_id::VARCHAR AS merchant_name,
-    CAST(ts AS DATE) AS posted_on, (CASE WHEN event_type = 'purchase' THEN -value ELSE value END)::DECIMAL(18,2) AS amount
-    FROM events WHERE event_type IN ('purchase', 'signup', 'click')"""
+_TEXT_SQL = "CASE event_id % 4 WHEN 0 THEN 'Transfer from PURCHASE' WHEN 1 THEN 'to click, thanks' WHEN 2 THEN event_type END"
+LEDGER_SQL = f"""SELECT event_id::VARCHAR AS transaction_id, event_type AS account_name, 'USD' AS currency, user_id::VARCHAR AS merchant_name,
+    CAST(ts AS DATE) AS posted_on, (CASE WHEN event_type = 'purchase' THEN -value ELSE value END)::DECIMAL(18,2) AS amount, {_TEXT_SQL} AS description_raw
+    FROM events"""
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "signup", "click"))
+    rows = t(spark, sf_dir, "events")
     amount = F.when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value")).cast("decimal(18,2)")
     return rows.select(
         F.col("event_id").cast("string").alias("transaction_id"), F.col("event_type").alias("account_name"), F.lit("USD").alias("currency"),
         F.col("user_id").cast("string").alias("merchant_name"), F.col("ts").cast("date").alias("posted_on"), amount.alias("amount"),
-        F.when(amount < 0, "outflow").otherwise("inflow").alias("flow"), F.lit(False).alias("is_transfer"), F.col("event_type").alias("description_raw"),
+        F.when(amount < 0, "outflow").otherwise("inflow").alias("flow"), F.lit(False).alias("is_transfer"), F.expr(_TEXT_SQL).alias("description_raw"),
     )
 
 
@@ -139,17 +141,21 @@ def regex_first_match(spark, sf_dir):
     return core.first_match(t(spark, sf_dir, "part"), _rules(spark), "p_partkey", F.col("p_type"), ["category_id"])
 
 
-@query(f"""WITH tx AS ({LEDGER_SQL}), o AS (SELECT * FROM tx WHERE amount < 0), i AS (SELECT * FROM tx WHERE amount > 0),
+#: CTEs up to `pairs`, the transfers of the ledger `tx`.
+TRANSFERS_SQL = f"""tx AS ({LEDGER_SQL}), o AS (SELECT * FROM tx WHERE amount < 0), i AS (SELECT * FROM tx WHERE amount > 0),
     c AS (SELECT o.transaction_id AS outflow_id, i.transaction_id AS inflow_id, o.account_name AS from_account, i.account_name AS to_account, i.amount,
-        o.posted_on AS sent_on, i.posted_on AS received_on, abs(i.posted_on - o.posted_on)::BIGINT AS day_gap
+        o.posted_on AS sent_on, i.posted_on AS received_on, abs(i.posted_on - o.posted_on)::BIGINT AS day_gap,
+        coalesce(regexp_matches(upper(i.description_raw), '\\b' || upper(o.account_name) || '\\b'), false) OR coalesce(regexp_matches(upper(o.description_raw), '\\b' || upper(i.account_name) || '\\b'), false) AS name_match
         FROM o JOIN i ON i.amount = -o.amount AND i.currency = o.currency AND i.account_name <> o.account_name AND abs(i.posted_on - o.posted_on) <= 3),
-    r AS (SELECT *, row_number() OVER (PARTITION BY outflow_id ORDER BY day_gap, inflow_id) AS a, row_number() OVER (PARTITION BY inflow_id ORDER BY day_gap, outflow_id) AS b FROM c)
-    SELECT md5(outflow_id || '|' || inflow_id) AS transfer_id, outflow_id, inflow_id, from_account, to_account, 'USD' AS currency, amount, sent_on, received_on, day_gap,
-        false AS name_match, 'medium' AS confidence FROM r WHERE a = 1 AND b = 1""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY outflow_id ORDER BY name_match DESC, day_gap, inflow_id) AS a, row_number() OVER (PARTITION BY inflow_id ORDER BY name_match DESC, day_gap, outflow_id) AS b FROM c),
+    pairs AS (SELECT md5(outflow_id || '|' || inflow_id) AS transfer_id, outflow_id, inflow_id, from_account, to_account, 'USD' AS currency, amount, sent_on, received_on, day_gap,
+        name_match, CASE WHEN name_match THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE a = 1 AND b = 1)"""
+
+
+@query(f"WITH {TRANSFERS_SQL} SELECT * FROM pairs")
 def transfer_pairs(spark, sf_dir):
-    """JN-1, JN-M: transfers between accounts by amount and days, mutual best."""
-    tx = ledger(spark, sf_dir).withColumn("account_name", F.concat(F.col("account_name"))).withColumn("description_raw", F.lit(None).cast("string"))
-    return silver.transfers(tx)
+    """JN-1, JN-M: transfers between accounts by amount, days and what the descriptions say, mutual best."""
+    return silver.transfers(ledger(spark, sf_dir))
 
 
 @query("""SELECT l_orderkey AS website_order_id, CAST(l_shipdate AS DATE) AS ship_date, count(*) AS item_count, max(l_returnflag) AS status,
@@ -189,19 +195,17 @@ def exact_allocation(spark, sf_dir):
     return core.allocate_exact(rows, "l_orderkey", "item", "charge", "cents").select("l_orderkey", "item", "share_cents")
 
 
-EMBEDDED = "vec_id % 5 = 0"
-NEAR_SQL = """WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 <> 0),
-    c AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0),
-    s AS (SELECT c.vec_id, r.vec_id AS ref_name, r.label, list_cosine_similarity(c.e, r.e) AS sim FROM c, r)
+NEAR_SQL = """WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT c.vec_id, r.vec_id AS ref_name, r.label, list_cosine_similarity(c.e, r.e) AS sim FROM r c JOIN r ON c.vec_id % 100 = 0 AND c.vec_id <> r.vec_id)
     SELECT vec_id, ref_name, label, round(sim, 6) AS similarity FROM s WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, ref_name) = 1"""
 
 
 @query(NEAR_SQL)
 def nearest_category(spark, sf_dir):
-    """JN-6, WIN-5, stage 2 of the cascade: the nearest decided vector, from a threshold on."""
+    """JN-6, WIN-5, stage 2 of the cascade: the nearest of all other vectors, from a threshold on."""
     e = t(spark, sf_dir, "embeddings")
-    ref = e.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref_name"), "label", F.col("embedding").alias("ref_vector"))
-    near = core.nearest_by_cosine(e.filter(EMBEDDED).select("vec_id", "embedding"), ref, "vec_id", "embedding", 0.3)
+    ref = e.select(F.col("vec_id").alias("ref_name"), "label", F.col("embedding").alias("ref_vector"))
+    near = core.nearest_by_cosine(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), ref, "vec_id", "embedding", 0.3, others_only=True)
     return near.select("vec_id", "ref_name", "label", F.round("similarity", 6).alias("similarity"))
 
 
@@ -234,10 +238,8 @@ def cached_classes(spark, sf_dir):
     return c.filter("confidence >= 0.5").join(t(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
 
 
-@query("""SELECT user_id::VARCHAR AS merchant_name, count(*) AS transaction_count, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END)::DECIMAL(38,2) AS total_outflow,
-    min(posted_on) AS first_seen_on, max(posted_on) AS last_seen_on, md5(user_id::VARCHAR) AS merchant_id
-    FROM (SELECT user_id, CAST(ts AS DATE) AS posted_on, (CASE WHEN event_type = 'purchase' THEN -value ELSE value END)::DECIMAL(18,2) AS amount FROM events
-        WHERE event_type IN ('purchase', 'signup', 'click')) GROUP BY user_id""")
+@query(f"""WITH tx AS ({LEDGER_SQL}) SELECT merchant_name, count(*) AS transaction_count, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END)::DECIMAL(38,2) AS total_outflow,
+    min(posted_on) AS first_seen_on, max(posted_on) AS last_seen_on, md5(merchant_name) AS merchant_id FROM tx GROUP BY merchant_name""")
 def merchant_totals(spark, sf_dir):
     return silver.merchants(ledger(spark, sf_dir))
 
@@ -383,8 +385,7 @@ def mase_scale(spark, sf_dir):
 @query(f"""WITH {_SERIES_SQL}, l AS (SELECT region, list_sort(list(spent::DOUBLE)) AS v FROM s GROUP BY region) SELECT region, v[ceil(0.8 * len(v))::BIGINT] AS q80 FROM l""")
 def nearest_rank_quantile(spark, sf_dir):
     """AGG-18: the element at ceil(p n)."""
-    rows = series(spark, sf_dir).groupBy("region").agg(F.array_sort(F.collect_list(F.col("spent").cast("double"))).alias("v"))
-    return rows.select("region", F.element_at("v", F.ceil(F.lit(0.8) * F.size("v")).cast("int")).alias("q80"))
+    return order_statistics(series(spark, sf_dir), ["region"], "spent", {"q80": nearest_rank(0.8)}).select("region", "q80")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
