@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
 A row is known by its doc_id and a digest of its text (null counts as empty), so null and repeated ids are judged row by row. Rows
-that repeat both are one document, of which the exact stage leaves one. All columns of the input are handed on, whatever their names.
+that repeat both are one document, of which the exact stage leaves one. All columns of the input are handed on, whatever their names: a
+row travels as one column, and comes apart again at a stage's end.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ WORDS, SIMILARITY = 5, (80, 100)
 KEY = ("_id", "_digest")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with KEY; their ids and texts are read by name, so these names are the only ones that a table can't have."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest": _short(F.sha2(F.coalesce("text", F.lit("")), 256))})
+def _keyed(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, text, the columns in `own`, KEY, and the whole row as one column, in which names can't clash with these."""
+    digest = _short(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.select("doc_id", "text", *own, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), digest.alias("_digest"), F.struct("*").alias("_row"))
 
 
 def _short(digest):
@@ -33,9 +35,9 @@ def _short(digest):
 
 
 def _stay(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of `keyed` whose KEY is in `keys`: broadcast if these are few, else a shuffled semi-join."""
+    """Rows of `keyed`, as they came, whose KEY is in `keys`: broadcast if these are few, else a shuffled semi-join."""
     few = keys.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
-    return keyed.join(F.broadcast(keys) if few else keys, list(KEY), "left_semi").drop(*KEY)
+    return keyed.join(F.broadcast(keys) if few else keys, list(KEY), "left_semi").select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +58,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = counted.filter("_rows > 1").select(*KEY)
     if repeated.isEmpty():
         return once
-    others = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    # A map has no order of its own; its text has.
+    others = [F.to_json(F.struct(F.col("_row")[c])) if "map<" in kind else F.col("_row")[c] for c, kind in docs.dtypes if c not in ("doc_id", "text")]
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*others, F.col("text").desc_nulls_last()))
-    one = keyed.join(repeated, list(KEY), "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first", *KEY)
+    one = keyed.join(repeated, list(KEY), "left_semi").withColumn("_first", first).filter("_first = 1").select("_row.*")
     return once.unionByName(one)
 
 
@@ -72,7 +75,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay with the probability that brings sources, languages and topics to their target shares."""
-    return _stay(_keyed(docs), mix(_keyed(docs), carry=KEY).filter("kept").select(*KEY))
+    return _stay(_keyed(docs), mix(_keyed(docs, "source", "lang"), carry=KEY).filter("kept").select(*KEY))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,10 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the tables in `sf_dir`; each stage's output stays in the shared folder."""
+    """The last stage's rows for the tables in `sf_dir`. A stage's output goes once the next one has written its own."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
