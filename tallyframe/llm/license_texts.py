@@ -1,4 +1,5 @@
-"""Licence templates. Public licence texts and notices as their stewards publish them."""
+"""Licence templates: a licence's identifier, or that and the part of it that the text is, by /. Public licence texts,
+headings and notices as their stewards publish them, and SPDX identifiers."""
 
 _WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 
@@ -24,15 +25,15 @@ def _gnu(name: str, version: str, work: str = "This program") -> str:
 
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "AGPL-3.0-notice": _gnu("Affero General Public License", "3"),
+    "AGPL-3.0/notice": _gnu("Affero General Public License", "3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+    "Apache-2.0/notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0-opening": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "Apache-2.0/opening": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "BSD-2-Clause": f"{_BSD_OPENING}\n{_BSD_TWO}\n{_BSD_DISCLAIMER}",
     "BSD-3-Clause": f"{_BSD_OPENING}\n{_BSD_TWO}\n{_BSD_THIRD}\n{_BSD_DISCLAIMER}",
-    "BSD-3-Clause-endorsement": _BSD_THIRD,
-    "BSD-opening": _BSD_OPENING,
+    "BSD-3-Clause/endorsement": _BSD_THIRD,
+    "BSD/opening": _BSD_OPENING,
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -42,31 +43,51 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-2.0-notice": _gnu("General Public License", "2").replace("software:", "software;"),
+    "GPL-2.0/notice": _gnu("General Public License", "2").replace("software:", "software;"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": _gnu("General Public License", "3"),
-    "GPL-warranty": _WARRANTY,
+    "GPL-3.0/notice": _gnu("General Public License", "3"),
+    "GPL/warranty": _WARRANTY,
     "ISC": f"{_ISC_GRANT}\n{_ISC_DISCLAIMER}",
-    "ISC-grant": _ISC_GRANT,
+    "ISC/grant": _ISC_GRANT,
     "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
-    "LGPL-2.1-notice": _gnu("Lesser General Public License", "2.1", "This library").replace("software:", "software;"),
+    "LGPL-2.1/notice": _gnu("Lesser General Public License", "2.1", "This library").replace("software:", "software;"),
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "LGPL-3.0-notice": _gnu("Lesser General Public License", "3"),
+    "LGPL-3.0/notice": _gnu("Lesser General Public License", "3"),
     "MIT": "Released under the MIT License.",
-    "MIT-grant": _MIT_GRANT,
-    "MIT-text": f"""{_MIT_GRANT}
+    "MIT/grant": _MIT_GRANT,
+    "MIT/text": f"""{_MIT_GRANT}
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
 In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "Unlicense-opening": "This is free and unencumbered software released into the public domain.",
+    "Unlicense/opening": "This is free and unencumbered software released into the public domain.",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: How the full texts begin, which say who the licence is however they are wrapped.
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+TEMPLATES |= {
+    "AGPL-3.0/heading": f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}",
+    "Apache-2.0/heading": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    "GPL-2.0/heading": f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF}",
+    "GPL-3.0/heading": f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}",
+    "LGPL-2.1/heading": f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA {_FSF}",
+    "LGPL-3.0/heading": f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> {_FSF}",
+    "MPL-2.0/heading": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+}
+
+#: Identifiers as headers and package metadata have them.
+IDENTIFIERS = (
+    "0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC"
+    " LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+TEMPLATES |= {f"{name}/identifier": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
+TEMPLATES |= {f"{name}/field": f"license: {name}" for name in IDENTIFIERS}

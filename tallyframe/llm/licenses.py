@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .license_texts import TEMPLATES
 
@@ -40,6 +41,29 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
+#: Words of a phrase that says where a template may stand, and of the shortest template that is looked for that way.
+PHRASE, WINDOW = 3, 12
+
+
+def phrases(templates: dict[str, str]) -> list[tuple[str, str, int, int]]:
+    """(phrase, template, words before it there, the template's words): of each third of a longer template the phrase with most that is rare."""
+    import re
+
+    out = []
+    for name, text in sorted(templates.items()):
+        words = re.findall("[a-z0-9]+", text.lower())
+        n = len(words)
+        if n < WINDOW:
+            continue
+        every = [" ".join(words[i : i + PHRASE]) for i in range(n - PHRASE + 1)]
+        for k in range(3):
+            own = [i for i in range(n * k // 3, min(n * (k + 1) // 3, len(every))) if every.count(every[i]) == 1]
+            if own:
+                best = max(own, key=lambda i: (sum(w not in COMMON for w in words[i : i + PHRASE]), len(every[i]), -i))
+                out.append((every[best], name, best, n))
+    return out
+
+
 def units(text: Column) -> Column:
     """Lines, sentences of lines, paragraphs (between blank lines) and the whole text, each once."""
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"[.!?]+[ \t\r]+|\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
@@ -65,15 +89,19 @@ def anchors(grams: dict[str, list[str]], dice: float) -> list[str]:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
-    """One row per distinct doc_id: license (best template; null: none), dice (its best unit's), n_licenses (templates matched).
-
-    A text's units are its lines, their sentences, its paragraphs and the whole. Licences that differ in a clause or a version are
-    templates of their own, and so are parts of long ones: of those that are reached the one with most bigrams in common is named,
-    then the one with the larger coefficient, then the first name. Texts and units without an anchor word (see
-    anchors()) are left out before anything is split; then a unit is compared only to templates whose number of distinct bigrams
-    allows the threshold, and only if enough of its bigrams are in any template at all. None of these bounds loses anything. Null and empty texts, and units of fewer than two words, match nothing. Rows that share a doc_id are one
-    document with all their texts; repeated rows change nothing. Templates are a parameter and so bounded; they go into the plan as
-    constants. Columns besides doc_id and text are not read.
+    """One row per distinct doc_id: license (best template's; null: none), dice (of its best unit or window), n_licenses (licences matched).
+
+    A text's units are its lines, their sentences, its paragraphs and the whole. A longer template is also looked for wherever one of
+    its phrases (see phrases()) stands, in a window of as many words as it has around that place: in comments, wrapped otherwise, with
+    code or text before and after. Templates are named licence or licence/part. Licences that differ in a clause or a version are
+    templates of their own, and so are parts of long ones and identifiers: of those that are reached the one with most bigrams in
+    common is named, then the one with the larger coefficient, then the first name.
+
+    Texts and units without an anchor word (see anchors()) are left out before anything is split; then a unit is compared only to
+    templates whose number of distinct bigrams allows the threshold, and only if enough of its bigrams are in any template at all.
+    None of these bounds loses anything. Null and empty texts, and units of fewer than two words, match nothing. Rows that share a
+    doc_id are one document with all their texts; repeated rows change nothing. Templates are a parameter and so bounded; they go into
+    the plan as constants. Columns besides doc_id and text are not read.
     """
     grams = template_bigrams(templates)
     few, many = (min(map(len, grams.values())), max(map(len, grams.values())))
@@ -93,9 +121,33 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: f
     )
     common = F.size(F.array_intersect("grams", "t.grams"))
     value = F.struct((2.0 * common / (F.size("grams") + F.size("t.grams"))).alias("dice"), common.alias("common"))
-    best = pairs.select("doc_id", F.col("t.name").alias("name"), value.alias("v")).filter(F.col("v.dice") >= dice).groupBy("doc_id", "name").agg(F.max("v").alias("v"))
+    best = pairs.select("doc_id", F.col("t.name").alias("name"), value.alias("v")).filter(F.col("v.dice") >= dice)
+    best = best.union(_windows(docs, templates, grams, dice)).groupBy("doc_id", "name").agg(F.max("v").alias("v"))
     order = F.struct((-F.col("v.common")).alias("c"), (-F.col("v.dice")).alias("d"), "name")
-    one = best.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_licenses"), F.min(order).alias("b"))
+    family = F.split_part("name", F.lit("/"), F.lit(1))
+    one = best.groupBy("doc_id").agg(F.size(F.collect_set(family)).alias("n_licenses"), F.min(order).alias("b"))
     every_doc = docs.select("doc_id").distinct()
     joined = every_doc.join(one.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", F.col("b.name").alias("license"), F.round(-F.col("b.d"), 6).alias("dice"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))
+    return joined.select("doc_id", F.split_part("b.name", F.lit("/"), F.lit(1)).alias("license"), F.round(-F.col("b.d"), 6).alias("dice"), F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"))
+
+
+def _windows(docs: DataFrame, templates: dict[str, str], grams: dict[str, list[str]], dice: float) -> DataFrame:
+    """doc_id, name, v (dice, common) of windows that reach the threshold with the template that their phrase is of."""
+    known: dict[str, list[dict]] = {}
+    for phrase, name, before, n in phrases(templates):
+        known.setdefault(phrase, []).append({"name": name, "before": before, "n": n, "grams": grams[name]})
+    if not known:
+        return docs.sparkSession.createDataFrame([], StructType([docs.schema["doc_id"], *StructType.fromDDL("name string, v struct<dice: double, common: int>").fields]))
+    table = F.from_json(F.lit(json.dumps(known)), "map<string, array<struct<name: string, before: int, n: int, grams: array<string>>>>")
+    names = F.from_json(F.lit(json.dumps(sorted(known))), "array<string>")
+    gap = "[^a-z0-9]+"
+    some = f"(?i)(?<![a-z0-9])(?:{'|'.join(p.replace(' ', gap) for p in sorted(known))})(?![a-z0-9])"
+    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(some)).select("doc_id", normalised(F.col("text")).alias("words"))
+    spoken = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (PHRASE - 1), F.lit(1))), lambda i: F.struct(i.alias("i"), F.concat_ws(" ", F.slice("words", i, PHRASE)).alias("phrase")))
+    hits = words.select("doc_id", "words", F.explode(F.filter(spoken, lambda x: F.array_contains(names, x["phrase"]))).alias("at"))
+    hits = hits.select("doc_id", "words", F.col("at.i").alias("i"), F.explode(F.element_at(table, F.col("at.phrase"))).alias("t"))
+    window = F.slice("words", F.greatest(F.col("i") - F.col("t.before"), F.lit(1)), F.col("t.n"))
+    found = hits.select("doc_id", "t", bigrams(window).alias("grams"))
+    common = F.size(F.array_intersect("grams", "t.grams"))
+    value = F.struct((2.0 * common / (F.size("grams") + F.size("t.grams"))).alias("dice"), common.alias("common"))
+    return found.select("doc_id", F.col("t.name").alias("name"), value.alias("v")).filter(F.col("v.dice") >= dice)

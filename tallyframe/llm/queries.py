@@ -11,7 +11,7 @@ from .divergence import LEAST_DOCUMENTS, SCALE, TOP, divergence
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .license_texts import TEMPLATES
-from .licenses import DICE, license_scan, template_bigrams
+from .licenses import DICE, PHRASE, license_scan, phrases, template_bigrams
 from .mixing import BELOW, BOUND_ROUNDS, KEEP, KEEPS, LANG, NEAR, ROUNDS, SOURCE, TOPIC, TOPICS, mix
 from .packing import best_fit_packing
 from .ppm import lm_scores
@@ -180,17 +180,25 @@ def url_sql() -> str:
 
 def license_sql(dice: float = DICE) -> str:
     """op8's rows, without the bounds."""
+    places = ", ".join(map(str, phrases(TEMPLATES)))
     rows = ", ".join(f"('{k}', [{', '.join(repr(g) for g in v)}])" for k, v in sorted(template_bigrams(TEMPLATES).items()))
     return f"""WITH t(name, grams) AS (VALUES {rows}),
         u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '[.!?]+[ \\t\\r]+|\\n'), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text])) AS unit
             FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
         w AS (SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS words FROM u),
         g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
-        c AS (SELECT doc_id, name, len(list_intersect(g.grams, t.grams)) AS common, len(g.grams) + len(t.grams) AS both_ FROM g, t),
+        ph(phrase, name, before, n) AS (VALUES {places}),
+        a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS words FROM documents),
+        s AS (SELECT a.doc_id, words, i, array_to_string(words[i:i + {PHRASE - 1}], ' ') AS phrase FROM a, unnest(range(1, len(words) - {PHRASE - 2})) AS r(i)),
+        x AS (SELECT doc_id, name, words[greatest(i - before, 1):greatest(i - before, 1) + n - 1] AS words FROM s JOIN ph USING (phrase)),
+        y AS (SELECT doc_id, name, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM x),
+        c AS (SELECT doc_id, name, len(list_intersect(g.grams, t.grams)) AS common, len(g.grams) + len(t.grams) AS both_ FROM g, t
+            UNION ALL SELECT doc_id, name, len(list_intersect(y.grams, t.grams)), len(y.grams) + len(t.grams) FROM y JOIN t USING (name)),
         d AS (SELECT doc_id, name, max({{'dice': (2.0 * common / both_)::DOUBLE, 'common': common}}) AS v FROM c WHERE (2.0 * common / both_)::DOUBLE >= {dice} GROUP BY ALL),
-        b AS (SELECT doc_id, name, v.dice AS dice, row_number() OVER (PARTITION BY doc_id ORDER BY v.common DESC, v.dice DESC, name) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM d)
-        SELECT a.doc_id, b.name AS license, round(b.dice, 6) AS dice, coalesce(b.n, 0)::BIGINT AS n_licenses
-        FROM (SELECT DISTINCT doc_id FROM documents) a LEFT JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND b.place = 1"""
+        n AS (SELECT doc_id, count(DISTINCT split_part(name, '/', 1)) AS n FROM d GROUP BY doc_id),
+        b AS (SELECT doc_id, split_part(name, '/', 1) AS name, v.dice AS dice, row_number() OVER (PARTITION BY doc_id ORDER BY v.common DESC, v.dice DESC, name) AS place FROM d)
+        SELECT a.doc_id, b.name AS license, round(b.dice, 6) AS dice, coalesce(n.n, 0)::BIGINT AS n_licenses
+        FROM (SELECT DISTINCT doc_id FROM documents) a LEFT JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND b.place = 1 LEFT JOIN n ON a.doc_id IS NOT DISTINCT FROM n.doc_id"""
 
 
 def divergence_sql(least_documents: int = LEAST_DOCUMENTS, top: int = TOP) -> str:
