@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -317,3 +318,79 @@ def callout_feed(spark, sf_dir):
     budgets = spark.createDataFrame(_CAPS, "id string, amount string, period string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     rows = callouts.callouts(history, forecast.forecast(history, models=forecast.MODELS[:2]), budgets, NEXT, p=FEED)
     return rows.select("kind", "level", "series_key", F.round("rank", 6).alias("rank"), F.round("amount", 4).alias("amount"), F.round("expected", 4).alias("expected"), F.col("on").cast("date").alias("on"))
+
+
+# --- tables that change, parameters, checks -----------------------------------------------------------------------------------
+
+@query("""WITH old AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'mine' END AS note FROM customer WHERE c_custkey % 3 > 0),
+    new AS (SELECT c_custkey AS id, upper(c_name) || '!' AS name, CASE WHEN c_custkey % 5 = 0 THEN 'theirs' END AS note FROM customer WHERE c_custkey % 3 < 2)
+    SELECT coalesce(new.id, old.id) AS id, coalesce(new.name, old.name) AS name, coalesce(new.note, old.note) AS note FROM old FULL JOIN new USING (id)
+    UNION ALL SELECT s_suppkey + 1000000, s_name, NULL FROM supplier""")
+def upserted(spark, sf_dir):
+    """SNK-4 to SNK-7: an upsert that keeps notes, rows that are added once however often they come, each replacing the table in one step."""
+    from tallyframe.operators.store import checkpoint_folder
+    from tallyframe.sources import landing
+
+    c, s = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier")
+    row = lambda df, id_, name, note: df.select(id_.cast("long").alias("id"), name.alias("name"), note.alias("note"))
+    key = F.col("c_custkey")
+    old = row(c.filter("c_custkey % 3 > 0"), key, F.col("c_name"), F.when(key % 2 == 0, "mine"))
+    new = row(c.filter("c_custkey % 3 < 2"), key, F.concat(F.upper("c_name"), F.lit("!")), F.when(key % 5 == 0, "theirs"))
+    more = row(s, F.col("s_suppkey") + 1_000_000, F.col("s_name"), F.lit(None).cast("string"))
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    now = lambda: landing.read_or_empty(spark, path, old.schema)
+    landing.replace(old, path)
+    landing.replace(landing.upsert(now(), new, ["id"]), path)
+    for _ in range(2):
+        landing.replace(landing.insert_missing(now(), more, ["id"]), path)
+    landing.replace(more.filter("false"), path, skip_empty=True)
+    return now()
+
+
+@query("""SELECT l_orderkey AS website_order_id, CAST(l_shipdate AS DATE) AS ship_date, count(*) AS item_count, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) FILTER (l_linenumber > 1) AS order_status,
+    sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(38,2) AS items_subtotal FROM lineitem GROUP BY ALL""")
+def shipments(spark, sf_dir):
+    """AGG-1, AGG-3: items to shipments; what repeats on each item is the first item's that has it."""
+    nothing = F.lit(None).cast("string")
+    given = {"order_status": F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")), "shipment_item_subtotal": F.col("l_extendedprice").cast("decimal(18,2)"), "shipment_item_subtotal_tax": F.lit(0).cast("decimal(18,2)")}
+    others = ("order_date", "total_owed", "shipping_charge", "total_discounts", "currency", "shipment_status")
+    items = t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("website_order_id"), F.col("l_shipdate").cast("date").alias("ship_date"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("order_item_id"),
+        *(c.alias(n) for n, c in given.items()), *(nothing.alias(n) for n in others),
+    )
+    return silver.shipments(items).select("website_order_id", "ship_date", "item_count", "order_status", "items_subtotal")
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(38,2) AS total FROM orders WHERE o_orderdate >= DATE '1995-03-01' AND o_totalprice >= 1000.50 GROUP BY 1""")
+def named_parameters(spark, sf_dir):
+    """PARM-1: a statement with typed parameters, one of them left out."""
+    from tallyframe.plans.serve import Query, bind
+
+    t(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_parameters")
+    text = """SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM orders_of_parameters
+        WHERE (:start IS NULL OR o_orderdate >= :start) AND (:end IS NULL OR o_orderdate <= :end) AND (:least IS NULL OR o_totalprice >= :least) GROUP BY o_orderpriority"""
+    return bind(spark, Query(text, {"start": "date", "end": "date", "least": "decimal"}), start="1995-03-01", least="1000.50")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN c_custkey ELSE c_nationkey END AS parent FROM customer), o AS (SELECT * FROM orders)
+    SELECT 'own parents' AS check_name, count(*) AS offending FROM c WHERE c_custkey = parent UNION ALL SELECT 'unique', count(*) FROM (SELECT o_custkey FROM o GROUP BY o_custkey HAVING count(*) > 1)
+    UNION ALL SELECT 'related', count(*) FROM c WHERE parent NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'accepted', count(*) FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+    UNION ALL SELECT 'between', count(*) FROM o WHERE o_totalprice NOT BETWEEN 1000 AND 100000 UNION ALL SELECT 'totals', count(*) FROM (SELECT sum(o_totalprice) AS a FROM o) x, (SELECT sum(l_extendedprice) AS b FROM lineitem) y WHERE round(a, 2) <> round(b, 2)""")
+def data_checks(spark, sf_dir):
+    """REC-3, JN-19 and the checks of marts: how many rows offend."""
+    from tallyframe.plans import validate
+
+    key = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select(key.cast("string").alias("id"), F.when(key % 100 == 7, key).otherwise(F.col("c_nationkey")).cast("string").alias("parent_id"))
+    o = t(spark, sf_dir, "orders")
+    roots = o.select(F.lit(None).cast("string").alias("parent_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("net_amount"))
+    items = t(spark, sf_dir, "lineitem").select(F.lit("x").alias("category_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    checks = {
+        "own parents": validate.own_parents(c), "unique": validate.unique(o, "o_custkey"), "related": validate.related(c, "parent_id", t(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("string")), "k"),
+        "accepted": validate.accepted(o, "o_orderstatus", "F", "O"), "between": validate.between(o, "o_totalprice", 1000, 100000), "totals": validate.roots_cover(roots, items),
+    }
+    out = None
+    for name, rows in checks.items():
+        one = rows.agg(F.count(F.lit(1)).alias("offending")).select(F.lit(name).alias("check_name"), "offending")
+        out = one if out is None else out.union(one)
+    return out
