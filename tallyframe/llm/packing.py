@@ -143,5 +143,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, **limits) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. See tokenised and pack."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. See tokenised and pack.
+
+    Rows that repeat a doc_id, or have none, are documents of their own, each with pieces from 0 on. Null text is empty: its one piece
+    is the id that ends a document.
+    """
     return pack(tokenised(docs, tokenizer, capacity), capacity, **limits)

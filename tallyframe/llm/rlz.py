@@ -100,7 +100,11 @@ def factored(width: int, block: int = BLOCK):
 
 
 def factors(docs: DataFrame, width: int = WORDS, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, a, b (from, to), source, source_from: factors of at least `width` words that a smaller document has, and where."""
+    """doc_id, a, b (from, to), source, source_from: factors of at least `width` words that a smaller document has, and where.
+
+    A factor of more than STRETCH windows goes on as another one, and one ends with its segment between chunks; what factors cover is
+    the same.
+    """
 
     def judge(doc, start, n, raw):
         return parse(doc, start, n, np.frombuffer(raw, np.uint64))

@@ -61,3 +61,14 @@ def test_special_tokens_and_speedup_agree():
 
 def test_empty(none):
     assert packing.best_fit_packing(none).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat a doc_id are documents of their own: each has its pieces from 0 on, and all are packed."""
+    rows = [(1, "one two three"), (1, "one two three"), (1, "four"), (None, "five"), (None, None)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    encode = packing.encoder("byte_bpe_50k.json")
+    assert sorted(got["length"]) == sorted(len(encode(t or "")) + 1 for _, t in rows) and set(got["piece"]) == {0}
+    ends = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    for _, g in ends:
+        assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist()

@@ -39,3 +39,11 @@ def test_empty(spark):
     captures, entries = spark.createDataFrame([], "id long, url string, fetched date"), spark.createDataFrame([], "pattern string, action string, dated date")
     assert urls.listed(captures, entries).count() == 0
     assert urls.listed(spark.createDataFrame([(1, "http://a.b/", dt.date(2024, 1, 1))], captures.schema), entries).first()["listed"] is False
+
+
+def test_clashing_names(spark):
+    """Columns of the inputs with the names of the result aren't read."""
+    captures = spark.createDataFrame([(1, "http://a.b/c", dt.date(2024, 1, 2), "x", "y", True, "z")], "id long, url string, fetched date, pattern string, host string, listed boolean, key string")
+    entries = spark.createDataFrame([(".b", "add", dt.date(2024, 1, 1), 9, "q")], "pattern string, action string, dated date, id long, key string")
+    got = urls.listed(captures, entries).collect()
+    assert [(r["id"], r["host"], r["listed"], r["pattern"]) for r in got] == [(1, "a.b", True, ".b")]
