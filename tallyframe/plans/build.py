@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyframe.operators.core import tree_closure, tree_paths
 from tallyframe.params import Params
 from tallyframe.schemas import APP
+from tallyframe.sources import snapshots
 from tallyframe.sources.landing import bronze, bronze_orders, read_or_empty
 
 from . import gold, silver
@@ -51,7 +52,10 @@ def recipes(spark: SparkSession, root: str, app: Callable[[str], DataFrame], p:
 
 
 def build(spark: SparkSession, root: str, out: str, app: dict[str, DataFrame] | None = None, p: Params = Params()) -> dict[str, DataFrame]:
-    """Build every mart under `out` as Parquet and a view by its name; what each reads is read from there.
+    """Build every mart under `out`, and a view by its name; what each reads is read from there.
+
+    Each is replaced in one step (see snapshots.py): who reads an older build goes on doing so, and a build that dies leaves whole
+    marts. Data that no build of the last week needs goes.
 
     app: the app's tables; those not given are read from `root`/app, or empty.
     """
@@ -59,7 +63,9 @@ def build(spark: SparkSession, root: str, out: str, app: dict[str, DataFrame] |
     table = lambda name: given.get(name, None) if name in given else read_or_empty(spark, f"{root}/app/{name}", APP[name])
     made: dict[str, DataFrame] = {}
     for name, recipe in recipes(spark, root, table, p).items():
-        recipe(made.__getitem__).write.mode("overwrite").parquet(f"{out}/{name}")
-        made[name] = spark.read.parquet(f"{out}/{name}")
+        rows = recipe(made.__getitem__)
+        snapshots.replace(rows, f"{out}/{name}")
+        snapshots.vacuum(spark, f"{out}/{name}")
+        made[name] = snapshots.read(spark, f"{out}/{name}", rows.schema)
         made[name].createOrReplaceTempView(name)
     return made

@@ -54,6 +54,20 @@ def test_dedup(marts):
     assert not validate.unique(marts["silver_transactions"], "transaction_id").count()
 
 
+def test_rebuild_keeps_what_is_read(spark, tmp_path):
+    """Who has read a mart keeps its rows while the next build replaces it; a build that dies leaves every mart whole."""
+    spark = spark.newSession()  # views of the other tests stay
+    root, out = str(tmp_path / "root"), str(tmp_path / "out")
+    row = lambda n: ("bank", "A", "checking", "USD", "f.csv", NOW, dt.date(2025, 1, n), Decimal("-5.00"), f"SHOP {n}", None, f"k{n}")
+    spark.createDataFrame([row(1)], BRONZE).write.parquet(f"{root}/bronze/bank")
+    before = build(spark, root, out, seed(spark, Config(), NOW))["stg_transactions"]
+    spark.createDataFrame([row(2)], BRONZE).write.mode("append").parquet(f"{root}/bronze/bank")
+    app = seed(spark, Config(), NOW)
+    with pytest.raises(Exception):
+        build(spark, root, out, app | {"merchant_aliases": spark.range(1)})
+    assert before.count() == 1 and build(spark, root, out, app)["silver_transactions"].count() == 2 and before.count() == 1
+
+
 def test_transfers(marts):
     t = marts["silver_transfers"]
     assert t.count() == 18 and {r["confidence"] for r in t.collect()} == {"high"}
