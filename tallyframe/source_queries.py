@@ -108,3 +108,29 @@ def order_history_landing(spark, sf_dir):
     path = _written(export, list(order), f"{root}/files", header="true", quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     landing.ingest(spark, SHOP, path, root)
     return landing.bronze_orders(spark, root).select("website_order_id", "order_date", "ship_date", "asin", "quantity", "shipment_item_subtotal", "total_owed", "row_hash")
+
+
+@query("""WITH x AS (SELECT 'b' || user_id % 8 AS source, CAST(ts AS DATE) AS posted_on, (CASE WHEN event_type = 'purchase' THEN -value ELSE value END)::DECIMAL(18,2) AS amount, 'user ' || user_id AS description_raw, event_id FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source, posted_on, amount, description_raw ORDER BY event_id) - 1 AS k FROM x)
+    SELECT source, source || '.csv' AS source_file, posted_on, amount, description_raw, sha256(source || '|content|' || posted_on || '|' || amount || '|' || description_raw || '|' || k) AS row_hash, '1 failed, 8 ingested, 1 unmatched' AS outcomes FROM k""")
+def dropped_exports(spark, sf_dir):
+    """SRC-10, SRC-18, SRC-19, SNK-9 and the file stream: exports deposited in a folder, a bad and an unknown one among them."""
+    from tallyframe.sources import snapshots
+    from tallyframe.streaming.folder import watch
+
+    e = t(spark, sf_dir, "events")
+    amount = F.when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value")).cast("decimal(18,2)").cast("string")
+    rows = e.select((F.col("user_id") % FILES).alias("f"), F.col("event_id").alias("_k"), F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("What"), amount.alias("Amount"))
+    root = _folder(spark)
+    _written(rows, ["_k"], f"{root}/files", header="true")
+    columns = {"posted_on": "Date", "description_raw": "What", "amount": "Amount"}
+    sources = [Source(f"b{f}", f"Account {f}", column_map=columns if f < FILES else columns | {"posted_on": "What"}) for f in range(FILES + 1)]
+    fs = snapshots.file_system(spark, root)
+    for f in range(FILES + 2):  # the ninth source takes a file whose dates it can't read, the tenth name is nobody's
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/files/f={min(f, FILES - 1)}/part-*")
+        for status in fs.globStatus(place) or []:
+            snapshots.deposit(spark, status.getPath().toString(), f"{root}/drop", f"b{f}.csv")
+    seen: list[str] = []
+    watch(spark, f"{root}/drop", sources, root, f"{root}/stream", lambda outcome: seen.append(outcome.status)).awaitTermination()
+    said = ", ".join(f"{seen.count(s)} {s}" for s in ("failed", "ingested", "unmatched"))
+    return landing.bronze(spark, root).select("source", "source_file", "posted_on", "amount", "description_raw", "row_hash", F.lit(said).alias("outcomes"))
