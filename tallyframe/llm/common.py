@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -46,6 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the files of shuffles that are done with, after a large table has been stored.
+
+    Spark deletes them once the driver's collector finds their plans unreachable, which with a roomy heap may be long after; until then
+    they fill the executors' disks beside what comes next.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text, unchanged: runs of anything but ASCII white space. Null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

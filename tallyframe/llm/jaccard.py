@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, lower_ascii, splitmix, stored, text_chunks, word_hashes, word_spans
+from .common import cut, lower_ascii, release, splitmix, stored, text_chunks, word_hashes, word_spans
 
 SIMILARITY = (90, 100)
 WORDS = 3
@@ -195,7 +195,7 @@ def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 def shared_keys(lists: DataFrame) -> DataFrame:
     """key: those with several rows."""
-    return cut(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
+    return stored(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -301,9 +301,10 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     central = cut(lists.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("central")))
     wanted = cut(nodes.join(central, "id", "left_semi").select("doc_id"))
     sets = stored(sets_of(only(docs, wanted, "doc_id"), words).dropDuplicates(["id"]))
-    pivots = cut(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
+    pivots = stored(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
     pairs = lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct()
     tested = stored(compared(pairs, sets, scheme))
+    release(docs.sparkSession)
     edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
     label = components(edges)
     # Each set's home is a pivot that it was compared to: of those at most twice as far as the nearest, the one compared to most sets,
@@ -354,11 +355,15 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
     blocks = apart.select("id", "least", F.explode("blocks").alias("key"))
     # A join and no broadcast at any size: a key in a third of all sets is split at run time.
-    lists = stored(blocks.join(shared_keys(blocks).hint("merge"), "key", "left_semi").distinct())
+    shared = shared_keys(blocks)
+    release(docs.sparkSession)
+    lists = stored(blocks.join(shared.hint("merge"), "key", "left_semi").distinct())
+    release(docs.sparkSession)
     # A set that shares too few blocks with others links with none; what is left of the others' lists is what to compare.
     enough = cut(lists.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first("least").alias("l")).filter("m >= l").select("id"))
     lists = only(lists, enough, "id")
     lists = stored(lists.join(shared_keys(lists), "key", "left_semi"))
+    release(docs.sparkSession)
     edges = block_edges(lists.drop("least"), docs, chosen, cut(light.distinct()), scheme, words)
     label = components(edges)
     least = label.join(nodes, "id").groupBy("component").agg(F.min("least").alias("component_id"))
