@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, lower_ascii, release, splitmix, stored, text_chunks, word_hashes, word_spans
+from .common import cut, discard, lower_ascii, release, splitmix, stored, text_chunks, word_hashes, word_spans
 
 SIMILARITY = (90, 100)
 WORDS = 3
@@ -38,6 +39,8 @@ BROADCAST_ROWS = 400_000
 SKETCH = [f"k{i}" for i in range(8)]
 #: Of so many blocks one more is made than a link needs: the more a set must share, the fewer sets have to be compared.
 SPARE = 3
+#: Blocks' keys are met in so many parts, one after the other, so that shuffles of one part are on disk at a time.
+PARTS = 4
 #: Ratio of size classes within which sets have the same number of blocks.
 CLASS = Fraction(3, 2)
 
@@ -302,8 +305,10 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     wanted = cut(nodes.join(central, "id", "left_semi").select("doc_id"))
     sets = stored(sets_of(only(docs, wanted, "doc_id"), words).dropDuplicates(["id"]))
     pivots = stored(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
-    pairs = lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct()
+    pairs = stored(lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct())
+    release(docs.sparkSession)
     tested = stored(compared(pairs, sets, scheme))
+    discard(pairs)
     release(docs.sparkSession)
     edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
     label = components(edges)
@@ -314,7 +319,10 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     best = cut(ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), "p")).alias("p")))
     own = label.select(F.col("id").alias("x"), "component")
     homes = stored(tested.join(best, ["x", "p"]).join(own, "x", "left").withColumn("component", F.coalesce("component", "x")))
+    discard(tested)
+    release(docs.sparkSession)
     links = kin(homes, scheme)
+    release(docs.sparkSession)
     # Members of one list with different homes that are in different components yet are compared as they are, where sketches allow it.
     at = lists.join(pivots, "key").filter("id <> p").select("key", F.col("id").alias("x"))
     at = at.join(homes.select("x", F.col("p").alias("home"), "component", "nx", *SKETCH), "x")
@@ -325,8 +333,10 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     apart = (F.col("hu") < F.col("hv")) & (F.col("cu") != F.col("cv")) & scheme.near("left.", "right.", "nu", "nv")
     cross = left.alias("left").join(right.alias("right"), (F.col("left.key") == F.col("right.key")) & apart)
     cross = cross.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x"))
-    more = compared(cut(cross.distinct()), sets, scheme).filter("linked").select("p", "x")
-    return edges.union(links).union(more)
+    cross = cut(cross.distinct())
+    release(docs.sparkSession)
+    more = compared(cross, sets, scheme).filter("linked").select("p", "x")
+    return cut(edges.union(links).union(more))
 
 
 def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, words: int = WORDS, light_below: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -340,34 +350,40 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     """
     scheme = Scheme(similarity, light_below)
     carried = [F.col(c).alias(f"_{n}") for n, c in enumerate(carry)]
-    rows = stored(signatures(docs.select(F.col("doc_id").cast("long"), "text", *carried), scheme, words))
+    keyed = stored(signatures(docs.select(F.col("doc_id").cast("long"), "text", *carried), scheme, words))
+    rows = stored(keyed.drop("blocks", "subsets", "common", "least"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     nodes = cut(rows.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")))
     # One document stands for each set; those without doc_id all stand for theirs.
     anonymous = F.lit(-(1 << 63))
     docs, chosen = docs.withColumn("doc_id", F.coalesce("doc_id", anonymous)), nodes.select("id", F.coalesce("least", anonymous).alias("doc_id"))
-    apart = only(rows.withColumn("doc_id", F.coalesce("doc_id", anonymous)), cut(chosen.select("doc_id").distinct()), "doc_id")
+    apart = only(keyed.withColumn("doc_id", F.coalesce("doc_id", anonymous)), cut(chosen.select("doc_id").distinct()), "doc_id")
     subsets = apart.select("id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("subsets", "common")).alias("k"))
     subsets = subsets.select("id", "n", F.col("k.subsets").alias("key"), F.col("k.common").alias("common"))
     smallest = subsets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "id")).alias("least")).filter("m > 1")
     light = subsets.join(smallest, "key").filter("id <> least.id")
     p, q = scheme.t.numerator, scheme.t.denominator
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
-    blocks = apart.select("id", "least", F.explode("blocks").alias("key"))
-    # A join and no broadcast at any size: a key in a third of all sets is split at run time.
-    shared = shared_keys(blocks)
-    release(docs.sparkSession)
-    lists = stored(blocks.join(shared.hint("merge"), "key", "left_semi").distinct())
+    light = cut(light.distinct())
     release(docs.sparkSession)
+    parts = []
+    for k in range(PARTS):
+        blocks = apart.select("id", "least", F.explode("blocks").alias("key")).filter(F.pmod("key", F.lit(PARTS)) == k)
+        # A join and no broadcast at any size: a key in a third of all sets is split at run time.
+        parts.append(stored(blocks.join(shared_keys(blocks).hint("merge"), "key", "left_semi").distinct()))
+        release(docs.sparkSession)
+    discard(keyed)
+    lists = reduce(DataFrame.union, parts)
     # A set that shares too few blocks with others links with none; what is left of the others' lists is what to compare.
     enough = cut(lists.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.first("least").alias("l")).filter("m >= l").select("id"))
     lists = only(lists, enough, "id")
     lists = stored(lists.join(shared_keys(lists), "key", "left_semi"))
     release(docs.sparkSession)
-    edges = block_edges(lists.drop("least"), docs, chosen, cut(light.distinct()), scheme, words)
+    discard(*parts)
+    edges = block_edges(lists.drop("least"), docs, chosen, light, scheme, words)
     label = components(edges)
     least = label.join(nodes, "id").groupBy("component").agg(F.min("least").alias("component_id"))
     label = label.join(least, "component")
-    found = rows.drop("blocks", "subsets", "common", "least").join(nodes, "id", "left").join(label, "id", "left")
+    found = rows.join(nodes, "id", "left").join(label, "id", "left")
     back = [F.coalesce("component", "id").alias("class"), *(F.col(f"_{n}").alias(c) for n, c in enumerate(carry))] if carry else []
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"), *back)
