@@ -12,12 +12,14 @@ from .store import held
 from .trees import tree_closure, tree_paths
 
 __all__ = [
-    "allocate_exact", "band_pairs", "densify", "first_match", "first_per", "held", "latest_per_key", "mad_anomalies", "month_spine", "mutual_best", "nearest_by_cosine", "recurring", "small", "theil_sen",
+    "allocate_exact", "band_pairs", "dealt", "densify", "first_alike", "first_match", "first_per", "held", "latest_per_key", "mad_anomalies", "month_spine", "mutual_best", "nearest_by_cosine", "recurring", "small", "theil_sen",
     "tree_closure", "tree_paths",
 ]
 
 #: Rows, and bytes of them as JSON, up to which a dimension-like side is broadcast; a larger one goes through a shuffled join.
 SMALL, SMALL_BYTES = 100_000, 8 << 20
+#: Rows of a task that sorts a large table more than once.
+TASK_ROWS = 1_000_000
 
 
 def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -26,6 +28,12 @@ def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> Da
     return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
+def dealt(df: DataFrame, by: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """`df`, a table whose count is cheap, dealt out by `by` to so many tasks that each has some `rows` rows to sort, if Spark's setting gives fewer."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in `order`; which Spark cuts to one row a task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -56,6 +64,16 @@ def mutual_best(pairs: DataFrame, left: str, right: str, order: Sequence[Column]
     return ranked.filter("_l = 1 AND _r = 1").drop("_l", "_r")
 
 
+def first_alike(df: DataFrame, key: str, alike: Sequence[str]) -> DataFrame:
+    """Of rows that are the same in `alike` the one with the first key.
+
+    For mutual_best() over pairs that depend on these columns alone: whoever pairs with one of such rows pairs with all of them, in the
+    same order but for the key, so the first row is preferred to the others by everybody, and these are nobody's best. Pairs then
+    grow with the kinds of rows there are and not with the square of equal ones. Keys are unique.
+    """
+    return first_per(df, alike, [F.col(key)])
+
+
 def band_pairs(left: DataFrame, right: DataFrame, equal: Sequence[tuple[str, str]], day_left: str, day_right: str, days: int, extra: Column | None = None) -> DataFrame:
     """Pairs equal in some columns and at most `days` apart, with day_gap. Column names of the two sides must differ.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import cents, money, name_tokens, names, normalize_merchant, total
-from tallyframe.operators.core import allocate_exact, band_pairs, first_match, first_per, latest_per_key, mutual_best, nearest_by_cosine, small
+from tallyframe.operators.core import allocate_exact, band_pairs, first_alike, first_match, first_per, latest_per_key, mutual_best, nearest_by_cosine, small
 from tallyframe.operators.patterns import matches
 from tallyframe.params import Params
 
@@ -36,6 +36,7 @@ def transfers(stg: DataFrame, p: Params = Params()) -> DataFrame:
     side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("transaction_id", "account_name", "currency", "posted_on", "description_raw", "tokens")]
     out = rows.filter("amount < 0").select(*side("out"), (-F.col("amount")).cast("decimal(18,2)").alias("out_amount"))
     into = rows.filter("amount > 0").select(*side("in"), F.col("amount").alias("in_amount"))
+    out, into = (first_alike(df, f"{x}_transaction_id", [f"{x}_{c}" for c in ("amount", "currency", "posted_on", "account_name", "description_raw")]) for df, x in ((out, "out"), (into, "in")))
     pairs = band_pairs(out, into, [("out_amount", "in_amount"), ("out_currency", "in_currency")], "out_posted_on", "in_posted_on", p.transfer_window_days, F.col("out_account_name") != F.col("in_account_name"))
     pairs = pairs.withColumn("name_match", names(F.col("in_description_raw"), F.col("out_tokens")) | names(F.col("out_description_raw"), F.col("in_tokens")))
     best = mutual_best(pairs, "out_transaction_id", "in_transaction_id", [F.col("name_match").desc(), F.col("day_gap")])
@@ -80,6 +81,7 @@ def order_matches(shipped: DataFrame, tx: DataFrame, p: Params = Params()) -> Da
     """Shipments and the charges that paid for them: equal to the cent, some days apart at most, each other's best."""
     left = shipped.select("website_order_id", "ship_date", "total_owed", F.concat_ws("|", "website_order_id", F.col("ship_date").cast("string")).alias("shipment"))
     right = tx.filter("amount < 0").select("transaction_id", "posted_on", "account_name", (-F.col("amount")).cast("decimal(18,2)").alias("charge"))
+    left, right = first_alike(left, "shipment", ["total_owed", "ship_date"]), first_alike(right, "transaction_id", ["charge", "posted_on"])
     pairs = band_pairs(left, right, [("total_owed", "charge")], "ship_date", "posted_on", p.order_match_window_days)
     best = mutual_best(pairs, "shipment", "transaction_id", [F.col("day_gap")])
     key = F.md5(F.concat_ws("|", "shipment", "transaction_id"))

@@ -176,6 +176,7 @@ def order_match(spark, sf_dir):
     s = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("shipment")).agg(F.min("l_shipdate").cast("date").alias("ship_date"))
     s = s.withColumn("ka", F.col("shipment").cast("long") % 97)
     o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("date").alias("ordered"), (F.col("o_custkey") % 97).alias("kb"))
+    s, o = core.first_alike(s, "shipment", ["ka", "ship_date"]), core.first_alike(o, "order_id", ["kb", "ordered"])
     pairs = core.band_pairs(s, o, [("ka", "kb")], "ship_date", "ordered", 5)
     return core.mutual_best(pairs, "shipment", "order_id", [F.col("day_gap")]).select("shipment", "order_id", "ship_date", "ordered", "day_gap")
 
@@ -189,7 +190,7 @@ def exact_allocation(spark, sf_dir):
     """WIN-6, WIN-7: a charge over its items, exact to the cent."""
     from pyspark.sql import Window
 
-    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = core.dealt(t(spark, sf_dir, "lineitem"), ["l_orderkey"]).join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     item = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).cast("long")
     rows = rows.select("l_orderkey", item.alias("item"), F.round(F.col("o_totalprice") * 100).cast("long").alias("charge"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     return core.allocate_exact(rows, "l_orderkey", "item", "charge", "cents").select("l_orderkey", "item", "share_cents")
@@ -392,11 +393,9 @@ def nearest_rank_quantile(spark, sf_dir):
     SELECT b AS variant, a AS canonical, round(s, 6) AS similarity FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) = 1""")
 def merge_candidates(spark, sf_dir):
     """JN-7: pairs of names by similarity, the best for each variant."""
-    from tallyframe.plans.merges import name_pairs
+    from tallyframe.operators.vectors import nearest_before
 
-    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
-    pairs = name_pairs(e, 0.3)
-    best = core.first_per(pairs, ["b"], [F.col("similarity").desc(), F.col("a")])
+    best = nearest_before(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
     return best.select(F.col("b").alias("variant"), F.col("a").alias("canonical"), F.round("similarity", 6).alias("similarity"))
 
 
