@@ -25,17 +25,17 @@ BLOCKS = 64
 ROWS = 2048
 #: Pivots, and how many vectors they are chosen from.
 PIVOTS, SAMPLE = 16, 1024
-#: Rows of a matrix product.
-STRIP = 512
+#: Rows of a matrix product, and its elements at most.
+STRIP, PRODUCT = 512, 1 << 22
 #: More than what rounding can take from a bound or a product.
 SLACK = 1e-9
 
 
-def units(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, unit: vectors of length 1, as doubles. Null and zero vectors have no direction and are left out; ValueError for unequal lengths."""
-    out = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+def units(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """key, unit and more: vectors of length 1, as doubles. Null and zero vectors have no direction and are left out; ValueError for unequal lengths."""
+    out = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), *more).filter("v IS NOT NULL")
     out = out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
-    return out.select("key", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+    return out.select("key", F.transform("v", lambda x: x / F.col("norm")).alias("unit"), *more)
 
 
 def matrix(column) -> np.ndarray:
@@ -60,7 +60,7 @@ def angles_to(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Side:
-    """A side's blocks: rows key, unit, block; for each block and pivot the least and greatest angle."""
+    """A side's blocks: rows key, unit, block and what else the vectors have; for each block and pivot the least and greatest angle."""
 
     def __init__(self, vectors: DataFrame, pivots: np.ndarray, rows: int):
         import pyarrow as pa
@@ -77,7 +77,7 @@ class Side:
         placed = vectors.mapInArrow(near, schema)
         # The key's hash splits what many equal vectors share.
         placed = placed.repartitionByRange(n, "cell", "near", F.xxhash64("key")).withColumn("block", F.spark_partition_id())
-        self.rows = held(placed.select("key", "unit", "angles", "block"))
+        self.rows = held(placed.select("key", "unit", "angles", "block", *vectors.columns[2:]))
         bounds = [f(F.get("angles", F.lit(p))) for p in range(len(pivots)) for f in (F.min, F.max)]
         found = {r[0]: np.array(r[1:], float).reshape(-1, 2) for r in self.rows.groupBy("block").agg(*bounds).collect()}
         self.low = np.array([found[b][:, 0] if b in found else np.full(len(pivots), np.inf) for b in range(n)])
@@ -100,6 +100,7 @@ def _routed(side: Side, other: Side, most: float, left: bool, same: bool) -> Dat
     import pyarrow as pa
 
     low, high = other.low, other.high
+    sent = [c for c in side.rows.columns if c not in ("angles", "block")]
 
     def run(batches):
         reach = Side.__new__(Side)
@@ -117,12 +118,12 @@ def _routed(side: Side, other: Side, most: float, left: bool, same: bool) -> Dat
             i, j = (here, there) if left else (there, here)
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(row), left)), taken.column("key"), taken.column("unit")],
-                ["i", "j", "is_left", "key", "unit"],
+                [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(row), left)), *(taken.column(c) for c in sent)],
+                ["i", "j", "is_left", *sent],
             )
 
     fields = side.rows.schema
-    schema = StructType([*StructType.fromDDL("i int, j int, is_left boolean").fields, fields["key"], fields["unit"]])
+    schema = StructType([*StructType.fromDDL("i int, j int, is_left boolean").fields, *(fields[c] for c in sent)])
     return side.rows.mapInArrow(run, schema)
 
 
@@ -132,9 +133,11 @@ def _strips(table, same: bool) -> Iterator[tuple]:
     unit, keys = matrix(table.column("unit")), np.array(table.column("key").to_pylist(), object)
     left = np.flatnonzero(is_left)
     right = left if same else np.flatnonzero(~is_left)
-    for at in range(0, len(left), STRIP):
-        some = left[at : at + STRIP]
-        yield at, unit[some] @ unit[right].T, unit[some], unit[right], keys[some], keys[right]
+    step = max(1, min(STRIP, PRODUCT // max(1, len(right))))
+    others, names = unit[right], keys[right]
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        yield at, unit[some] @ others.T, unit[some], others, keys[some], names
 
 
 def _exact(left: np.ndarray, right: np.ndarray, l_: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -196,6 +199,60 @@ def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float) ->
     return _met(side, side, _angle(threshold), True, run, schema)
 
 
+def nearest_before(vectors: DataFrame, key: str, vector: str, threshold: float, weight: str | None = None) -> DataFrame:
+    """a, b, similarity: of each key b the a before it whose cosine is highest, if that reaches `threshold`; ties to the first a.
+
+    a is before b if it has more weight, or as much and the smaller key. What cosine_pairs() has many rows of, each pair of blocks
+    here gives one a vector at most. Vectors without use are as in cosine_pairs().
+    """
+    import pyarrow as pa
+
+    kind = vectors.schema[key].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("similarity", DoubleType())])
+    known = vectors.filter(F.col(key).isNotNull()).withColumn("_weight", F.lit(0).cast("long") if weight is None else F.col(weight).cast("long"))
+    unit = held(units(known, key, vector, "_weight"))
+    n = _counted(unit)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    side = Side(unit, pivots_of(unit), n)
+
+    def run(table):
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        is_left = table.column("is_left").to_numpy()
+        ranked = [(-w, k) for w, k in zip(table.column("_weight").to_pylist(), table.column("key").to_pylist())]
+        place = {k: at for at, k in enumerate(sorted(set(ranked)))}
+        place = np.array([place[k] for k in ranked])
+        own_place = place[is_left]
+        their_place = own_place if same else place[~is_left]
+        best: dict = {}
+        sure = np.full(len(their_place), threshold)
+
+        def take(cosine, before, after):
+            for c, a, b in zip(cosine.tolist(), before, after):
+                if c >= threshold and (b not in best or (-c, a) < best[b]):
+                    best[b] = (-c, a)
+
+        for at, product, left, right, own, others in _strips(table, same):
+            if not len(others):
+                continue
+            p = own_place[at : at + len(own), None]
+            earlier = np.where(their_place[None, :] < p, product, -np.inf)
+            l_, r = np.nonzero(earlier >= (np.maximum(earlier.max(axis=1), threshold) - SLACK)[:, None])
+            take(_exact(left, right, l_, r), others[r], own[l_])
+            if not same:
+                earlier = np.where(p < their_place[None, :], product, -np.inf)
+                sure = np.maximum(sure, earlier.max(axis=0))
+                l_, r = np.nonzero(earlier >= sure - SLACK)
+                take(_exact(left, right, l_, r), own[l_], others[r])
+        found = [(a, b, -c) for b, (c, a) in best.items()]
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.table([pa.array(columns[0], _arrow(kind)), pa.array(columns[1], _arrow(kind)), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+
+    met = _met(side, side, _angle(threshold), True, run, schema)
+    best = met.groupBy("b").agg(F.min_by(F.struct("a", "similarity"), F.struct(-F.col("similarity"), F.col("a"))).alias("v"))
+    return best.select("v.a", "b", "v.similarity")
+
+
 def _arrow(kind: DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import cosine
-from tallyframe.operators.core import first_per, latest_per_key, small
-from tallyframe.operators.vectors import cosine_pairs
+from tallyframe.operators.core import latest_per_key
+from tallyframe.operators.vectors import cosine_pairs, nearest_before
 
 
 def name_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -17,16 +17,11 @@ def name_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def candidates(vectors: DataFrame, merchants: DataFrame, merges: DataFrame, model: str, threshold: float = 0.90, limit: int = 20) -> DataFrame:
     """The best canonical name for each variant: towards more transactions, of equal ones the smaller name; undecided variants only."""
-    own = vectors.filter(F.col("model") == model).select(F.col("merchant_name").alias("name"), "embedding").join(merchants.select(F.col("merchant_name").alias("name")), "name", "left_semi")
-    counts = small(merchants.select(F.col("merchant_name").alias("name"), F.col("transaction_count").alias("n")))
-    pairs = name_pairs(own, threshold)
-    for side in ("a", "b"):
-        pairs = pairs.join(counts.select(F.col("name").alias(side), F.col("n").alias(f"n{side}")), side)
-    forward = F.col("na") >= F.col("nb")
-    pairs = pairs.select(F.when(forward, F.col("b")).otherwise(F.col("a")).alias("merchant_name"), F.when(forward, F.col("a")).otherwise(F.col("b")).alias("canonical_name"), "similarity")
-    open_ = pairs.join(merges.select("merchant_name").distinct(), "merchant_name", "left_anti")
-    best = first_per(open_, ["merchant_name"], [F.col("similarity").desc(), F.col("canonical_name")])
-    return best.orderBy(F.col("similarity").desc(), "merchant_name").limit(limit)
+    own = vectors.filter(F.col("model") == model).select("merchant_name", "embedding").join(merchants.select("merchant_name", "transaction_count"), "merchant_name")
+    best = nearest_before(own, "merchant_name", "embedding", threshold, "transaction_count")
+    best = best.select(F.col("b").alias("merchant_name"), F.col("a").alias("canonical_name"), "similarity")
+    open_ = best.join(merges.select("merchant_name").distinct(), "merchant_name", "left_anti")
+    return open_.orderBy(F.col("similarity").desc(), "merchant_name").limit(limit)
 
 
 def similarity(vectors: DataFrame, model: str, a: str, b: str) -> float | None:
