@@ -1,7 +1,8 @@
 """Many regular expressions against many texts, as a join on a key: what a match must contain is an index.
 
-A pattern's syntax tree tells which literal text every match of it contains, or of which few literals one. Three letters of each of these
-literals, the three that fewest texts have, are the pattern's keys; a text's keys are all its runs of three letters. Only texts and
+A pattern's syntax tree tells which literal text every match of it contains, or of which few literals one. Twelve letters of each of
+these literals (six or three of shorter ones), those that fewest texts have, are the pattern's keys; a text's keys are all its runs of as
+many letters. Only texts and
 patterns that share a key are matched, so nothing is lost. Patterns that say nothing of the kind (`.*`, `[0-9]+`) meet every text, and
 are counted: few in any real configuration, they are broadcast up to a bound.
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .store import held
 
-#: Letters of a key.
+#: Letters of a key at least, and how many more it has where literals are as long: short runs are in ever more texts as these grow.
 GRAM = 3
+GRAMS = (12, 6, GRAM)
 #: Bytes of patterns up to which they are broadcast to all texts as they are.
 BROADCAST_BYTES = 8 << 20
 #: Patterns up to which an index costs more than it saves.
@@ -84,11 +86,14 @@ def required_literals(pattern: str) -> list[str] | None:
     return max(sets, key=lambda s: (min(map(len, s)), -len(s))) if sets else None
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of GRAM letters of a text, in lower case (A-Z)."""
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many letters of a text, in lower case (A-Z)."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(low, i, F.lit(GRAM))))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(runs, sizes)))
 
 
 def _indexed(rules: DataFrame) -> DataFrame:
@@ -103,7 +108,8 @@ def _indexed(rules: DataFrame) -> DataFrame:
                 if literals is None:
                     out.append((pattern, None, None))
                 for k, text in enumerate(literals or ()):
-                    out += [(pattern, k, text[i : i + GRAM]) for i in range(len(text) - GRAM + 1)]
+                    size = next(n for n in GRAMS if n <= len(text))
+                    out += [(pattern, k, text[i : i + size]) for i in range(len(text) - size + 1)]
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["pattern", "literal", "gram"])
 
@@ -125,7 +131,8 @@ def matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
         return texts.join(F.broadcast(patterns), F.rlike("text", F.col("pattern")))
     texts = held(texts)
     index = held(_indexed(rules))
-    grams = held(texts.select("text", F.explode(_grams(F.col("text"))).alias("gram")).join(index.select("gram").distinct(), "gram", "left_semi"))
+    sizes = sorted(r[0] for r in index.filter("gram IS NOT NULL").select(F.length("gram")).distinct().collect())
+    grams = held(texts.select("text", F.explode(_grams(F.col("text"), sizes)).alias("gram")).join(index.select("gram").distinct(), "gram", "left_semi"))
     # A literal whose rarest letters no text has can't match; its pattern's other alternatives still can.
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     keys = index.filter("gram IS NOT NULL").join(often, "gram", "left").groupBy("pattern", "literal").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
