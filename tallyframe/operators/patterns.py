@@ -96,8 +96,8 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(runs, sizes)))
 
 
-def _indexed(rules: DataFrame) -> DataFrame:
-    """pattern, literal (its place among the alternatives) and gram of each pattern's required literals; a null gram for patterns without."""
+def _indexed(patterns: DataFrame) -> DataFrame:
+    """Of distinct patterns (pattern): pattern, literal (its place among the alternatives) and gram of each pattern's required literals; a null gram for patterns without."""
     import pyarrow as pa
 
     def run(batches):
@@ -113,7 +113,7 @@ def _indexed(rules: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["pattern", "literal", "gram"])
 
-    return rules.select("pattern").filter("pattern IS NOT NULL").distinct().mapInArrow(run, "pattern string, literal int, gram string")
+    return patterns.mapInArrow(run, "pattern string, literal int, gram string")
 
 
 def _small(df: DataFrame, column: str) -> bool:
@@ -129,8 +129,10 @@ def matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
     patterns = rules.select("pattern").filter("pattern IS NOT NULL").distinct()
     if patterns.limit(FEW + 1).count() <= FEW and _small(patterns, "pattern"):
         return texts.join(F.broadcast(patterns), F.rlike("text", F.col("pattern")))
-    texts = held(texts)
-    index = held(_indexed(rules))
+    # As bytes they are few and would be left to one task; as work they aren't. Partitions of a given number aren't coalesced.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = held(texts.repartition(tasks, "text"))
+    index = held(_indexed(patterns.repartition(tasks, "pattern")))
     sizes = sorted(r[0] for r in index.filter("gram IS NOT NULL").select(F.length("gram")).distinct().collect())
     grams = held(texts.select("text", F.explode(_grams(F.col("text"), sizes)).alias("gram")).join(index.select("gram").distinct(), "gram", "left_semi"))
     # A literal whose rarest letters no text has can't match; its pattern's other alternatives still can.
