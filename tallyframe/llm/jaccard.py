@@ -41,6 +41,8 @@ SKETCH = [f"k{i}" for i in range(8)]
 SPARE = 3
 #: Blocks' keys are met in so many parts, one after the other, so that shuffles of one part are on disk at a time.
 PARTS = 4
+#: Bits, as a power of two, of the largest bitmap of shared keys (8 MB) by which other keys are dropped before they are shuffled.
+BITS = 26
 #: Ratio of size classes within which sets have the same number of blocks.
 CLASS = Fraction(3, 2)
 
@@ -201,6 +203,35 @@ def shared_keys(lists: DataFrame) -> DataFrame:
     return stored(lists.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
 
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits by place in a key's hash, set where `keys` has one: at most 8 MB, in 16 bits a key while there are few."""
+    bits = min(BITS, max(6, (16 * keys.count()).bit_length()))
+    slot = f"(shiftright(key, 8) & {(1 << bits) - 1}L)"
+    words = keys.groupBy(F.expr(f"shiftright({slot}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS int)))").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out
+
+
+def likely(rows: DataFrame, part: int, keys: DataFrame) -> DataFrame:
+    """id, least, key: blocks' keys of this part that the bitmap of `keys` has, so all that are in `keys` and few others."""
+    import pyarrow as pa
+
+    bits = bitmap(keys).view(np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            key = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            slot = (key >> 8) & (8 * len(bits) - 1)
+            at = np.flatnonzero((key % PARTS == part) & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in range(2)), pa.array(key[at], pa.int64())], ["id", "least", "key"])
+
+    return rows.select("id", "least", "blocks").mapInArrow(run, "id long, least long, key long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id reachable) of every id in `edges` (u, v): labels spread and jump until none changes."""
     both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).filter("u <> v").distinct())
@@ -307,20 +338,27 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     pivots = stored(lists.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("p")))
     pairs = stored(lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct())
     release(docs.sparkSession)
-    tested = stored(compared(pairs, sets, scheme))
+    # Sets travel whole here, and what they differ by with them: in parts as well.
+    parts = []
+    for k in range(PARTS):
+        parts.append(stored(compared(pairs.filter(F.pmod("p", F.lit(PARTS)) == k), sets, scheme)))
+        release(docs.sparkSession)
     discard(pairs)
-    release(docs.sparkSession)
+    tested = reduce(DataFrame.union, parts)
     edges = cut(known.union(tested.filter("linked").select("p", "x")).distinct())
     label = components(edges)
     # Each set's home is a pivot that it was compared to: of those at most twice as far as the nearest, the one compared to most sets,
     # so that most lists have one home. Sets with one home are compared through it.
     most = tested.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     ranked = tested.select("p", "x", "h", F.min("h").over(Window.partitionBy("x")).alias("least")).filter("h <= 2 * least").join(most, "p")
-    best = cut(ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), "p")).alias("p")))
-    own = label.select(F.col("id").alias("x"), "component")
-    homes = stored(tested.join(best, ["x", "p"]).join(own, "x", "left").withColumn("component", F.coalesce("component", "x")))
-    discard(tested)
-    release(docs.sparkSession)
+    best = ranked.groupBy("x").agg(F.max_by("p", F.struct("m", -F.col("h"), "p")).alias("p"))
+    best = cut(best.join(label.select(F.col("id").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x")))
+    homes = []
+    for part in parts:
+        homes.append(stored(part.join(best, ["x", "p"])))
+        release(docs.sparkSession)
+        discard(part)
+    homes = reduce(DataFrame.union, homes)
     links = kin(homes, scheme)
     release(docs.sparkSession)
     # Members of one list with different homes that are in different components yet are compared as they are, where sketches allow it.
@@ -369,8 +407,10 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     parts = []
     for k in range(PARTS):
         blocks = apart.select("id", "least", F.explode("blocks").alias("key")).filter(F.pmod("key", F.lit(PARTS)) == k)
+        shared = shared_keys(blocks)
         # A join and no broadcast at any size: a key in a third of all sets is split at run time.
-        parts.append(stored(blocks.join(shared_keys(blocks).hint("merge"), "key", "left_semi").distinct()))
+        parts.append(stored(likely(apart, k, shared).join(shared.hint("merge"), "key", "left_semi").distinct()))
+        discard(shared)
         release(docs.sparkSession)
     discard(keyed)
     lists = reduce(DataFrame.union, parts)
