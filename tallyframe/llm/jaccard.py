@@ -39,8 +39,14 @@ BROADCAST_ROWS = 400_000
 SKETCH = [f"k{i}" for i in range(8)]
 #: Of so many blocks one more is made than a link needs: the more a set must share, the fewer sets have to be compared.
 SPARE = 3
-#: Blocks' keys are met in so many parts, one after the other, so that shuffles of one part are on disk at a time.
+#: Blocks' keys are met in so many parts at most, one after the other, so that shuffles of one part are on disk at a time.
 PARTS = 4
+#: A part has so many keys at least: of a small table each part costs more, by its tasks and files, than it saves.
+PART_KEYS = 4_000_000
+#: Sets for comparing of so many bytes at most in all are broadcast: then nothing of them is shuffled, and all are compared at once.
+BROADCAST_BYTES = 16_000_000
+#: Links (16 bytes each, both ways) of at most so many rows are followed in one task, without an exchange in each round.
+TOGETHER = 100_000
 #: Bits, as a power of two, of the largest bitmap of shared keys (8 MB) by which other keys are dropped before they are shuffled.
 BITS = 26
 #: Ratio of size classes within which sets have the same number of blocks.
@@ -213,7 +219,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def likely(rows: DataFrame, part: int, keys: DataFrame) -> DataFrame:
+def likely(rows: DataFrame, part: int, keys: DataFrame, parts: int = PARTS) -> DataFrame:
     """id, least, key: blocks' keys of this part that the bitmap of `keys` has, so all that are in `keys` and few others."""
     import pyarrow as pa
 
@@ -225,7 +231,7 @@ def likely(rows: DataFrame, part: int, keys: DataFrame) -> DataFrame:
             ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
             key = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
             slot = (key >> 8) & (8 * len(bits) - 1)
-            at = np.flatnonzero((key % PARTS == part) & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+            at = np.flatnonzero((key % parts == part) & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
             row = np.repeat(np.arange(len(lists)), np.diff(ends))[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in range(2)), pa.array(key[at], pa.int64())], ["id", "least", "key"])
 
@@ -235,20 +241,34 @@ def likely(rows: DataFrame, part: int, keys: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id reachable) of every id in `edges` (u, v): labels spread and jump until none changes."""
     both = cut(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).filter("u <> v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("c")).select("id", F.least("id", "c").alias("c")))
+    few = both.count() <= TOGETHER
+
+    def kept(df):
+        return cut(df).coalesce(1) if few else cut(df)
+
+    def side(df):
+        return F.broadcast(df) if few else df
+
+    both = both.coalesce(1) if few else both
+    labels = kept(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("c")).select("id", F.least("id", "c").alias("c")))
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("c").alias("near"))
-        spread = labels.join(near, F.col("id") == F.col("u")).select("id", F.least("c", "near").alias("c"), F.col("c").alias("old"))
+        near = both.join(side(labels), F.col("v") == F.col("id")).groupBy("u").agg(F.min("c").alias("near"))
+        spread = labels.join(side(near), F.col("id") == F.col("u")).select("id", F.least("c", "near").alias("c"), F.col("c").alias("old"))
         jump = spread.select(F.col("id").alias("c"), F.col("c").alias("far"))
-        spread = cut(spread.join(jump, "c", "left").select("id", F.least("c", "far").alias("c"), "old"))
+        spread = kept(spread.join(side(jump), "c", "left").select("id", F.least("c", "far").alias("c"), "old"))
         moved = spread.filter("c <> old").limit(1).count()
         labels = spread.drop("old")
+        if not few:
+            release(edges.sparkSession)
         if not moved:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of `pairs` (p, x): np, nx (sizes), h (elements in one of the two only), linked, those elements, and x's sketch."""
+def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme, small: bool = False) -> DataFrame:
+    """Of `pairs` (p, x): np, nx (sizes), h (elements in one of the two only), linked, those elements, and x's sketch.
+
+    small: whether all of `sets` may be broadcast.
+    """
 
     def run(frames):
         for pdf in frames:
@@ -260,8 +280,11 @@ def compared(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
                 out.append((p, x, len(a), len(b), len(apart), bool(linked), apart.view(np.int64), *sketch(b)))
             yield pd.DataFrame(out, columns=["p", "x", "np", "nx", "h", "linked", "apart", *SKETCH])
 
-    pivots = only(sets.withColumnRenamed("id", "p"), cut(pairs.select("p").distinct()), "p").withColumnRenamed("elements", "a")
-    others = only(sets.withColumnRenamed("id", "x"), cut(pairs.select("x").distinct()), "x").withColumnRenamed("elements", "b")
+    pivots, others = (sets.select(F.col("id").alias(k), F.col("elements").alias(e)) for k, e in (("p", "a"), ("x", "b")))
+    if small:
+        pivots, others = F.broadcast(pivots), F.broadcast(others)
+    else:
+        pivots, others = (only(each, cut(pairs.select(k).distinct()), k) for each, k in ((pivots, "p"), (others, "x")))
     joined = pairs.join(others, "x").join(pivots, "p")
     return joined.select("p", "x", "a", "b").mapInPandas(run, "p long, x long, np long, nx long, h long, linked boolean, apart array<long>" + "".join(f", {k} long" for k in SKETCH))
 
@@ -339,9 +362,10 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     pairs = stored(lists.join(pivots, "key").filter("id <> p").select("p", F.col("id").alias("x")).distinct())
     release(docs.sparkSession)
     # Sets travel whole here, and what they differ by with them: in parts as well.
-    parts = []
-    for k in range(PARTS):
-        parts.append(stored(compared(pairs.filter(F.pmod("p", F.lit(PARTS)) == k), sets, scheme)))
+    small = (sets.agg(F.sum(F.length("elements"))).first()[0] or 0) <= BROADCAST_BYTES
+    parts, n = [], 1 if small else PARTS
+    for k in range(n):
+        parts.append(stored(compared(pairs.filter(F.pmod("p", F.lit(n)) == k), sets, scheme, small)))
         release(docs.sparkSession)
     discard(pairs)
     tested = reduce(DataFrame.union, parts)
@@ -359,7 +383,7 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
         release(docs.sparkSession)
         discard(part)
     homes = reduce(DataFrame.union, homes)
-    links = kin(homes, scheme)
+    links = cut(kin(homes, scheme))
     release(docs.sparkSession)
     # Members of one list with different homes that are in different components yet are compared as they are, where sketches allow it.
     at = lists.join(pivots, "key").filter("id <> p").select("key", F.col("id").alias("x"))
@@ -373,7 +397,7 @@ def block_edges(lists: DataFrame, docs: DataFrame, nodes: DataFrame, known: Data
     cross = cross.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("x"))
     cross = cut(cross.distinct())
     release(docs.sparkSession)
-    more = compared(cross, sets, scheme).filter("linked").select("p", "x")
+    more = compared(cross, sets, scheme, small).filter("linked").select("p", "x")
     return cut(edges.union(links).union(more))
 
 
@@ -404,12 +428,13 @@ def jaccard_classes(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, w
     light = light.filter(q * F.col("common") >= p * (F.col("n") + F.col("least.n") - F.col("common"))).select(F.col("least.id").alias("u"), F.col("id").alias("v"))
     light = cut(light.distinct())
     release(docs.sparkSession)
-    parts = []
-    for k in range(PARTS):
-        blocks = apart.select("id", "least", F.explode("blocks").alias("key")).filter(F.pmod("key", F.lit(PARTS)) == k)
+    keys = apart.agg(F.sum(F.size("blocks"))).first()[0] or 0
+    parts, n = [], min(PARTS, 1 + keys // PART_KEYS)
+    for k in range(n):
+        blocks = apart.select("id", "least", F.explode("blocks").alias("key")).filter(F.pmod("key", F.lit(n)) == k)
         shared = shared_keys(blocks)
         # A join and no broadcast at any size: a key in a third of all sets is split at run time.
-        parts.append(stored(likely(apart, k, shared).join(shared.hint("merge"), "key", "left_semi").distinct()))
+        parts.append(stored(likely(apart, k, shared, n).join(shared.hint("merge"), "key", "left_semi").distinct()))
         discard(shared)
         release(docs.sparkSession)
     discard(keyed)

@@ -16,6 +16,8 @@ KEEP = 0.8
 BOUND_ROUNDS, KEEPS, NEAR = 8, 8, 0.005
 #: Of the keep at which a value would stay whole, so much is the most: at that keep itself the fitting hardly converges.
 BELOW = 0.999
+#: At most so many cells are fitted in one task, without an exchange in each step.
+TOGETHER = 20_000
 
 
 def lead_topic(text: Column, topics: int = TOPICS) -> Column:
@@ -36,11 +38,16 @@ def cells_of(docs: DataFrame, topic: Column | None = None, carry: tuple[str, ...
     )
 
 
-def goals(cells: DataFrame, flatten: dict[str, float]) -> DataFrame:
+def held(cells: DataFrame, few: bool) -> DataFrame:
+    """As cut(); few: in one partition, so that no window over them needs an exchange."""
+    return cut(cells).coalesce(1) if few else cut(cells)
+
+
+def goals(cells: DataFrame, flatten: dict[str, float], few: bool = False) -> DataFrame:
     """cells with t_<dim>, the tokens of the cell's value of each dimension, and goal_<dim>, those that it should have."""
     for dim in flatten:
         cells = cells.withColumn(f"t_{dim}", F.sum("tokens").over(Window.partitionBy(dim)).cast("double"))
-    cells = cut(cells)
+    cells = held(cells, few)
     # Each value counts once: its cells have its tokens between them.
     norms = [F.sum(F.when(F.col(f"t_{dim}") > 0, F.pow(f"t_{dim}", F.lit(power)) * F.col("tokens") / F.col(f"t_{dim}"))).alias(f"norm_{dim}") for dim, power in flatten.items()]
     one = cells.agg(F.sum("tokens").alias("all"), *norms)
@@ -48,21 +55,21 @@ def goals(cells: DataFrame, flatten: dict[str, float]) -> DataFrame:
     return cells.crossJoin(F.broadcast(one)).withColumns(share).drop("all", *(f"norm_{dim}" for dim in flatten))
 
 
-def rake(cells: DataFrame, flatten: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, flatten: dict[str, float], rounds: int = ROUNDS, few: bool = False) -> DataFrame:
     """Weights w of cells (see goals()), by which the tokens of each value come to its goal: iterative proportional fitting.
 
     cells: one row for each combination of values that occurs. Each step is a window by dimension: one exchange of cells, which
-    are few where documents are many. Cells without tokens keep weight 1.
+    are few where documents are many, and none if they are in one partition (see held()). Cells without tokens keep weight 1.
     """
     now = cells.withColumn("w", F.lit(1.0))
     for _ in range(rounds):
         for dim in flatten:
             got = F.sum(F.col("tokens") * F.col("w")).over(Window.partitionBy(dim))
             now = now.withColumn("got", got).withColumn("w", F.when(F.col("got") > 0, F.col("w") * F.col(f"goal_{dim}") / F.col("got")).otherwise(F.col("w"))).drop("got")
-    return cut(now)
+    return held(now, few)
 
 
-def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP, rounds: int = BOUND_ROUNDS) -> DataFrame:
+def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP, rounds: int = BOUND_ROUNDS, few: bool = False) -> DataFrame:
     """Cells with their probability p and the keep that it is for: the tokens of each value by p come to keep times its goal.
 
     min(1, keep * w) cuts large weights and so misses the targets. Here cells at 1 are fixed and the others make up for them,
@@ -93,11 +100,11 @@ def calibrate(weighted: DataFrame, flatten: dict[str, float], keep: float = KEEP
         for dim in flatten:
             now = sums(now, dim).withColumn("u", F.col("u") * F.coalesce(f, F.lit(1.0))).drop("fixed", "free", "want")
         if n % 4 == 3:
-            now = cut(now)  # a plan of fewer exchanges
+            now = held(now, few)  # a plan of fewer exchanges
     now = now.withColumn("miss", F.lit(0.0))
     for dim in flatten:
         now = sums(now, dim).withColumn("miss", F.greatest("miss", F.when(some, F.abs((F.col("fixed") + F.col("free")) / F.col("want") - 1)).otherwise(0.0))).drop("fixed", "free", "want")
-    now = cut(now.select(*flatten, "w", "k", "keep", F.least(F.lit(1.0), "u").alias("p"), "miss"))
+    now = held(now.select(*flatten, "w", "k", "keep", F.least(F.lit(1.0), "u").alias("p"), "miss"), few)
     worst = now.groupBy("k").agg(F.max("miss").alias("miss"))
     order = F.struct((F.col("miss") > NEAR).alias("far"), F.when(F.col("miss") > NEAR, F.col("miss")).otherwise(-F.col("k")).alias("by"))
     best = worst.agg(F.min_by("k", order).alias("best"))
@@ -122,7 +129,10 @@ def mix(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, topic: Column
     flatten = flatten or {"source": SOURCE, "lang": LANG, "topic": TOPIC}
     rows = cells_of(docs, topic, carry)
     cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    weights = cut(calibrate(rake(goals(cells, flatten), flatten, rounds), flatten, keep))
+    cells = cut(cells)
+    few = cells.count() <= TOGETHER
+    cells = cells.coalesce(1) if few else cells
+    weights = cut(calibrate(rake(goals(cells, flatten, few), flatten, rounds, few), flatten, keep, few=few))
     # A cell may hold a third of all rows: both sides are ordinary exchanges, which adaptive execution splits.
     return rows.join(weights, ["source", "lang", "topic"]).select(
         "doc_id", "source", "lang", "topic", "tokens",
