@@ -23,9 +23,9 @@ TASK_ROWS = 1_000_000
 
 
 def small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows and `most_bytes` bytes."""
+    """`df` with a broadcast hint if it has at most `most` rows and `most_bytes` bytes; else with that of a shuffled join, as Spark's own estimate may be far too low."""
     rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df.hint("merge")
 
 
 def dealt(df: DataFrame, by: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:

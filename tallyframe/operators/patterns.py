@@ -2,7 +2,9 @@
 
 A pattern's syntax tree tells which literal text every match of it contains, or of which few literals one. Twelve letters of each of
 these literals (six or three of shorter ones), those that fewest texts have, are the pattern's keys; a text's keys are all its runs of as
-many letters. Only texts and
+many letters. Keys are 64-bit hashes: hashes that are alike by chance bring together a text and a pattern that don't match, no more.
+Texts' keys are dropped by a bitmap of the patterns' keys before they are shuffled, and the joins are shuffled by their hint: Spark takes
+an explosion, also a checkpointed one, to be as large as what it explodes, and would broadcast it. Only texts and
 patterns that share a key are matched, so nothing is lost. Patterns that say nothing of the kind (`.*`, `[0-9]+`) meet every text, and
 are counted: few in any real configuration, they are broadcast up to a bound.
 
@@ -15,6 +17,7 @@ import re
 from re import _constants as sre
 from re import _parser as parser
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ GRAMS = (12, 6, GRAM)
 BROADCAST_BYTES = 8 << 20
 #: Patterns up to which an index costs more than it saves.
 FEW = 64
+#: Bits, as a power of two, of the largest bitmap of keys (8 MB).
+BITS = 26
 #: The syntax whose meaning is beyond doubt in all dialects; a pattern with anything else has no required literal here.
 _PLAIN = re.compile(r"(?:[^\\\[\](){}?*+|^$]|\\[dDwWsSbB]|\\[^0-9A-Za-z]|\[\^?(?:[^\\\[\]&]|\\[dDwWsS]|\\[^0-9A-Za-z])+\]|\((?:\?:)?|[){}|^$?*+])*")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +121,35 @@ def _indexed(patterns: DataFrame) -> DataFrame:
     return patterns.mapInArrow(run, "pattern string, literal int, gram string")
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits by place in a key (gram), set where `keys` has one: at most 8 MB, in 16 bits a row while there are few."""
+    bits = min(BITS, max(6, (16 * keys.count()).bit_length()))
+    slot = f"(gram & {(1 << bits) - 1}L)"
+    words = keys.groupBy(F.expr(f"shiftright({slot}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS int)))").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def _likely(texts: DataFrame, sizes: list[int], keys: DataFrame) -> DataFrame:
+    """gram, text: the texts' keys that the bitmap of `keys` has, so all that are in `keys` and few others."""
+    import pyarrow as pa
+
+    bits = _bitmap(keys).view(np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            key = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            slot = key & (8 * len(bits) - 1)
+            at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at], pa.int64()), batch.column(0).take(pa.array(row))], ["gram", "text"])
+
+    return texts.select("text", F.transform(_grams(F.col("text"), sizes), lambda g: F.xxhash64(g)).alias("grams")).mapInArrow(run, "gram long, text string")
+
+
 def _small(df: DataFrame, column: str) -> bool:
     return (df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
@@ -132,14 +166,15 @@ def matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
     # As bytes they are few and would be left to one task; as work they aren't. Partitions of a given number aren't coalesced.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = held(texts.repartition(tasks, "text"))
-    index = held(_indexed(patterns.repartition(tasks, "pattern")))
-    sizes = sorted(r[0] for r in index.filter("gram IS NOT NULL").select(F.length("gram")).distinct().collect())
-    grams = held(texts.select("text", F.explode(_grams(F.col("text"), sizes)).alias("gram")).join(index.select("gram").distinct(), "gram", "left_semi"))
+    index = held(_indexed(patterns.repartition(tasks, "pattern")).select("pattern", "literal", F.length("gram").alias("size"), F.when(F.col("gram").isNotNull(), F.xxhash64("gram")).alias("gram")))
+    known = index.filter("gram IS NOT NULL")
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())
     # A literal whose rarest letters no text has can't match; its pattern's other alternatives still can.
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    keys = index.filter("gram IS NOT NULL").join(often, "gram", "left").groupBy("pattern", "literal").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
-    met = grams.join(keys.select("pattern", "gram").distinct(), "gram").select("text", "pattern").distinct()
-    found = met.filter(F.rlike("text", F.col("pattern")))
+    often = _likely(texts, sizes, known).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rarest = known.join(often.hint("merge"), "gram", "left").groupBy("pattern", "literal").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    keys = held(rarest.select("pattern", "gram").distinct())
+    met = _likely(texts, sizes, keys).join(keys.hint("merge"), "gram").select("text", "pattern").distinct()
+    found = held(met.filter(F.rlike("text", F.col("pattern"))))
     rest = index.filter("gram IS NULL").select("pattern")
     if rest.isEmpty():
         return found

@@ -70,3 +70,23 @@ def test_long_literals_meet_few_texts(spark):
     found = patterns.matches(spark.createDataFrame([(f"PAYPAL *{n} X",) for n in names], "text string"), rules)
     assert {(r["text"], r["pattern"]) for r in found.collect()} == {(f"PAYPAL *{n} X", n + r"\b") for n in names}
     assert all(len(x["gram"]) == 12 for x in patterns._indexed(rules.select("pattern")).collect())
+
+
+def test_pattern_tables_are_not_broadcast_by_estimate(spark, monkeypatch, tmp_path):
+    """What texts' keys explode to is far larger than Spark's estimate, that of the texts; no step may broadcast it."""
+    names = [f"Customer#{k:09}" for k in range(200)]
+    spark.createDataFrame([(n,) for n in names], "name string").write.parquet(str(tmp_path / "names"))
+    name = spark.read.parquet(str(tmp_path / "names"))
+    rules = name.select(F.concat("name", F.lit(r"\b")).alias("pattern"))
+    plans, plain = [], patterns.held
+    monkeypatch.setattr(patterns, "held", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    found = patterns.matches(name.select(F.concat(F.lit("PAYPAL *"), "name", F.lit(" X")).alias("text")), rules)
+    assert found.count() == len(names)
+    assert len(plans) > 2 and not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_what_is_not_small_is_not_broadcast(spark):
+    """An explosion counts as large as what it explodes; its rows are counted, and beyond the bound the join is shuffled."""
+    many = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
+    joined = lambda most: spark.range(10).toDF("k").join(core.small(many, most), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined(1000) and "SortMergeJoin" in joined(100)
