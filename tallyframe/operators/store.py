@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -25,3 +26,9 @@ def held(df: DataFrame) -> DataFrame:
     """`df`, computed once and checkpointed."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the files of shuffles whose plans nothing refers to any more, before more is shuffled; else that is left to when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.store import checkpoint_folder
+from tallyframe.operators.store import checkpoint_folder, let_go
 from tallyframe.queries import query, t
 from tallyframe.sources import landing
 from tallyframe.sources.config import Source
@@ -88,12 +88,8 @@ def ofx_landing(spark, sf_dir):
 SHOP = Source("shop", "Shop", "orders", kind="orders")
 
 
-@query("""WITH x AS (SELECT l_orderkey::VARCHAR AS website_order_id, CAST(o_orderdate AS DATE) AS order_date, CASE WHEN l_linenumber < 7 THEN CAST(l_shipdate AS DATE) END AS ship_date, 'A' || l_partkey AS asin,
-        l_quantity::BIGINT AS quantity, l_extendedprice::DECIMAL(18,2) AS shipment_item_subtotal, o_totalprice::DECIMAL(18,2) AS total_owed, l_linenumber, l_suppkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    k AS (SELECT *, row_number() OVER (PARTITION BY website_order_id, asin, ship_date ORDER BY l_linenumber, l_suppkey, l_extendedprice, quantity) - 1 AS k FROM x)
-    SELECT website_order_id, order_date, ship_date, asin, quantity, shipment_item_subtotal, total_owed, sha256('shop|order|' || website_order_id || '|' || asin || '|' || coalesce(ship_date::VARCHAR, '') || '|' || k) AS row_hash FROM k""")
-def order_history_landing(spark, sf_dir):
-    """SRC-12, SRC-8: an order history's items, unshipped ones with a blank date, equal ones told apart by their place."""
+def _order_history(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The order history as files compressed by gzip, each order's items in one of them; a glob of these."""
     rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     money = lambda c: F.concat(F.lit("$"), F.format_number(F.col(c).cast("decimal(18,2)"), 2))
     day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -102,10 +98,22 @@ def order_history_landing(spark, sf_dir):
         "asin": F.concat(F.lit("A"), F.col("l_partkey").cast("string")), "quantity": F.col("l_quantity").cast("bigint").cast("string"), "shipment_item_subtotal": money("l_extendedprice"), "total_owed": money("o_totalprice"),
     }
     columns = [given.get(name, F.lit("")).alias(column) for name, column in ORDER_COLUMNS.items()]
-    order = {"_a": "l_linenumber", "_b": "l_suppkey", "_c": "l_extendedprice", "_d": "l_quantity"}
+    # Numbers are shuffled, once, by the order; texts are made as they are written. The window keeps an order's items in one task, and so in one file.
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"))
+    export = rows.select("*", (F.col("l_orderkey") % FILES).alias("f"), place.alias("_k")).sortWithinPartitions("f", "l_orderkey", "_k").select("f", *columns)
+    export.write.partitionBy("f").csv(path, header="true", quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", compression="gzip")
+    return f"{path}/f=*/part-*"
+
+
+@query("""WITH x AS (SELECT l_orderkey::VARCHAR AS website_order_id, CAST(o_orderdate AS DATE) AS order_date, CASE WHEN l_linenumber < 7 THEN CAST(l_shipdate AS DATE) END AS ship_date, 'A' || l_partkey AS asin,
+        l_quantity::BIGINT AS quantity, l_extendedprice::DECIMAL(18,2) AS shipment_item_subtotal, o_totalprice::DECIMAL(18,2) AS total_owed, l_linenumber, l_suppkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    k AS (SELECT *, row_number() OVER (PARTITION BY website_order_id, asin, ship_date ORDER BY l_linenumber, l_suppkey, l_extendedprice, quantity) - 1 AS k FROM x)
+    SELECT website_order_id, order_date, ship_date, asin, quantity, shipment_item_subtotal, total_owed, sha256('shop|order|' || website_order_id || '|' || asin || '|' || coalesce(ship_date::VARCHAR, '') || '|' || k) AS row_hash FROM k""")
+def order_history_landing(spark, sf_dir):
+    """SRC-12, SRC-8: an order history's items, unshipped ones with a blank date, equal ones told apart by their place."""
     root = _folder(spark)
-    export = rows.select((F.col("l_orderkey") % FILES).alias("f"), *(F.col(c).alias(n) for n, c in order.items()), *columns)
-    path = _written(export, list(order), f"{root}/files", header="true", quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    path = _order_history(spark, sf_dir, f"{root}/files")
+    let_go(spark)
     landing.ingest(spark, SHOP, path, root)
     return landing.bronze_orders(spark, root).select("website_order_id", "order_date", "ship_date", "asin", "quantity", "shipment_item_subtotal", "total_owed", "row_hash")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.exprs import strptime_to_java
+from tallyframe.operators.core import first_per
 from tallyframe.schemas import BRONZE, BRONZE_ORDERS, conform
 
 from .config import IngestionError, Source
@@ -29,12 +30,16 @@ OFX_ROW = b"<STMTTRN>"
 def lines_of(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:
     """path and value (bytes, without the `end`) of the lines of the files at `path`: each file in one task, in the file's order.
 
-    Files are read in splits; the shuffle that brings these together sorts on disk, so no file is ever whole in memory.
+    Files are read in splits; the shuffle that brings these together sorts on disk, so no file is ever whole in memory. Files
+    compressed by gzip have one split each, so their lines are in one task and in order as they are, and aren't shuffled.
     """
     # File paths are those of URIs, where a plus sign stands for itself.
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path")
     place = [name, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"), F.col("value").cast("binary").alias("value")]
-    lines = spark.read.option("lineSep", end).text(path).select(*place)
+    files = spark.read.option("lineSep", end).text(path)
+    lines = files.select(*place)
+    if all(f.endswith(".gz") for f in files.inputFiles()):
+        return lines.select("path", "value")
     # Partitions of a given number aren't coalesced, so files that are small as bytes aren't parsed one after the other.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return lines.repartition(tasks, "path").sortWithinPartitions("path", "_start", "_line").select("path", "value")
@@ -214,18 +219,20 @@ ORDER_COLUMNS = {
 
 
 def read_orders(spark: SparkSession, s: Source, path: str) -> DataFrame:
-    """Landing rows of an order history; columns about persons and addresses are not read."""
+    """Landing rows of an order history, each row_hash once; columns about persons and addresses are not read."""
     raw = records(spark, path, wanted=tuple(ORDER_COLUMNS.values()))
     text = {name: F.nullif(F.trim(F.col("fields")[k]), F.lit("")) for k, name in enumerate(ORDER_COLUMNS)}
     money = [f.name for f in BRONZE_ORDERS if f.dataType.simpleString().startswith("decimal")]
     cols = {n: signed_amount(c) if n in money else F.to_timestamp(c).cast("date") if n.endswith("_date") else c for n, c in text.items()}
     cols["quantity"] = text["quantity"].cast("bigint")
     cols["currency"] = F.coalesce(text["currency"], F.lit("USD"))
-    rows = raw.select("path", "file_row", *(c.alias(n) for n, c in cols.items()))
-    same = Window.partitionBy("path", "website_order_id", "asin", "ship_date").orderBy("file_row")
-    key = F.concat_ws("|", F.lit(s.name), F.lit("order"), "website_order_id", "asin", F.coalesce(F.col("ship_date").cast("string"), F.lit("")), (F.row_number().over(same) - 1).cast("string"))
-    out = rows.withColumns({"source": F.lit(s.name), "source_file": F.regexp_extract("path", r"([^/]*)$", 1), "ingested_at": F.current_timestamp(), "row_hash": F.sha2(key, 256)})
-    return conform(out, BRONZE_ORDERS)
+    what = F.concat_ws("|", F.lit(s.name), F.lit("order"), "website_order_id", "asin", F.coalesce(F.col("ship_date").cast("string"), F.lit("")))
+    # A row's hash is that of this text and its place, so rows dealt by the text alone find their place, and equal ones each other, by one shuffle.
+    rows = raw.select("path", "file_row", *(c.alias(n) for n, c in cols.items())).withColumn("_at", F.hash(what)).repartition("_at")
+    same = Window.partitionBy("_at", "path", "website_order_id", "asin", "ship_date").orderBy("file_row")
+    key = F.concat_ws("|", what, (F.row_number().over(same) - 1).cast("string"))
+    once = first_per(rows.withColumn("row_hash", F.sha2(key, 256)), ["_at", "row_hash"], [F.col("path"), F.col("file_row")])
+    return conform(once.withColumns({"source": F.lit(s.name), "source_file": F.regexp_extract("path", r"([^/]*)$", 1), "ingested_at": F.current_timestamp()}), BRONZE_ORDERS)
 
 
 READERS = {"csv": read_csv, "ofx": read_ofx, "orders": read_orders}

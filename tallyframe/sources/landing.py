@@ -51,12 +51,12 @@ def row_count(spark: SparkSession, path: str) -> int:
     return read_or_empty(spark, path, columns("row_hash string")).count()
 
 
-def append_new(rows: DataFrame, path: str, batch: str | None = None) -> int:
+def append_new(rows: DataFrame, path: str, batch: str | None = None, distinct: bool = False) -> int:
     """Append the rows whose row_hash isn't there yet, exactly once, whoever else appends; how many these were.
 
-    batch: a name (of a file's content, say) that lands once.
+    batch: a name (of a file's content, say) that lands once. distinct: rows have each row_hash once as they are.
     """
-    once = rows.dropDuplicates(["row_hash"])
+    once = rows if distinct else rows.dropDuplicates(["row_hash"])
     fresh = lambda old: once.join(old.select("row_hash"), "row_hash", "left_anti").select(*rows.columns)
     return snapshots.append(rows.sparkSession, path, fresh, rows.schema, batch)
 
@@ -64,7 +64,7 @@ def append_new(rows: DataFrame, path: str, batch: str | None = None) -> int:
 def ingest(spark: SparkSession, s: Source, path: str, root: str) -> int:
     """Land an export; the number of new rows. Anything wrong with the file is an IngestionError, and nothing lands."""
     try:
-        return append_new(read(spark, s, path), folder_of(root, s))
+        return append_new(read(spark, s, path), folder_of(root, s), distinct=s.kind == "orders")
     except IngestionError:
         raise
     except Exception as e:

@@ -51,3 +51,61 @@ def test_bytes_that_are_no_text_still_fail(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(b"Date,Description,Amount\n2024-01-02,\xff,1\n")
     with pytest.raises(IngestionError):
         landing.ingest(spark, bank, str(tmp_path / "x.csv"), str(tmp_path / "land"))
+
+
+def orders_csv(rows, gz, path):
+    import gzip
+
+    names = ("website_order_id", "asin", "ship_date", "order_date", "quantity", "unit_price")
+    text = ",".join(exports.ORDER_COLUMNS[n] for n in names) + "\n" + "".join(",".join(r) + "\n" for r in rows)
+    path.write_bytes(gzip.compress(text.encode()) if gz else text.encode())
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_an_order_history_is_shuffled_once(spark, tmp_path, gz):
+    """Compressed files come in order as they are; places and equal rows are found by one shuffle, and nothing is shuffled to join a table that isn't there."""
+    rnd = random.Random(6)
+    rows = [(rnd.choice("mno") + rnd.choice(["", "|x"]), rnd.choice(["x|z", "z", "x"]), rnd.choice(["2024-01-05", " "]), "2024-01-01", str(k % 9), "$1.50") for k in range(400)]
+    files = [rows[:250], rows[250:], rows[:40]]
+    for k, some in enumerate(files):
+        orders_csv(some, gz, tmp_path / (f"{k}.csv" + ".gz" * gz))
+    shop = Source("shop", "Shop", "orders", kind="orders")
+    want = {}
+    for some in files:
+        seen = {}
+        for order, asin, ship, *_ in some:
+            k = seen[order, asin, ship] = seen.get((order, asin, ship), -1) + 1
+            want.setdefault("|".join(["shop", "order", order, asin, ship.strip(), str(k)]), None)
+    import hashlib
+
+    path, root = str(tmp_path / "*.csv*"), str(tmp_path / "landed")
+    read = exports.read(spark, shop, path)
+    hashes = [r["row_hash"] for r in read.select("row_hash").collect()]
+    assert sorted(hashes) == sorted(hashlib.sha256(x.encode()).hexdigest() for x in want)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == (1 if gz else 2)
+    assert landing.ingest(spark, shop, path, root) == len(want) and landing.ingest(spark, shop, path, root) == 0
+    assert landing.bronze_orders(spark, root).count() == len(want)
+
+
+def test_joining_no_table_shuffles_nothing(spark):
+    from tallyframe.schemas import columns
+    from tallyframe.sources import snapshots
+
+    rows = spark.range(9).selectExpr("cast(id AS string) AS row_hash")
+    left = rows.join(snapshots.load(spark, [], columns("row_hash string")), "row_hash", "left_anti")
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString() and left.count() == 9
+
+
+def test_orders_of_an_export_are_whole_in_a_file_each(spark, tmp_path):
+    """The exported order history: compressed, and each order's items in one file, in order."""
+    import os
+
+    from tallyframe import source_queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    path = source_queries._order_history(spark, "/root/testdata/sf0.001", str(tmp_path / "files"))
+    lines = exports.records(spark, path, wanted=("Order ID",)).selectExpr("path", "fields[0] AS o").distinct()
+    assert lines.count() == lines.select("o").distinct().count() > 0
+    assert all(f.endswith(".gz") for f in spark.read.text(path).inputFiles())
