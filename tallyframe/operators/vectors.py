@@ -253,6 +253,76 @@ def nearest_before(vectors: DataFrame, key: str, vector: str, threshold: float,
     return best.select("v.a", "b", "v.similarity")
 
 
+def _first_of_equal(unit: np.ndarray, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of a side's rows can be somebody's nearest: of equal vectors those of the first two keys, as one may be the asker's own."""
+    kind = np.unique(np.ascontiguousarray(unit[rows]).view(f"V{unit.shape[1] * unit.itemsize}").ravel(), return_inverse=True)[1].ravel()
+    pairs, at = np.unique(np.stack([kind, place[rows]], axis=1), axis=0, return_index=True)
+    third = np.concatenate([np.zeros(2, bool), pairs[2:, 0] == pairs[:-2, 0]])[: len(pairs)]
+    out = np.zeros(len(rows), bool)
+    out[at[~third]] = True
+    return out
+
+
+def nearest_other(vectors: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """a, b, similarity: of each key b the other key a whose cosine is highest, if that reaches `threshold`; ties to the first a.
+
+    Each pair of blocks is met once, serves both ways and gives one row a vector at most. Equal vectors, however many, don't meet one by
+    one. Vectors without use are as in cosine_pairs().
+    """
+    import pyarrow as pa
+
+    kind = vectors.schema[key].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("similarity", DoubleType())])
+    unit = held(units(vectors.filter(F.col(key).isNotNull()), key, vector))
+    n = _counted(unit)
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    side = Side(unit, pivots_of(unit), n)
+
+    def run(table):
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        unit, keys = matrix(table.column("unit")), table.column("key").to_pylist()
+        names = sorted(set(keys))
+        place = {k: at for at, k in enumerate(names)}
+        place = np.array([place[k] for k in keys])
+        is_left = table.column("is_left").to_numpy()
+        left = np.flatnonzero(is_left)
+        right = left if same else np.flatnonzero(~is_left)
+        of_left = _first_of_equal(unit, place, left)
+        of_right = of_left if same else _first_of_equal(unit, place, right)
+        best, who = np.full(len(keys), -np.inf), np.full(len(keys), len(names))
+
+        def take(b, a):
+            for lo in range(0, len(b), 1 << 16):
+                some, them = b[lo : lo + (1 << 16)], a[lo : lo + (1 << 16)]
+                cosine = _exact(unit, unit, some, them)
+                order = np.lexsort((place[them], -cosine, some))
+                first = order[np.unique(some[order], return_index=True)[1]]
+                some, cosine, them = some[first], cosine[first], place[them[first]]
+                better = (cosine >= threshold) & ((cosine > best[some]) | ((cosine == best[some]) & (them < who[some])))
+                best[some[better]], who[some[better]] = cosine[better], them[better]
+
+        step = max(1, min(STRIP, PRODUCT // max(1, len(right))))
+        sure = np.full(len(right), threshold)
+        for at in range(0, len(left) if len(right) else 0, step):
+            some = left[at : at + step]
+            product = unit[some] @ unit[right].T
+            product[place[some][:, None] == place[right][None, :]] = -np.inf
+            l_, r = np.nonzero((product >= (np.maximum(product.max(axis=1), threshold) - SLACK)[:, None]) & of_right)
+            take(some[l_], right[r])
+            if not same:
+                sure = np.maximum(sure, product.max(axis=0))
+                l_, r = np.nonzero((product >= sure - SLACK) & of_left[at : at + step, None])
+                take(right[r], some[l_])
+        found = np.flatnonzero(best >= threshold)
+        columns = [names[k] for k in who[found]], [keys[k] for k in found], best[found]
+        return pa.table([pa.array(columns[0], _arrow(kind)), pa.array(columns[1], _arrow(kind)), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+
+    met = _met(side, side, _angle(threshold), True, run, schema)
+    best = met.groupBy("b").agg(F.min_by(F.struct("a", "similarity"), F.struct(-F.col("similarity"), F.col("a"))).alias("v"))
+    return best.select("v.a", "b", "v.similarity")
+
+
 def _arrow(kind: DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 

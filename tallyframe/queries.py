@@ -204,10 +204,11 @@ NEAR_SQL = """WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM emb
 @query(NEAR_SQL)
 def nearest_category(spark, sf_dir):
     """JN-6, WIN-5, stage 2 of the cascade: of each vector the nearest of all others, from a threshold on."""
+    from tallyframe.operators.vectors import nearest_other
+
     e = t(spark, sf_dir, "embeddings")
-    ref = e.select(F.col("vec_id").alias("ref_name"), "label", F.col("embedding").alias("ref_vector"))
-    near = core.nearest_by_cosine(e.select("vec_id", "embedding"), ref, "vec_id", "embedding", 0.3, others_only=True)
-    return near.select("vec_id", "ref_name", "label", F.round("similarity", 6).alias("similarity"))
+    near = nearest_other(e, "vec_id", "embedding", 0.3).join(e.select(F.col("vec_id").alias("a"), "label"), "a")
+    return near.select(F.col("b").alias("vec_id"), F.col("a").alias("ref_name"), "label", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL)

@@ -90,3 +90,25 @@ def test_what_is_not_small_is_not_broadcast(spark):
     many = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("k"))
     joined = lambda most: spark.range(10).toDF("k").join(core.small(many, most), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joined(1000) and "SortMergeJoin" in joined(100)
+
+
+def test_nearest_other_is_the_best_of_all_others(spark, monkeypatch):
+    """As brute force, ties to the first name; each pair of blocks gives a vector one row at most, and equal vectors don't meet one by one."""
+    monkeypatch.setattr(vectors, "PRODUCT", 40)
+    rng = np.random.default_rng(8)
+    rows = [(f"n{k:02}", rng.normal(size=4).tolist()) for k in range(50)] + [(f"same{k:02}", rng.normal(size=4).tolist() if not k else None) for k in range(30)]
+    rows = [(k, rows[50][1] if k.startswith("same") else v) for k, v in rows] + [("n03", rows[5][1]), ("zero", [0.0] * 4), ("null", None), (None, rows[0][1])]
+    unit = [(k, np.array(v) / np.linalg.norm(v)) for k, v in rows if k is not None and v is not None and any(v)]
+    want = {}
+    for k, (b, x) in enumerate(unit):
+        best = min(((-round(float(x @ y), 12), a) for a, y in unit if a != b), default=(9, ""))
+        if best[0] <= -0.3:
+            want[b] = min(want.get(b, best), best)
+    df = spark.createDataFrame(rows, "name string, v array<double>").repartition(3)
+    for rows_a_block in (7, 2048):
+        monkeypatch.setattr(vectors, "ROWS", rows_a_block)
+        got = vectors.nearest_other(df, "name", "v", 0.3).collect()
+        assert {r["b"]: r["a"] for r in got} == {b: a for b, (_, a) in want.items()} and len(got) == len(want)
+    place = np.arange(30)
+    assert vectors._first_of_equal(np.ones((30, 4)), place, place).sum() == 2
+    assert vectors._first_of_equal(np.eye(30), place, place).all()
